@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetables.llm import bpe_fst, packing, token_files
+from codetables.llm import bpe_fst, exact_dedup, langid, packing, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
     "op2_curve_packing": packing.query,
+    "op4_exact_dedup": exact_dedup.query,
+    "op7_language_bitmask": langid.query,
+    "op8_prefix_shards": sharding.query,
     "op9_bpe_transducer": bpe_fst.query,
+    "op10_subword_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}
