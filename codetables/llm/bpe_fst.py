@@ -208,7 +208,7 @@ class Encoder:
         known, got = self.known, []
         if len(known) > self.limit:
             known.clear()
-        for chunk in chunks.CHUNK.findall(text):
+        for chunk in chunks.PIECES.findall(text):
             x = known.get(chunk)
             if x is None:
                 x = known[chunk] = self._chunk(chunk)
