@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import batches_of, documents
+from codetables.llm.common import batches_of, documents, text_batches
 
 #: Transitions, compatible pairs and pre-tokens that a worker keeps before it begins anew.
 TRANSITIONS, PAIRS, PRETOKENS = 400_000, 400_000, 300_000
@@ -245,6 +245,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def _small(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

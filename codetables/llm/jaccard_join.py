@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import documents, parallelism, texts_of, written
+from codetables.llm.common import documents, parallelism, text_batches, texts_of, written
 from codetables.llm.components import components
 
 #: Growth of the size windows, hash functions for documents with many empty slices, bins of the counts, words remembered.
-WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 32, 1_000_000
+WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 32, 400_000
 #: Regions of more nodes get a second pivot before what is left is compared pair by pair.
 SECOND_PIVOT = 64
 
@@ -334,6 +334,7 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
+    text_batches(spark, 2000)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = parallelism(spark)
     out = written(_sets(docs, n, num, den, buckets), "shingle-sets")

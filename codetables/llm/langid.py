@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codetables.llm.common import batches_of, crc_mod, documents, texts_of
+from codetables.llm.common import batches_of, crc_mod, documents, text_batches, texts_of
 
 #: Labelled rows of each language that training takes at most, in the order of a hash of their ids.
 TRAIN_ROWS = 400
@@ -133,6 +133,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null, empty or letterless text is ``und`` with score 0.  Repeated rows and null ids stay; other
     columns are ignored.
     """
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # one table of fixed size
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import documents, parallelism, prefix_bases, written
+from codetables.llm.common import documents, parallelism, prefix_bases, text_batches, written
 
 DIMS, BITS, BUCKETS, SEED = 3, 10, 256, 20240601
 
@@ -84,6 +84,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_col:
     no pieces; columns other than the two are ignored.
     """
     spark = df.sparkSession
+    text_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunks.encoder(tokenizer, drops_space)

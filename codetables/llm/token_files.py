@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks, files
-from codetables.llm.common import documents, parallelism, prefix_bases, shared_folder, written
+from codetables.llm.common import documents, parallelism, prefix_bases, shared_folder, text_batches, written
 
 PARTS = "part int, tokens string, docids string, n_docs long, n_null_ids long, n_tokens long, lengths string"
 
@@ -38,6 +38,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
     rows.  Columns other than the two are ignored, whatever their names.
     """
     spark = df.sparkSession
+    text_batches(spark)
     folder = folder or shared_folder(spark, "tokens")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import batches_of, crc_mod, documents
+from codetables.llm.common import batches_of, crc_mod, documents, text_batches
 
 #: Labelled rows of each class that training takes at most, in the order of a hash of their ids.
 TRAIN_ROWS = 2000
 BUCKETS, DIM, GRAMS, WINDOW, EPOCHS, SEED = 1 << 18, 8, (3, 4, 5, 6), 16, 8, 7
 #: Words whose n-grams a worker remembers.
-WORDS = 400_000
+WORDS = 300_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -184,6 +184,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     An empty text scores as the model's bias.  Repeated rows and null ids stay; other columns are ignored.
     """
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
