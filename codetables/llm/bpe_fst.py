@@ -16,6 +16,7 @@ releases whole characters only, so a text can be decoded from a stream of ids th
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from codetables.llm import chunks
 from codetables.llm.common import batches_of, documents, text_batches
 
 #: Transitions, compatible pairs and pre-tokens that a worker keeps before it begins anew.
-TRANSITIONS, PAIRS, PRETOKENS = 400_000, 400_000, 300_000
+TRANSITIONS, PAIRS, PRETOKENS = 700_000, 400_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,12 +66,14 @@ class Transducer:
     def _forget(self) -> None:
         #: (suffix that begins a token, byte) -> its successor, lengths of the tokens that end there, lengths at which a token may still begin
         self.suffixes: dict[tuple[bytes, int], tuple[bytes, list[tuple[int, int]], list[int]]] = {}
-        #: a state: (suffix, position of the root, (position, token, position before it)...); positions count back from here
+        #: a state: (suffix, root, then position, token and position before it of each node); positions count back from here
         self.states: list[tuple] = []
         self.ids: dict[tuple, int] = {}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: state and byte -> next state, doubled, plus 1 if the transition emits something
+        self.steps: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self._state((b"", 0, ()))
+        self._state((b"", 0))
 
     def _state(self, state: tuple) -> int:
         if (i := self.ids.get(state)) is None:
@@ -94,37 +97,48 @@ class Transducer:
             got = self.suffixes[suffix, byte] = now, tokens, [n for n in range(1, len(now) + 1) if now[-n:] in self.prefixes]
         return got
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int:
         """The transition's target and what it emits, determinised now."""
-        suffix, root, nodes = self.states[state]
+        suffix, root, *nodes = self.states[state]
         suffix, tokens, live = self._suffix(suffix, byte)
         root += 1
-        at = {p + 1: (t, q + 1) for p, t, q in nodes}
+        at = {nodes[k] + 1: (nodes[k + 1], nodes[k + 2] + 1) for k in range(0, len(nodes), 3)}
         for n, token in tokens:
-            if n in at and self._compatible(at[n][0], token) or n == root and n not in at:  # the latter: the start of the text
-                at[0] = (token, n)
-                break
+            if n in at:
+                if not self._compatible(at[n][0], token):
+                    continue
+            elif n != root:  # else the start of the text
+                continue
+            at[0] = (token, n)
+            break
         else:
             raise ValueError("the vocabulary lacks a single byte or holds a token that doesn't encode to itself")
-        front, kept = {0, *(n for n in live if n in at or n == root)}, []
+        front, after = {n for n in live if n in at or n == root}, [suffix, 0]
+        front.add(0)
         while len(front) > 1:  # back from the latest position until all paths meet
             last = min(front)
             front.remove(last)
             token, before = at[last]
             front.add(before)
-            kept.append((last, token, before))
+            after += (last, token, before)
         (meet,) = front
-        emitted, p = [], meet
+        out, p = [], meet
         while p != root:
             token, p = at[p]
-            emitted.append(token)
+            out.append(token)
         if meet in at:  # its token decides what is compatible, its own past no longer matters
-            kept.append((meet, at[meet][0], meet))
-        return self._state((suffix, meet, tuple(kept))), tuple(reversed(emitted))
+            after += (meet, at[meet][0], meet)
+        after[1] = meet
+        key, step = state << 8 | byte, self._state(tuple(after)) * 2
+        if out:
+            self.emitted[key] = tuple(reversed(out))
+            step += 1
+        self.steps[key] = step
+        return step
 
     def _end(self, state: int) -> tuple[int, ...]:
-        _, root, nodes = self.states[state]
-        at, p, out = {p: (t, q) for p, t, q in nodes}, 0, []
+        _, root, *nodes = self.states[state]
+        at, p, out = {nodes[k]: (nodes[k + 1], nodes[k + 2]) for k in range(0, len(nodes), 3)}, 0, []
         while p != root:
             token, p = at[p]
             out.append(token)
@@ -138,10 +152,10 @@ class Transducer:
             key = state << 8 | byte
             step = steps.get(key)
             if step is None:
-                step = steps[key] = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+                step = self._step(state, byte)
+            state = step >> 1
+            if step & 1:
+                out += self.emitted[key]
         end = self.ends.get(state)
         if end is None:
             end = self.ends[state] = self._end(state)
@@ -191,29 +205,35 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self.decoder = Decoder(self.transducer.bytes_of)
-        self.pattern, self.limit, self.known = regex.compile(pattern), pretokens, {}
-
-    def _piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8")
-        return [self.ranks[data]] if data in self.ranks else self.transducer.encode(data)
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = [i for piece in self.pattern.findall(chunk) for i in self._piece(piece)]
-        return np.array(ids, dtype="<u4").tobytes(), b" ".join(b"%d" % i for i in ids)
+        self.pattern, self.limit = regex.compile(pattern), pretokens
+        self.ids: dict[str, bytes] = {}  # of pieces of text: their ids as 32-bit bytes, and as decimal numbers
+        self.decimal: dict[str, bytes] = {}
+        gc.set_threshold(200_000, 20, 100)  # the tables hold no cycles, and grow by many small objects
+
+    def _pretoken(self, text: str) -> list[int]:
+        data = text.encode("utf-8")
+        whole = self.ranks.get(data)
+        return self.transducer.encode(data) if whole is None else [whole]
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        if chunks.PLAIN.fullmatch(piece):
+            ids = self._pretoken(piece)
+        else:
+            ids = [i for part in self.pattern.findall(piece) for i in self._pretoken(part)]
+        return np.array(ids, dtype="<u4").tobytes(), b" ".join([b"%d" % i for i in ids])
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """ids as 32-bit bytes, and as decimal numbers joined by one space."""
         if chunks.ODD_SPACE.search(text):
-            return self._chunk(text)
-        known, got = self.known, []
-        if len(known) > self.limit:
-            known.clear()
-        for chunk in chunks.PIECES.findall(text):
-            x = known.get(chunk)
-            if x is None:
-                x = known[chunk] = self._chunk(chunk)
-            got.append(x)
-        return b"".join([a for a, _ in got]), b" ".join([b for _, b in got])
+            return self._piece(text)
+        pieces = chunks.PIECES.findall(text)
+        ids, decimal = self.ids, self.decimal
+        if len(ids) > self.limit:
+            ids.clear()
+            decimal.clear()
+        for x in set(pieces).difference(ids):
+            ids[x], decimal[x] = self._piece(x)
+        return b"".join(map(ids.__getitem__, pieces)), b" ".join(map(decimal.__getitem__, pieces))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
