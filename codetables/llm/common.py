@@ -86,3 +86,29 @@ def prefix_bases(df: DataFrame, part: str, totals: dict[str, Column]) -> DataFra
     sums = df.groupBy(part).agg(*(F.sum(c).alias(f"_t_{k}") for k, c in totals.items()))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(part, *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).cast("long").alias(k) for k in totals))
+
+
+def with_columns(df: DataFrame, text_col: str, names: list[str], types: list[str], make: Callable[[list], list[pa.Array]]) -> tuple[DataFrame, list[str]]:
+    """``df`` with further columns that ``make`` computes from the texts of a batch; (frame, the names given).
+
+    A name that ``df`` has already gets underscores, so no column is lost.
+    """
+    given = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        given.append(name)
+    at = df.columns.index(text_col)
+    n = len(df.columns)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if batch.num_rows:
+                yield pa.record_batch([*batch.columns[:n], *make(batch.column(at).to_pylist())], [*batch.schema.names, *given])
+
+    from pyspark.sql.types import StructType
+
+    schema = StructType(list(df.schema.fields))
+    for name, kind in zip(given, types, strict=True):
+        schema = schema.add(name, kind)
+    return df.mapInArrow(run, schema), given

@@ -25,7 +25,7 @@ def content(text: Column) -> Column:
 
 
 def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``df``.
+    """doc_id, keep_id, group_size, kept, text_sha256, raw (a hash of the text as it is): one row per row of ``df``.
 
     Texts are equal when identical without ASCII white space; null counts as empty.  Of equal texts the
     one with the most code points stays, then the smallest id, a null id last; of repeated rows exactly one.
@@ -54,12 +54,22 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_
     best = F.min(F.struct(-F.col("len"), F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best)
     return rows.join(groups, key).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "raw"
     )
 
 
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``mark`` keeps, all columns; of repeated rows one stays."""
+    marks = written(mark(df, id_col, text_col), "dedup-marks")
+    repeats = marks.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    keep = repeats.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
+    raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kept = df.join(keep.hint("shuffle_hash"), df[id_col].eqNullSafe(F.col("_keep_id")) & (raw == F.col("_keep_raw")), "left_semi")
+    return kept if repeats.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mark(documents(spark, sf_dir))
+    return mark(documents(spark, sf_dir)).drop("raw")
 
 
 SQL = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codetables.llm.common import batches_of, crc_mod, documents, text_batches, texts_of
+from codetables.llm.common import batches_of, crc_mod, documents, text_batches, texts_of, with_columns
 
 #: Labelled rows of each language that training takes at most, in the order of a hash of their ids.
 TRAIN_ROWS = 400
@@ -26,6 +26,9 @@ TRAIN_ROWS = 400
 SLOT_BITS, HASHES, LEAST_TEXTS, LEAST_SHARE, LANGUAGES = 17, 2, 2, 0.25, 64
 
 #: ASCII letters become lower case, other ASCII a space; bytes of other characters stay.
+#: Part of all corrected shares below which a text has no clear language.
+LEAST_SCORE = 0.3
+
 _FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -149,6 +152,19 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return small.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accept(df: DataFrame, model: Model, limit: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language that scores at least ``limit``."""
+    text_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts: list) -> list[pa.Array]:
+        got = [shared.value.predict((t or "").encode("utf-8")) for t in texts]
+        return [pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
+
+    named, (lang, score) = with_columns(df, text_col, ["language", "language_score"], ["string", "double"], make)
+    return named.where((F.col(lang) != "und") & (F.col(score) >= limit)).drop(lang, score)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = predict(docs, train(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import batches_of, crc_mod, documents, text_batches
+from codetables.llm.common import batches_of, crc_mod, documents, text_batches, with_columns
 
 #: Labelled rows of each class that training takes at most, in the order of a hash of their ids.
 TRAIN_ROWS = 2000
@@ -201,6 +201,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return small.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accept(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores below ``limit``."""
+    text_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts: list) -> list[pa.Array]:
+        return [pa.array([p for run in chunks.groups([t or "" for t in texts], len, 1 << 20) for p in shared.value.scores(run)], pa.float64())]
+
+    scored, (name,) = with_columns(df, text_col, ["toxicity"], ["double"], make)
+    return scored.where(F.col(name) < limit).drop(name)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score(docs, train(docs, labels))
