@@ -25,8 +25,8 @@ PIECES = re.compile(rf"\n(?=[^ \n\t\r])|[ \n\t\r]*{_SIMPLE}|[{_P}]+(?=[ \n\t\r]|
 PLAIN = re.compile(rf" ?[{_L}]+")
 #: Separators that Unicode or a regex library counts as white space, besides the four above.
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-#: Entries of a cache before it is emptied: about 60 MB in a worker.
-CACHE = 250_000
+#: Entries of a cache before it is emptied: about 120 MB in a worker.
+CACHE = 600_000
 
 
 def byte_letters() -> dict[int, str]:
