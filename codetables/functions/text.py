@@ -56,7 +56,7 @@ def highlight(content: Column, query: Column) -> Column:
 
 def id_list(raw: Column) -> Column:
     """Parts of a comma-separated list, blank ones dropped."""
-    return F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_object(text: Column) -> Column:
