@@ -22,7 +22,7 @@ def new_file(folder: str, stem: str, suffix: str):
     fs, path = store(folder)
     fs.create_dir(path, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
-    return name, fs.open_output_stream(f"{path}/{name}")
+    return name, fs.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def mapped(folder: str, name: str, dtype) -> np.ndarray:
