@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codetables.functions import text as tx
 from codetables.operators import assembly, retrieval
+from codetables.plans import evidence
 from codetables.plans import search as plan
 from codetables.queries import adapters as a
 
@@ -132,3 +133,14 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.table(spark, sf_dir, "events")
     wrapped = F.when(F.expr("event_id % 3 = 0"), F.concat(F.lit("Sure: ```json\n"), F.col("props"), F.lit("\n``` done"))).when(F.expr("event_id % 3 = 1"), F.concat(F.lit("Answer "), F.col("props"), F.lit(" ok"))).otherwise(F.concat(F.lit("{"), F.col("props")))
     return e.select("event_id", F.get_json_object(tx.json_object(wrapped), "$.k").cast("long").alias("k"))
+
+
+@register()
+def conversation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every user turn of every conversation the nearest documents, packed per conversation with its history."""
+    docs = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("start_line"), tx.line_count(F.col("text")).alias("end_line"), F.col("text").alias("content"), "text")
+    encoder = plan.HashEncoder(64).fit(docs)
+    talk = a.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = talk.where("role = 'user'").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("turn").alias("position"), "text")
+    out = evidence.evidence(asked, talk, encoder.transform(docs).drop("text"), encoder, k=3)
+    return out.select("conv_id", F.size("history").alias("turns"), F.length("evidence").alias("evidence_chars"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codetables.functions import languages, paths
 from codetables.functions import text as tx
-from codetables.operators import chunks, explore, resolve, structure
+from codetables.operators import chunks, explore, resolve, scope, structure
 from codetables.queries import adapters as a
 from codetables.sources import tree as trees
 
@@ -162,3 +162,14 @@ SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || '.py' AS path, 'functio
 CAST(line_no AS INTEGER) AS start_line, CAST(least(line_no + 4, total) AS INTEGER) AS end_line FROM n WHERE (line_no - 1) % 5 = 0""")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.symbols(_code(spark, sf_dir)).select("repo_id", "path", "kind", "name", "start_line", "end_line")
+
+
+@register(f"WITH {a.FILES} SELECT repo_id, path FROM files WHERE path LIKE 'en/s_c%' AND repo_id IN ('src0', 'src3', 'src7')")
+def files_below_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.in_repositories(scope.below_prefix(a.files(spark, sf_dir), "en/s_c"), repo_ids=["src0", "src3", "src7"]).select("repo_id", "path")
+
+
+@register(f"""WITH {a.FILES}, {a.LINES}, s AS (SELECT repo_id, path, 'f_' || regexp_replace(substr(lower(line), 1, 12), '[^a-z]', '', 'g') || '_' || line_no AS name FROM lines WHERE (line_no - 1) % 5 = 0)
+SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || '.py' AS path, name FROM s WHERE name ILIKE '%THE%'""")
+def symbols_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.name_contains(scope.of_kind(structure.symbols(_code(spark, sf_dir)), "function"), "THE").select("repo_id", "path", "name")
