@@ -13,10 +13,11 @@ documents near the upper end of one (the boundary documents) are replicated into
 Empty slices say nothing; a document with so many that they could be all it shares is cut again by other hash functions,
 which again only those can match that failed as well.
 
-Inside a region.  Every document carries counts per 1/32 of the universe; the sum of their differences is, again by the triangle
+Inside a region.  Every document carries counts per 1/256 of the universe; the sum of their differences is, again by the triangle
 inequality, a lower bound of the distance.  The document nearest to the region's mean is its pivot: all others within the bound
-are compared with it (one candidate per member, not all pairs), the confirmed ones are one component, and the region is joined again
-recursively as long as it spans several components, at last pair by pair between components.  Candidates are verified on the whole sets.
+are compared with it (one candidate per member, not all pairs), and the confirmed ones are one component.  A region that still spans
+several components is joined again: first each member with its nearest few of other components, then all pairs between components
+that the bound allows and no round has compared.  Candidates are verified on the whole sets.
 
 Documents of equal sets are one node.  The result is exact but for collisions of 64-bit hashes of n-grams and sets.
 """
@@ -36,9 +37,9 @@ from codetables.llm.common import documents, parallelism, text_batches, texts_of
 from codetables.llm.components import components
 
 #: Growth of the size windows, hash functions for documents with many empty slices, bins of the counts, words remembered.
-WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 32, 400_000
-#: Regions of more nodes get a second pivot before what is left is compared pair by pair.
-SECOND_PIVOT = 64
+WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 256, 400_000
+#: Members of other components that a member is compared with before all that are left are.
+NEAREST = 4
 
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -72,19 +73,20 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def windows(most: int) -> list[int]:
-    """Lower ends of the size windows up to ``most`` and one beyond."""
+def windows(most: int, num: int, den: int) -> list[int]:
+    """Lower ends of the size windows up to ``most`` and beyond; a set's partners lie in its window or a neighbouring one."""
     ends = [1]
-    while ends[-1] <= most:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * WINDOW)))
-    return [*ends, max(ends[-1] + 1, int(ends[-1] * WINDOW))]
+    while ends[-1] <= most or len(ends) < 3:
+        last = ends[-1]
+        ends.append(max(last + 1, int(last * WINDOW), (last - 1) * den // num + 1))
+    return [*ends, 2 * ends[-1]]
 
 
 class Regions:
     """Signatures of the regions in which a set lies."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.ends = num, den, np.array(windows(1 << 24))
+        self.num, self.den, self.ends = num, den, np.array(windows(1 << 24, num, den))
 
     def bound(self, total):
         """Largest symmetric difference of sets of ``total`` elements together that may still link."""
@@ -141,7 +143,7 @@ def _sets(df: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
                         counts.append(None)
                         continue
                     nodes.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)).item())
-                    counts.append(np.minimum(np.bincount((s >> _U(59)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
+                    counts.append(np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                     signatures.append((nodes[-1], regions.signatures(s)))
                 yield batch_of(len(texts), doc_id=batch.column(0).slice(at, len(texts)), node=pa.array(nodes, pa.int64()), n_shingles=pa.array(sizes, pa.int64()), counts=pa.array(counts, pa.binary()))
                 at += len(texts)
@@ -224,57 +226,59 @@ def _by_region(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np
 
 
 def _counts(column: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), BINS).astype(np.int32)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), BINS).astype(np.int16)
 
 
 def _nearest_to_mean(counts: np.ndarray, node: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Row of each region's pivot: the member nearest to the mean of the counts, then the smallest node."""
-    mean = np.add.reduceat(counts, first).astype(np.float64) / size[:, None]
+    mean = (np.add.reduceat(counts, first, dtype=np.float32) / size[:, None]).astype(np.float32)
     of = np.repeat(np.arange(len(first)), size)
     off = np.abs(counts - mean[of]).sum(1)
     return np.lexsort((node, off, of))[first]
 
 
-def _candidates(members: DataFrame, num: int, den: int, last: bool) -> DataFrame:
-    """a, b: pairs to verify, from region, node, size, counts and label.  last: all pairs between components."""
+def _candidates(members: DataFrame, num: int, den: int, step: int) -> DataFrame:
+    """a, b: pairs to verify, from region, node, size, counts and label.
+
+    step 0: each member with its region's pivot; 1: with its nearest members of other labels; 2: with all members of other labels.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regions = Regions(num, den)
 
-        def passes(counts: np.ndarray, sizes: np.ndarray, i, j) -> np.ndarray:
-            return np.abs(counts[i] - counts[j]).sum(-1) <= regions.bound(sizes[i] + sizes[j])
+        def near(counts: np.ndarray, sizes: np.ndarray, i, j) -> tuple[np.ndarray, np.ndarray]:
+            """Lower bound of the distance, and whether it allows a link."""
+            off = np.abs(counts[i] - counts[j]).sum(-1, dtype=np.int64)
+            return off, off <= regions.bound(sizes[i] + sizes[j])
 
         for region, node, sizes, packed, label in _by_region(rows, 5):
             first = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
             size = np.diff(np.append(first, len(region)))
             of = np.repeat(np.arange(len(first)), size)
             split = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
-            split &= size > 1
-            if not split.any():
-                continue
             pick = split[of]
+            if not pick.any():
+                continue
             node, sizes, label, of = node[pick], sizes[pick], label[pick], of[pick]
             counts = _counts(packed[pick])
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             size = np.diff(np.append(first, len(of)))
-            at = np.repeat(np.arange(len(first)), size)
             pairs = []
-            if not last:
-                pivot = _nearest_to_mean(counts, node, first, size)
-                if len(big := np.flatnonzero(size > SECOND_PIVOT)):  # after the first round: one outside the pivot's component
-                    for r in big:
-                        rows_of = np.arange(first[r], first[r] + size[r])
-                        if (outside := rows_of[label[rows_of] != label[pivot[r]]]).size and (label[rows_of] == label[pivot[r]]).sum() > 1:
-                            pivot[r] = outside[np.argmin(np.abs(counts[outside] - counts[outside].mean(0)).sum(1))]
-                i, j = np.arange(len(node)), pivot[at]
-                ok = (label[i] != label[j]) & passes(counts, sizes, i, j)
+            if step == 0:
+                i, j = np.arange(len(node)), np.repeat(_nearest_to_mean(counts, node, first, size), size)
+                ok = (node[i] != node[j]) & near(counts, sizes, i, j)[1]
                 pairs.append((node[i[ok]], node[j[ok]]))
             else:
                 for b, n in zip(first.tolist(), size.tolist(), strict=True):
-                    for i in range(b, b + n - 1):
-                        j = np.arange(i + 1, b + n)
+                    names, times = np.unique(label[b : b + n], return_counts=True)
+                    most = names[np.argmax(times)]
+                    for i in range(b, b + n):
+                        j = np.arange(b, b + n) if step == 1 else np.arange(i + 1, b + n)
+                        if step == 1 and label[i] == most:
+                            continue  # the others of the region look for it
                         j = j[label[j] != label[i]]
-                        j = j[passes(counts, sizes, np.full(len(j), i), j)]
+                        off, ok = near(counts, sizes, np.full(len(j), i), j)
+                        j = j[ok] if step == 2 else j[ok][np.argsort(off[ok], kind="stable")[:NEAREST]]
                         if len(j):
                             pairs.append((np.full(len(j), node[i]), node[j]))
             if pairs:
@@ -287,6 +291,13 @@ def _candidates(members: DataFrame, num: int, den: int, last: bool) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """node, label of linked nodes: the smallest node within two links.  Nodes of one label are surely one component."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    one = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("v"), F.least("u", "v").alias("least"))
+    return both.join(one.hint("merge"), "v").groupBy("u").agg(F.min("least").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label"))
+
+
 def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """node, elements BINARY of the nodes in ``pairs``, made again from the text of one document each."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -343,19 +354,25 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     regions = written(_shared(out.where("bucket IS NOT NULL"), buckets), "regions")
     members = written(regions.join(nodes.select("node", "size", "counts").hint("merge"), "node"), "members")
 
-    links, tested, labels = None, None, members.select("node", F.col("node").alias("label")).limit(0)
-    for last in (False, False, True):
-        named = members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _candidates(named, num, den, last)
+    # the texts of documents in a region, one per node: what the rounds below verify on
+    ids = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
+    texts = written(docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), "texts")
+
+    links = tested = None
+    for step in range(3):
+        named = members.withColumn("label", F.col("node"))
+        if links is not None:
+            named = members.join(_near_labels(links).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = _candidates(named, num, den, step)
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
         if pairs.isEmpty():
             continue
-        found = _verify(pairs, written(_with_sets(docs, nodes, pairs, n), "sets"), num, den)
-        links = written(found if links is None else found.unionByName(links), "links")
+        found = written(_verify(pairs, written(_with_sets(texts, nodes, pairs, n), "sets"), num, den), "links")
+        links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = written(components(links), "labels")
+    labels = nodes.select("node", F.col("node").alias("label")).limit(0) if links is None else written(components(links), "labels")
 
     named = nodes.select("node", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
