@@ -123,8 +123,11 @@ def train(df: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: in
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     if fold:
         rows = rows.where(crc_mod("doc_id", fold[0]) != fold[1])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # planned as a limit per group before the shuffle
-    few = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    few = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
+    for group in (["lang", "salt"], ["lang"]):  # in two steps, so that a frequent language isn't one task's
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    few = few.select("doc_id", "lang").distinct()
     few = few.orderBy("lang", "doc_id").limit(per_language * LANGUAGES)
     sample = rows.join(F.broadcast(few), ["doc_id", "lang"]).collect()  # per_language * LANGUAGES rows at most
     return fit([(r.lang, r.text.encode("utf-8")) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.text))])
