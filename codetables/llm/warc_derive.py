@@ -28,7 +28,14 @@ VERSION = b"WARC/1.1"
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "th", "thead", "tr", "ul")
 
+#: Elements whose content is no markup until their own end tag; of the last two it is text.
+RAW = ("script", "style", "noscript", "title", "textarea")
+#: Elements that a head can hold: any other begins the body, as text does, where </head> is left out.
+IN_HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template")
+
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?[a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S)
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+_IN_SCRIPT = re.compile(r"<!--|-->|<script(?=[\s/>])|</script(?=[\s/>])[^>]*>?", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -69,21 +76,64 @@ def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, rest[:length]
 
 
+def _script_end(page: str, at: int) -> tuple[int, int] | None:
+    """Where a script's end tag is: not the one of a script that is named inside <!-- -->, as HTML has it."""
+    comment, inner = False, False
+    while m := _IN_SCRIPT.search(page, at):
+        at, token = m.end(), m[0].lower()
+        if token == "<!--":
+            comment, at = True, at - 2  # <!--> is a whole comment
+        elif token == "-->":
+            comment = inner = False
+        elif token == "<script":
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return m.span()
+    return None
+
+
+def _raw_end(page: str, name: str, at: int) -> tuple[int, int] | None:
+    if name == "script":
+        return _script_end(page, at)
+    m = _END[name].search(page, at)
+    return m.span() if m else None
+
+
 def plain_text(page: str) -> str:
     """Text of a page: hidden elements dropped, a line per block element, references resolved, spaces joined."""
-    out, at, hidden = [], 0, None
-    for m in _TAG.finditer(page):
+    out, at, head, hidden = [], 0, False, None
+    while m := _TAG.search(page, at):
         name = (m[1] or "").lower()
-        if hidden is None:
-            out.append(page[at : m.start()])
-            if name in HIDDEN and not m[0].endswith("/>"):
-                hidden = name
-            elif name.lstrip("/") in BLOCKS:
-                out.append("\n")
-        elif name == "/" + hidden:
-            hidden = None
-        at = m.end()
-    if hidden is None:
+        text, at = page[at : m.start()], m.end()
+        if head and (hidden in (None, "noscript") and name == "body" or name == "/head"):
+            head, hidden = False, None
+        elif head and hidden is None and (text.strip(" \t\n\f\r") or name in ("/body", "/html", "/br") or name[:1] not in ("", "/") and name not in IN_HEAD):
+            head = False
+            out.append(text)
+        elif not head and hidden is None:
+            out.append(text)
+        shown = not head and hidden is None
+        opens = not m[0].endswith("/>")
+        if name in RAW and opens:
+            end = _raw_end(page, name, at)
+            if end or name in ("script", "style"):
+                begin, (stop, at) = at, end or (len(page), len(page))
+                if shown and name not in HIDDEN:
+                    out.append(page[begin:stop])
+            elif name == "noscript":
+                hidden = hidden or name
+        elif hidden is not None:
+            if name == "/" + hidden:
+                hidden = None
+        elif name == "head" and opens:
+            head = True
+        elif name in HIDDEN and opens:
+            hidden = name
+        elif shown and name.lstrip("/") in BLOCKS:
+            out.append("\n")
+    if hidden is None and (not head or page[at:].strip(" \t\n\f\r")):
         out.append(page[at:])
     lines = (_SPACE.sub(" ", x).strip() for x in html.unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x)

@@ -212,6 +212,43 @@ def test_warc(spark, tmp_path):
     assert warc_derive.derive(source.where("false")).count() == 0
 
 
+def random_page():
+    """A page of random elements, with its text from the way it was put together."""
+    page, lines, n = ["<html><head>"], [""], 0
+    for _ in range(RNG.randint(0, 3)):
+        page.append(RNG.choice(["<title>T <body> t</title>", "<meta charset=utf-8>", "<script>if(a<b){w('</head><p>')}</script>", "<style>p>a{content:'<body>'}</style>", "<noscript><img src=x></noscript>", "<template><p>no</p></template>", "<!-- <body> -->"]))
+    page.append(RNG.choice(["</head><body>", "</head>", "<body>", "<body class='a>b'>", ""]))
+    for _ in range(RNG.randint(1, 8)):
+        n += 1
+        kind = RNG.randrange(7)
+        if kind == 0:
+            page.append(RNG.choice(["<script>for(i=0;i<n;i++){x()}</script>", "<SCRIPT>s='<p>it'</SCRIPT >", "<script><!-- w('<script>a</script>') --></script>", "<style>a<b{}</style>", "<svg><path/></svg>", "<noscript>i<n;</noscript>"]))
+        elif kind == 1:
+            page.append(f"<textarea>a<b>{n}</textarea>")
+            lines[-1] += f"a<b>{n}"
+        elif kind == 2:
+            page.append(f"<b>b{n}</b>")
+            lines[-1] += f"b{n}"
+        elif kind == 3:
+            page.append(f"plain{n}")
+            lines[-1] += f"plain{n}"
+        else:
+            page.append(f"<p>word{n}</p>")
+            lines += [f"word{n}", ""]
+    return "".join(page), "\n".join(x for x in lines if x)
+
+
+def test_plain_text_of_pages_with_script_and_open_head():
+    text = warc_derive.plain_text
+    assert text("<script>for(i=0;i<n;i++){x()}</script><p>body text</p>") == "body text"
+    assert text("<html><head><title>t</title><meta charset=utf-8><body>all of it") == "all of it"
+    assert text("<head><title>t</title><p>one<p>two") == "one\ntwo" and text("<head><title>t</title>bare") == "bare"
+    assert text("a<noscript><script></noscript>b<script>c") == "ab" and text("<head><template><p>x</p></template><noscript><body>y") == "y"
+    for _ in range(2000):
+        page, expected = random_page()
+        assert text(page) == expected, page
+
+
 def test_language(spark, docs, none):
     words = {"en": "the of and to in is that", "fr": "le la et les des est que", "de": "der die und das ist nicht ein"}
     rows = [(i, " ".join(RNG.choice(words[k].split()) for _ in range(30)), k) for k in words for i in range(100 * len(k), 100 * len(k) + 60)]
