@@ -2,7 +2,8 @@
 
 A record is its bytes as in a WARC/1.1 file: version line, named headers, empty line, block.  Each response
 gives a metadata record (JSON: its WARC and HTTP headers, title, language, links) and a conversion record (plain text),
-both of which refer to the response's id and keep its target, date and payload digest.
+both of which refer to the response's id and keep its target, date and payload digest.  The headers are kept twice: all fields
+in order as pairs (warc-fields, http-fields), and by name (warc-headers, http-headers: of repeated fields the last).
 """
 
 from __future__ import annotations
@@ -156,28 +157,103 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return small.mapInArrow(run, "source_id long, record binary")
 
 
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body that chunks carry, as far as they go; data that doesn't begin with a chunk was undone by the crawler and stays."""
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(data[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] == b"\n"
+    return b"".join(out) if m or at else data
+
+
+def _inflated(data: bytes, wbits: int) -> bytes | None:
+    """What zlib gives for all members, as far as the data goes; None where it doesn't begin as such."""
+    out = []
+    while data:
+        z = zlib.decompressobj(wbits)
+        part = []
+        try:
+            for i in range(0, len(data), 1 << 16):
+                part.append(z.decompress(data[i : i + (1 << 16)]))
+                if z.eof:
+                    break
+            else:
+                part.append(z.flush())
+        except zlib.error:
+            if not out and not any(part):
+                return None
+            return b"".join([*out, *part])
+        out += part
+        data = z.unused_data + data[i + (1 << 16) :] if z.eof and wbits == 31 else b""
+    return b"".join(out)
+
+
+def decoded(body: bytes, codings: list[str]) -> tuple[bytes | None, list[str]]:
+    """(the body without its content codings, those that were not undone): None where one is not gzip or deflate.
+
+    A body that isn't in the coding that its header names was decoded by the crawler and stays.
+    """
+    for k in range(len(codings) - 1, -1, -1):
+        name = codings[k]
+        if name in ("gzip", "x-gzip"):
+            got = _inflated(body, 31)
+        elif name == "deflate":  # with zlib's header, or as some servers send it, without
+            got = _inflated(body, 15)
+            got = _inflated(body, -15) if got is None else got
+        elif name in ("identity", ""):
+            continue
+        else:
+            return None, codings[: k + 1]
+        body = body if got is None else got
+    return body, []
+
+
+def _codings(http: list[tuple[str, str]], field: str) -> list[str]:
+    return [x.strip().lower() for k, v in http if k.lower() == field for x in v.split(",")]
+
+
+def is_response(data: bytes) -> bool:
+    fields = parse_headers(data.partition(b"\r\n\r\n")[0].partition(b"\r\n")[2])
+    return any(k.lower() == "warc-type" and v.lower() == "response" for k, v in fields)
+
+
 DERIVED = "source_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, record binary"
 _NAMES = [f.split()[0] for f in DERIVED.split(", ")]
 
 
 def derivatives(data: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response record, each as a row of DERIVED without source_id."""
+    """The metadata and the conversion record of one response record, each as a row of DERIVED without source_id.
+
+    A body in a coding other than gzip, deflate and chunked gives no title, language, links or text; the metadata names the
+    coding (not-decoded).
+    """
     headers, block = parse(data)
     of = {k.lower(): v for k, v in reversed(headers)}
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         head, body = b"", block
     http = parse_headers(head.partition(b"\r\n")[2])
+    if "chunked" in _codings(http, "transfer-encoding"):
+        body = unchunked(body)
+    codings = [x for x in _codings(http, "transfer-encoding") if x != "chunked"]
+    plain, left = decoded(body, [*_codings(http, "content-encoding"), *codings])
     kind = next((v for k, v in http if k.lower() == "content-type"), "text/html")
     charset = (re.search(r"charset=[\"']?([\w-]+)", kind) or [None, "utf-8"])[1]
     try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = (plain or b"").decode(charset, "replace")
+    except (LookupError, UnicodeError):  # no such charset, or one that Python has under that name for other uses
+        page = (plain or b"").decode("utf-8", "replace")
     payload = of.get("warc-payload-digest") or digest(body)
     source, target, date = of.get("warc-record-id", ""), of.get("warc-target-uri", ""), of.get("warc-date", "")
     title, lang = _TITLE.search(page), _LANG.search(page)
-    facts = {"warc-headers": dict(headers), "http-status": head.partition(b"\r\n")[0].decode("utf-8", "replace"), "http-headers": dict(http), "payload-length": len(body), "payload-digest": payload, "title": html.unescape(title[1]).strip() if title else None, "lang": lang[1] if lang else None, "links": [html.unescape(next(filter(None, m), "")) for m in _LINK.findall(page)]}
+    facts = {"warc-headers": dict(headers), "warc-fields": headers, "http-status": head.partition(b"\r\n")[0].decode("utf-8", "replace"), "http-headers": dict(http), "http-fields": http, "not-decoded": left, "payload-length": len(body), "payload-digest": payload, "title": html.unescape(title[1]).strip() if title else None, "lang": lang[1] if lang else None, "links": [html.unescape(next(filter(None, m), "")) for m in _LINK.findall(page)]}
     rows = []
     for name, content_type, content in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "surrogatepass"))):
         own = record_id(name, source, payload)
@@ -197,7 +273,7 @@ def derive(records: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64() if k in ("source_id", "content_length") else pa.binary() if k == "record" else pa.string() for k in _NAMES]
         for batch in rows:
-            out = [(i, *row) for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if data and b"WARC-Type: response" in data.partition(b"\r\n\r\n")[0] for row in derivatives(data)]
+            out = [(i, *row) for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if data and is_response(data) for row in derivatives(data)]
             columns = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
 

@@ -212,6 +212,42 @@ def test_warc(spark, tmp_path):
     assert warc_derive.derive(source.where("false")).count() == 0
 
 
+def test_warc_of_a_crawler(spark):
+    """Repeated fields, chunked and compressed bodies, field names in other case."""
+    import gzip
+    import json
+
+    page = "<html lang=fr><title>Été</title><body><a href=/x>mot</a>" + "".join(f"<p>p{i}" for i in range(3000))
+    body = page.encode()
+    raw = zlib.compressobj(wbits=-15)
+    chunked = lambda b: b"".join(b"%x;e=1\r\n%s\r\n" % (len(b[i : i + 999]), b[i : i + 999]) for i in range(0, len(b), 999)) + b"0\r\nX-T: 1\r\n\r\n"
+    cases = [
+        ("", body), ("Content-Encoding: gzip", gzip.compress(body)), ("content-encoding: X-GZIP", gzip.compress(body[:500]) + gzip.compress(body[500:])), ("Content-Encoding: deflate", zlib.compress(body)),
+        ("Content-Encoding: deflate", raw.compress(body) + raw.flush()), ("Transfer-Encoding: chunked", chunked(body)), ("Content-Encoding: gzip\r\nTransfer-Encoding: Chunked", chunked(gzip.compress(body))), ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(body))),
+        ("Transfer-Encoding: gzip, chunked", chunked(gzip.compress(body))), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", body), ("Content-Encoding: br", b"\x8b\x02\x80<p>"), ("Content-Type: text/html; charset=undefined", body),
+    ]
+    rows = []
+    for i, (more, sent) in enumerate(cases):
+        http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nLink: <u>\r\nSet-Cookie: b=2\r\n" + (more + "\r\n" if more else "").encode() + b"\r\n" + sent
+        rows.append((i, bytearray(warc_derive.record([("warc-type" if i % 2 else "WARC-TYPE", "response"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Concurrent-To", "<x>"), ("WARC-Concurrent-To", "<y>")], http))))
+    rows += [(90, bytearray(warc_derive.record([("WARC-Type", "request"), ("X-Note", "WARC-Type: response")], b""))), (91, None)]
+    out = warc_derive.derive(spark.createDataFrame(rows, "source_id long, record binary")).collect()
+    blocks = {(r.source_id, r.record_type): warc_derive.parse(bytes(r.record))[1] for r in out}
+    assert len(out) == 2 * len(cases) and len(blocks) == len(out)
+    for i in range(len(cases)):
+        facts = json.loads(blocks[i, "metadata"])
+        assert [v for k, v in facts["http-fields"] if k == "Set-Cookie"] == ["a=1", "b=2"] and [k for k, _ in facts["http-fields"][:3]] == ["Set-Cookie", "Link", "Set-Cookie"]
+        assert [v for k, v in facts["warc-fields"] if k == "WARC-Concurrent-To"] == ["<x>", "<y>"]
+        if cases[i][0].endswith("br"):
+            assert (blocks[i, "conversion"], facts["title"], facts["links"], facts["not-decoded"]) == (b"", None, [], ["br"])
+        else:
+            assert (facts["title"], facts["lang"], facts["links"], facts["not-decoded"]) == ("Été", "fr", ["/x"], [])
+            assert blocks[i, "conversion"].decode() == warc_derive.plain_text(page)
+    cut = gzip.compress(body)[:-200]  # a body that the crawler cut off gives what it holds
+    got, left = warc_derive.decoded(cut, ["gzip"])
+    assert body.startswith(got) and len(got) > 100 and not left
+
+
 def random_page():
     """A page of random elements, with its text from the way it was put together."""
     page, lines, n = ["<html><head>"], [""], 0
