@@ -19,6 +19,10 @@ are compared with it (one candidate per member, not all pairs), and the confirme
 several components is joined again: first each member with its nearest few of other components, then all pairs between components
 that the bound allows and no round has compared.  Candidates are verified on the whole sets.
 
+A region of more members than a block is dealt in chunks of its members by hash.  Each chunk proposes a pivot, the region takes the
+one of the fullest chunk, and a join by region and chunk brings it to all members; members that it didn't reach get further pivots.
+What is still open is compared block by block, a task at a time holding two blocks; no task holds the region.
+
 Documents of equal sets are one node.  The result is exact but for collisions of 64-bit hashes of n-grams and sets.
 """
 
@@ -40,6 +44,8 @@ from codetables.llm.components import components
 WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 256, 400_000
 #: Members of other components that a member is compared with before all that are left are.
 NEAREST = 4
+#: Members of a region that meet in one place (about), and rounds of pivots for the regions that hold more.
+BLOCK, ROUNDS = 2048, 3
 
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -171,7 +177,7 @@ def _unpack(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(cells: DataFrame, buckets: int) -> DataFrame:
-    """region, node: the members of every region that holds two nodes or more; regions of equal members are one."""
+    """region, node, n: the members of every region that holds two nodes or more, and their number; regions of equal members are one."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -194,12 +200,13 @@ def _shared(cells: DataFrame, buckets: int) -> DataFrame:
             keep = np.flatnonzero(many)[once]
             member = np.repeat(first[keep], size[keep]) + np.arange(size[keep].sum()) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
             region = np.repeat(name[keep].view(np.int64), size[keep])
+            many_of = np.repeat(size[keep], size[keep]).astype(np.int64)
             for i in range(0, len(member), 100_000):
-                yield pa.record_batch([pa.array(region[i : i + 100_000]), pa.array(node[member[i : i + 100_000]])], ["region", "node"])
+                yield pa.record_batch([pa.array(region[i : i + 100_000]), pa.array(node[member[i : i + 100_000]]), pa.array(many_of[i : i + 100_000])], ["region", "node", "n"])
 
     size_salt = 0x5851F42D4C957F2D
     dealt = cells.select("bucket", "cells").repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, "region long, node long").distinct()
+    return dealt.mapInArrow(run, "region long, node long, n long").distinct()
 
 
 def _by_region(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
@@ -291,6 +298,101 @@ def _candidates(members: DataFrame, num: int, den: int, step: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _chunked(members: DataFrame, block: int) -> DataFrame:
+    """With chunks, the number of a region's chunks, and chunk, the one of the member."""
+    chunks_of = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    return members.withColumn("chunks", chunks_of).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
+def _to_chunks(per_region: DataFrame) -> DataFrame:
+    """A row per region and chunk of rows per region."""
+    return per_region.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+
+def _unresolved(hot: DataFrame) -> DataFrame:
+    """Members of chunked regions of several labels, with top, the region's most frequent label, and n_open, its members of other labels."""
+    by = hot.groupBy("region", "chunks", "label").agg(F.count(F.lit(1)).alias("many"))
+    most = by.groupBy("region", "chunks").agg(F.max(F.struct("many", "label")).alias("most"), F.sum("many").alias("all")).where(F.col("all") > F.col("most.many"))
+    top = _to_chunks(most.select("region", "chunks", F.col("most.label").alias("top"), (F.col("all") - F.col("most.many")).alias("n_open")))
+    return hot.join(top.drop("chunks").hint("merge"), ["region", "chunk"])
+
+
+def _pivot_pairs(hot: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: each member of an unresolved chunked region with the region's next pivot, a member whose label is not the most frequent."""
+
+    def propose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, region, node, sizes, packed, label in _by_region(rows, 6):
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            size = np.diff(np.append(first, len(node)))
+            at = _nearest_to_mean(_counts(packed), node, first, size)
+            yield pa.record_batch([pa.array(region[at]), pa.array(size.astype(np.int64)), pa.array(node[at]), pa.array(sizes[at]), pa.array(list(packed[at]), pa.binary()), pa.array(label[at])], ["region", "many", "node", "size", "counts", "label"])
+
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions = Regions(num, den)
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            node, size, pivot, pivot_size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            off = np.abs(_counts(batch.column(2).to_numpy(zero_copy_only=False)) - _counts(batch.column(5).to_numpy(zero_copy_only=False))).sum(1, dtype=np.int64)
+            ok = off <= regions.bound(size + pivot_size)
+            yield pa.record_batch([pa.array(np.minimum(node, pivot)[ok]), pa.array(np.maximum(node, pivot)[ok])], ["a", "b"])
+
+    unresolved = _unresolved(hot)
+    dealt = unresolved.where("label <> top").select(F.xxhash64("region", "chunk").alias("cell"), "region", "node", "size", "counts", "label")
+    dealt = dealt.repartition(parallelism(hot.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    proposed = dealt.mapInArrow(propose, "region long, many long, node long, size long, counts binary, label long")
+    pivot = proposed.groupBy("region").agg(F.max(F.struct("many", "node", "size", "counts", "label")).alias("p"))
+    per_region = hot.groupBy("region").agg(F.first("chunks").alias("chunks"))
+    pivot = _to_chunks(pivot.join(per_region.hint("merge"), "region")).select("region", "chunk", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.counts").alias("pivot_counts"), F.col("p.label").alias("pivot_label"))
+    met = hot.join(pivot.hint("merge"), ["region", "chunk"]).where("label <> pivot_label AND node <> pivot")
+    return met.select("node", "size", "counts", "pivot", "pivot_size", "pivot_counts").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _grid(hot: DataFrame, block: int) -> DataFrame:
+    """cell, node, size, counts, label, side: blocks of open members (side 0) against chunks of all (1: of the most frequent label, 2: open).
+
+    Every two members of different labels of an unresolved region meet in a cell, which holds about two blocks at most.
+    """
+    unresolved = _unresolved(hot).withColumn("blocks", F.ceil(F.col("n_open") / F.lit(block)).cast("int"))
+    left = unresolved.where("label <> top").withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = unresolved.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("to", F.col("chunk"))
+    side = F.when(F.col("label") == F.col("top"), 1).otherwise(2)
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", side))
+    return rows.select(F.xxhash64("region", "at", "to").alias("cell"), "node", "size", "counts", "label", "side")
+
+
+def _block_pairs(hot: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """a, b: pairs of members of chunked regions that have different labels and that the bound allows."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions = Regions(num, den)
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            a, b = np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for cell, node, sizes, packed, label, side in _by_region(rows, 6):
+            counts, found, held = _counts(packed), [], 0
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            for b, e in zip(first.tolist(), np.append(first[1:], len(cell)).tolist(), strict=True):
+                right = b + np.flatnonzero(side[b:e] > 0)
+                for i in (b + np.flatnonzero(side[b:e] == 0)).tolist():
+                    j = right[(label[right] != label[i]) & ((side[right] == 1) | (node[right] > node[i]))]
+                    off = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
+                    j = j[off <= regions.bound(sizes[i] + sizes[j])]
+                    if len(j):
+                        found.append((np.full(len(j), node[i]), node[j]))
+                        held += len(j)
+                    if held > 100_000:
+                        yield batch_of(found)
+                        found, held = [], 0
+            if found:
+                yield batch_of(found)
+
+    dealt = _grid(hot, block).repartition(parallelism(hot.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _near_labels(links: DataFrame) -> DataFrame:
     """node, label of linked nodes: the smallest node within two links.  Nodes of one label are surely one component."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -335,14 +437,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``df``.
 
     A document's set holds its distinct runs of ``n`` words (ASCII letters in lower case, words between ASCII
     white space), the whole sequence where it has fewer; documents link when den * intersection >= num *
     union.  component_id is the smallest id that links reach.  A null, empty or blank text has an empty set
     and stays alone; a null id is reached but names nothing.  Repeated rows link with each other; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result.  Regions of more than ``block`` members are worked on in
+    pieces of about that size; the result is the same for any.
     """
     spark = df.sparkSession
     text_batches(spark, 2000)
@@ -352,18 +455,27 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     rows = out.where("bucket IS NULL").select("doc_id", "node", "n_shingles", "counts")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("counts").alias("counts")), "nodes")
     regions = written(_shared(out.where("bucket IS NOT NULL"), buckets), "regions")
-    members = written(regions.join(nodes.select("node", "size", "counts").hint("merge"), "node"), "members")
+    members = written(_chunked(regions.join(nodes.select("node", "size", "counts").hint("merge"), "node"), block), "members")
+    is_hot = F.col("n") > block
+    hot = not members.where(is_hot).isEmpty()
 
     # the texts of documents in a region, one per node: what the rounds below verify on
     ids = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
     texts = written(docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), "texts")
 
     links = tested = None
-    for step in range(3):
+    # step, and whether only regions of more than a block have part
+    for step, only_hot in [(0, False), *[(0, True)] * (ROUNDS - 1 if hot else 0), (1, False), *[(0, True)] * hot, (2, False)]:
         named = members.withColumn("label", F.col("node"))
         if links is not None:
             named = members.join(_near_labels(links).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _candidates(named, num, den, step)
+        small, large = named.where(~is_hot), named.where(is_hot)
+        if step == 1 and hot:  # the chunks as regions: links that are missed here are found in step 2
+            small = small.unionByName(large.withColumn("region", F.xxhash64("region", "chunk")))
+        pairs = None if only_hot else _candidates(small, num, den, step)
+        if hot and step != 1:
+            more = _pivot_pairs(large, num, den) if step == 0 else _block_pairs(large, num, den, block)
+            pairs = more if pairs is None else pairs.unionByName(more).distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")

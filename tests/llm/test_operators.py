@@ -140,6 +140,35 @@ def test_jaccard_join(spark, docs, none, n, num):
     assert jaccard_join.join(none, n, num).count() == 0
 
 
+def test_jaccard_join_in_blocks(spark):
+    """Large regions of one chain, of several clusters and of copies just below the threshold, in blocks of four."""
+    rows = []
+    for seed, n, edits in ((1, 40, 1), (2, 30, 3), (3, 30, 6)):
+        rng = random.Random(seed)
+        base = [f"t{k}" for k in range(60)] if seed > 1 else [f"u{k}" for k in range(60)]
+        for i in range(n):
+            w = list(base)
+            for k in range(edits):
+                w[rng.randrange(30)] = f"x{rng.randrange(3 * edits)}"
+            rows.append((1000 * seed + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.join(df, 1, 85, block=4).collect()), key=key)
+    assert got == sorted(linked(rows, 1, 85), key=key)
+
+
+def test_jaccard_cells_are_bounded(spark):
+    """A region of 3000 members is compared in cells of about two blocks, and all pairs of different labels meet in one."""
+    members = spark.range(3000).selectExpr("7L as region", "id as node", "3000L as n", "50L as size", "cast(repeat('a', 256) as binary) as counts", "if(id % 3 = 0, 0L, id % 50) as label")
+    cells = jaccard_join._grid(jaccard_join._chunked(members, 100), 100).select("cell", "node", "label", "side").collect()
+    by = collections.defaultdict(list)
+    for r in cells:
+        by[r.cell].append(r)
+    assert max(map(len, by.values())) <= 300
+    met = {(min(x.node, y.node), max(x.node, y.node)) for rows in by.values() for x in rows if x.side == 0 for y in rows if y.side and x.label != y.label}
+    label = {r.node: r.label for r in cells}
+    assert len(met) == sum(label[i] != label[j] for i in range(3000) for j in range(i))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (5, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
