@@ -3,7 +3,8 @@
 A text is cut where no pre-token of either vocabulary can cross: between what is not white space and white
 space, and between letters and simple punctuation.  So the ids of a text are the ids of its pieces in order.
 White space other than space, tab and line ends joins runs that such a cut would split; a text that holds
-any is passed to the library whole (where the vocabulary keeps white space).  Pieces that are one pre-token of plain letters go straight to the
+any is passed to the library whole (where the vocabulary keeps white space), as is one that holds an added token
+such as <|endoftext|>, which the library gives its own id.  Pieces that are one pre-token of plain letters go straight to the
 library's BPE model, which spares its normalisation and offsets.
 """
 
@@ -44,7 +45,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = (WORDS if drops_space else PIECES).findall
         self.drops_space, self.limit, self.cache, self.letters = drops_space, cache, {}, byte_letters()
@@ -76,7 +77,7 @@ class ChunkEncoder:
             self.cache.update(zip(others, self._library(others), strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [None if not self.drops_space and ODD_SPACE.search(t) else self.pieces(t) for t in texts]
+        cut = [None if not self.drops_space and ODD_SPACE.search(t) or any(x in t for x in self.added) else self.pieces(t) for t in texts]
         new = set().union(*(c for c in cut if c is not None)).difference(self.cache)
         if len(self.cache) + len(new) > self.limit:
             self.cache.clear()

@@ -75,6 +75,17 @@ def test_chunked_encoding_equals_library():
             assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts[k : k + 50])] == [encode(t) for t in texts[k : k + 50]]
 
 
+def test_added_tokens_as_the_unmodified_library():
+    from tokenizers import Tokenizer
+
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext|>", "word", " ", "\n", "\x85", "Größe", ". "]
+    texts = ["", "a <|endoftext|> b", *("".join(RNG.choice(parts) for _ in range(12)) for _ in range(300)), *("".join(RNG.choice(parts[3:]) for _ in range(12)) for _ in range(300))]
+    for name, drops, own in (("byte_bpe_50k.json", False, 50256), ("word_bpe_49k.json", True, 49407)):
+        plain, e = Tokenizer.from_file(public_tokenizers.path(name)), chunks.ChunkEncoder(public_tokenizers.path(name), drops)
+        got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and own in got[1]
+
+
 def test_packing(docs, none):
     encode = library("word_bpe_49k.json")
     got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2, length=256).collect()
