@@ -1,27 +1,28 @@
-"""Shared folders, written intermediate tables and Arrow helpers of the operators."""
+"""Shared folders, written intermediate tables, joins of uneven groups and Arrow helpers of the operators."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codetables.llm import files
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees.
+#: Groups of more rows than this (at least) are joined by a broadcast of their few keys; keys that such a broadcast holds at most.
+HEAVY, HEAVY_KEYS = 1000, 10_000
 
-    Where the session has none (tests on one machine), a temporary folder is made and set.
-    """
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which every executor sees; without one nothing is written anywhere."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(root)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -36,10 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage (a lost executor repeats one stage, not the whole job), fixes values that
     depend on the partitioning, and gives the optimizer true sizes.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
+    return _write(df, shared_folder(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one operator, which ``clear`` deletes once its result is written.
+
+    A frame that reads a cleared table can't be used any more, so only what the operator has written elsewhere leaves it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(self.spark, name)
+        self.paths.append(path)
+        return _write(df, path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            fs, at = files.store(path)
+            if fs.get_file_info(at).type == pafs.FileType.Directory:
+                fs.delete_dir(at)
+        self.paths = []
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -47,11 +72,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows from here on: the texts of one are in a worker's memory at once, several times."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -70,10 +90,44 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """``make`` of slices of at most ``most`` rows: Spark bounds the bytes of a batch, this the Python objects made of it."""
     for batch in rows:
-        if batch.num_rows:
-            yield make(batch)
+        for at in range(0, batch.num_rows, most):
+            yield make(batch.slice(at, most))
+
+
+def by_key(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, its rows) of rows that are sorted by their first column; one key's rows are in memory at a time."""
+    key, held = None, []
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *((keys[1:] != keys[:-1]).nonzero()[0] + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if held and keys[begin] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = keys[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Inner join of rows with one row per group, of which ``size`` is the number of rows.
+
+    The keys of large groups (more than HEAVY rows and more than 1/HEAVY_KEYS of all, so HEAVY_KEYS at most) are broadcast:
+    no task gets a whole large group.  All others meet by a merge join.  Keys are not null; ``groups`` is a written table.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_heavy = F.col(size) > max(HEAVY, total // HEAVY_KEYS)
+    heavy = groups.where(is_heavy)
+    if heavy.isEmpty():
+        return rows.join(groups.hint("merge"), key)
+    few = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(groups.where(~is_heavy).hint("merge"), key)
+    return few.unionByName(rows.join(F.broadcast(heavy), key))
 
 
 def prefix_bases(df: DataFrame, part: str, totals: dict[str, Column]) -> DataFrame:
@@ -102,9 +156,7 @@ def with_columns(df: DataFrame, text_col: str, names: list[str], types: list[str
     n = len(df.columns)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            if batch.num_rows:
-                yield pa.record_batch([*batch.columns[:n], *make(batch.column(at).to_pylist())], [*batch.schema.names, *given])
+        return batches_of(rows, lambda b: pa.record_batch([*b.columns[:n], *make(b.column(at).to_pylist())], [*b.schema.names, *given]))
 
     from pyspark.sql.types import StructType
 

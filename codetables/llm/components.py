@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetables.llm.common import written
+from codetables.llm.common import Scratch, join_groups
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with m, the smallest of u and all its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-    return edges.join(least, "u")
+def _nearest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each edge (u, v) with m, the smallest of u and all its neighbours; the centre of a large star has its edges in many tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = scratch.written(least.select("u", F.least("u", "least").alias("m"), "n"), "star-centres")
+    return join_groups(edges, least, ["u"], "n").select("u", "v", "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (smallest node of its component) from links (a, b); nodes without a link are left out.
 
     Links may repeat, point either way or at themselves, and be none.  Each round replaces edges by edges to the smallest neighbour;
     the rounds needed grow with the logarithm of the longest path.  Only counts come to the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, "star")
+    edges = scratch.written(edges, "star")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _nearest(large)
+        large = _nearest(both, scratch).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.written(large, "star")
+        near = _nearest(large, scratch)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "star")
+        edges = scratch.written(small, "star")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

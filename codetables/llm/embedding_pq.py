@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetables.llm.common import written
+from codetables.llm.common import Scratch, written
 from codetables.llm.components import components
 
 #: Vectors that fit the index at most, in the order of a hash of their ids.
@@ -192,7 +192,7 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     found = written(stored.unionByName(queries).groupBy(*unit_cols).applyInArrow(compare, "node long, n long, label long"), "pq-found")
-    named = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    named = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), Scratch(spark))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     whole = classes.select("node", "vec_id", "weight").join(named.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("vec_id").alias("component_id"))

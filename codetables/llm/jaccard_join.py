@@ -1,29 +1,22 @@
 """Operator 3: exact Jaccard join of word n-gram sets as a metric-space join.
 
-Pivots.  Documents as pivots can't divide a text corpus: nearly all pairs share nothing, so all distances to a
-sampled pivot are 1 and the triangle inequality excludes nobody.  The metric used here is the symmetric
-difference |x ^ y|, which the threshold bounds: J >= t means |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|).  The universe of
-n-grams is cut into slices by hash, and distances add up over slices, so of more slices than the bound
-allows differences, some slice has distance 0: there, both documents lie on the same pivot, the slice's content.
-
-Regions.  A region is a slice and a content; a document is in one region per slice (its Voronoi cells at
-distance 0).  The number of slices depends on the size window: by the triangle inequality with the empty
-set, sizes of partners differ by the bound at most, so sizes fall into windows of a growing width and only the
-documents near the upper end of one (the boundary documents) are replicated into the next.
-Empty slices say nothing; a document with so many that they could be all it shares is cut again by other hash functions,
-which again only those can match that failed as well.
-
-Inside a region.  Every document carries counts per 1/256 of the universe; the sum of their differences is, again by the triangle
-inequality, a lower bound of the distance.  The document nearest to the region's mean is its pivot: all others within the bound
-are compared with it (one candidate per member, not all pairs), and the confirmed ones are one component.  A region that still spans
-several components is joined again: first each member with its nearest few of other components, then all pairs between components
-that the bound allows and no round has compared.  Candidates are verified on the whole sets.
-
-A region of more members than a block is dealt in chunks of its members by hash.  Each chunk proposes a pivot, the region takes the
-one of the fullest chunk, and a join by region and chunk brings it to all members; members that it didn't reach get further pivots.
-What is still open is compared block by block, a task at a time holding two blocks; no task holds the region.
-
-Documents of equal sets are one node.  The result is exact but for collisions of 64-bit hashes of n-grams and sets.
+The distance of two sets is 1 - |x & y| / |x | y|, a metric; documents link when it is at most eps = 1 - num / den.
+
+Pivots.  A sampled pivot can't divide a text corpus: nearly all documents share nothing with it, so nearly all distances
+are 1 and no triangle inequality excludes anybody.  So documents elect their pivots.  All documents order their n-grams
+by how many documents hold them, rarest first; the first |x| - ceil(t * |x|) + 1 of a set are its prefix, and of two sets that
+link, the prefixes share an n-gram.  Each n-gram that several prefixes hold elects the smallest of their documents as a pivot:
+a document at a distance below 1 from all others that elected it.  A pivot's region holds the documents that elected it.
+A document whose rare n-grams outnumber its prefix elects nobody and leaves here; most do.  Two documents that link have a pivot in common.
+
+Regions.  A region small enough for one task is joined exactly there: one product of its incidence matrix gives all intersections.
+A larger one is divided recursively.  Some of its members become pivots; a member goes to the Voronoi cell of its
+nearest pivot and, by the triangle inequality, to every other cell whose pivot is at most 2 * eps farther, so linked members
+share a cell.  All distances that this computes are exact, and those within eps are links.  A region that pivots can't divide
+(its cells would hold most members several times) is compared in blocks of pairs, a task at a time holding two blocks.
+
+Only components are asked for, so a region whose members are one component already is done, and members of one component
+are not compared in blocks.  Documents of equal sets are one node.  The result is exact but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,20 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import documents, parallelism, text_batches, texts_of, written
+from codetables.llm.common import Scratch, by_key, documents, join_groups, parallelism, texts_of, written
 from codetables.llm.components import components
 
-#: Growth of the size windows, hash functions for documents with many empty slices, bins of the counts, words remembered.
-WINDOW, SEEDS, BINS, WORDS = 1.6, 4, 256, 400_000
-#: Members of other components that a member is compared with before all that are left are.
-NEAREST = 4
-#: Members of a region that meet in one place (about), and rounds of pivots for the regions that hold more.
-BLOCK, ROUNDS = 2048, 3
+#: Members, and n-grams of all members together, that one task joins at once; words whose hashes a worker remembers.
+BLOCK, WEIGHT, WORDS = 512, 4_000_000, 400_000
+#: Pivots by which a large region is divided, rounds of that, and copies of a member that cells may hold on average.
+PIVOTS, ROUNDS, COPIES = 8, 2, 2.0
+#: Bits at most of the filter by which texts are chosen to be read again: 4 MB are broadcast.
+FILTER_BITS = 1 << 25
 
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -79,228 +73,277 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def windows(most: int, num: int, den: int) -> list[int]:
-    """Lower ends of the size windows up to ``most`` and beyond; a set's partners lie in its window or a neighbouring one."""
-    ends = [1]
-    while ends[-1] <= most or len(ends) < 3:
-        last = ends[-1]
-        ends.append(max(last + 1, int(last * WINDOW), (last - 1) * den // num + 1))
-    return [*ends, 2 * ends[-1]]
-
-
-class Regions:
-    """Signatures of the regions in which a set lies."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.ends = num, den, np.array(windows(1 << 24, num, den))
-
-    def bound(self, total):
-        """Largest symmetric difference of sets of ``total`` elements together that may still link."""
-        return (self.den - self.num) * total // (self.den + self.num)
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        w = int(np.searchsorted(self.ends, len(s), "right")) - 1
-        homes = [w, w + 1] if len(s) * self.den >= self.num * int(self.ends[w + 1]) else [w]
-        out = []
-        for home in homes:
-            k = int(self.bound(2 * (int(self.ends[home + 1]) - 1)))
-            if not k:
-                continue  # in this window only equal sets link, and these are one node
-            m = k + 1 + max(1, k // 8)
-            for seed in range(SEEDS):
-                v = np.sort(_mix(s ^ _U(0xA24BAED4963EE407 * seed & (1 << 64) - 1))) if seed else s
-                at = ((v >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                place = at[first].astype(np.uint64)
-                content = np.add.reduceat(_mix(v + _U(seed)), first)
-                empty = m - len(first)
-                fails = empty >= m - k
-                if fails and seed == SEEDS - 1:
-                    hollow = np.setdiff1d(np.arange(m), at[first]).astype(np.uint64)
-                    place, content = np.append(place, hollow), np.append(content, np.zeros(len(hollow), np.uint64))
-                out.append(_mix(content + _mix(place * _U(SEEDS) + _U(seed) + _U(home << 40))))
-                if not fails:
-                    break
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-PASS = "doc_id long, node long, n_shingles long, counts binary, bucket int, cells binary"
-
-
-def _sets(df: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """One pass over the texts: a row per document, and rows of packed regions per bucket of signatures."""
+def node_of(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = Regions(num, den)
-        none = {f.name: f.type for f in pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("counts", pa.binary()), ("bucket", pa.int32()), ("cells", pa.binary())])}
 
-        def batch_of(size: int, **columns) -> pa.RecordBatch:
-            return pa.record_batch([columns[k].cast(t) if k in columns else pa.nulls(size, t) for k, t in none.items()], list(none))
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Number below ``parts`` from the upper half of 64-bit hashes."""
+    return ((h.view(np.uint64) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
-        for batch in rows:
-            at = 0
-            for texts in chunks.groups(texts_of(batch.column(1)), len, 16 << 20):
-                nodes, sizes, counts, signatures = [], [], [], []
-                for text in texts:
-                    s = shingle_set(text, n)
-                    sizes.append(len(s))
-                    if not len(s):
-                        nodes.append(None)
-                        counts.append(None)
-                        continue
-                    nodes.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)).item())
-                    counts.append(np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-                    signatures.append((nodes[-1], regions.signatures(s)))
-                yield batch_of(len(texts), doc_id=batch.column(0).slice(at, len(texts)), node=pa.array(nodes, pa.int64()), n_shingles=pa.array(sizes, pa.int64()), counts=pa.array(counts, pa.binary()))
-                at += len(texts)
-                if signatures:
-                    sig = np.concatenate([s for _, s in signatures])
-                    of = np.repeat(np.arange(len(signatures)), [len(s) for _, s in signatures])
-                    ids = np.array([i for i, _ in signatures], np.int64)
-                    bucket = ((sig >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                    order = np.lexsort((of, bucket))
-                    found, begins = np.unique(bucket[order], return_index=True)
-                    cells = []
-                    for b, e in zip(begins, np.append(begins[1:], len(order)), strict=True):
-                        mine = order[b:e]
-                        docs, n_of = np.unique(of[mine], return_counts=True)
-                        cells.append(np.array([len(docs)], "<u4").tobytes() + ids[docs].astype("<i8").tobytes() + n_of.astype("<u4").tobytes() + (sig[mine] & _U(0xFFFFFFFF)).astype("<u4").tobytes())
-                    yield batch_of(len(cells), bucket=pa.array(found, pa.int32()), cells=pa.array(cells, pa.binary()))
 
-    return df.mapInArrow(run, PASS)
+def _packed(part: np.ndarray, node: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) per part: the nodes in order, how many entries each has, and the columns of the entries."""
+    order = np.lexsort((node, part))
+    part, node, columns = part[order], node[order], [c[order] for c in columns]
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for b, e in zip(cuts, cuts[1:], strict=False):
+        first = np.flatnonzero(np.append(True, node[b + 1 : e] != node[b : e - 1]))
+        times = np.diff(np.append(first, e - b)).astype("<u4")
+        yield int(part[b]), b"".join((np.array([len(first)], "<u4").tobytes(), node[b:e][first].astype("<i8").tobytes(), times.tobytes(), *(c[b:e].tobytes() for c in columns)))
 
 
-def _unpack(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = np.frombuffer(cells, "<u4", 1)
-    ids = np.frombuffer(cells, "<i8", n, 4)
-    return np.repeat(ids, np.frombuffer(cells, "<u4", n, 4 + 8 * n)), np.frombuffer(cells, "<u4", -1, 4 + 12 * n)
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The nodes of the entries and their columns."""
+    (n,) = np.frombuffer(data, "<u4", 1)
+    times = np.frombuffer(data, "<u4", n, 4 + 8 * n)
+    out, at, total = [np.repeat(np.frombuffer(data, "<i8", n, 4), times)], 4 + 12 * n, int(times.sum())
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, total, at))
+        at += total * np.dtype(kind).itemsize
+    return out
 
 
-def _shared(cells: DataFrame, buckets: int) -> DataFrame:
-    """region, node, n: the members of every region that holds two nodes or more, and their number; regions of equal members are one."""
+DOCS = [("doc_id", pa.int64()), ("raw", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("n_keys", pa.int64())]
+KEYED = pa.schema([("part", pa.int64()), *DOCS, ("cells", pa.binary())])
+KEYED_DDL = "part long, doc_id long, raw long, node long, n_shingles long, n_keys long, cells binary"
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for batch in rows:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(b, []).append(c)
-        for blobs in by.values():
-            parts = [_unpack(c) for c in blobs]
-            node, sig = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-            order = np.lexsort((node, sig))
-            node, sig = node[order], sig[order]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-            node, sig = node[new], sig[new]
-            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(first, len(sig)))
-            # the region's name: a hash of its members
-            name = np.add.reduceat(_mix(node.view(np.uint64) + _U(size_salt)), first) if len(first) else np.zeros(0, np.uint64)
-            many = size > 1
-            _, once = np.unique(name[many], return_index=True)
-            keep = np.flatnonzero(many)[once]
-            member = np.repeat(first[keep], size[keep]) + np.arange(size[keep].sum()) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
-            region = np.repeat(name[keep].view(np.int64), size[keep])
-            many_of = np.repeat(size[keep], size[keep]).astype(np.int64)
-            for i in range(0, len(member), 100_000):
-                yield pa.record_batch([pa.array(region[i : i + 100_000]), pa.array(node[member[i : i + 100_000]]), pa.array(many_of[i : i + 100_000])], ["region", "node", "n"])
-
-    size_salt = 0x5851F42D4C957F2D
-    dealt = cells.select("bucket", "cells").repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, "region long, node long, n long").distinct()
-
-
-def _by_region(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Columns of whole regions from rows sorted by region, about a batch at a time."""
-    held: list[list] = []
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        got = [batch.column(0).to_numpy(), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, columns))]
-        last = np.flatnonzero(got[0] != got[0][-1])
-        cut = last[-1] + 1 if len(last) else 0
-        if cut or held and held[-1][0][-1] != got[0][0]:
-            if not cut:
-                yield [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = [got]
-                continue
-            held.append([c[:cut] for c in got])
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = [[c[cut:] for c in got]]
-        else:
-            held.append(got)
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
+def _batch(size: int, **columns) -> pa.RecordBatch:
+    return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in KEYED], schema=KEYED)
 
-def _counts(column: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), BINS).astype(np.int16)
 
+def _cells(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """One pass over the texts: a row per document, and per part of the n-grams' hashes a row that packs the n-grams of many documents."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            at = 0
+            for texts in chunks.groups(texts_of(batch.column(2)), len, 8 << 20):
+                nodes, sizes, sets = [], [], []
+                for text in texts:
+                    s = shingle_set(text, n)
+                    sizes.append(len(s))
+                    nodes.append(node_of(s) if len(s) else None)
+                    if len(s):
+                        sets.append(s)
+                keys = [np.unique((s >> _U(32)) * _U(parts) >> _U(32) << _U(32) | s & _U(0xFFFFFFFF)) for s in sets]
+                n_keys = iter(map(len, keys))
+                node = pa.array(nodes, pa.int64())
+                spread = pa.array(_part(_mix(np.array([x or 0 for x in nodes], np.int64).view(np.uint64)), parts))
+                yield _batch(len(texts), part=spread, doc_id=batch.column(0).slice(at, len(texts)), raw=batch.column(1).slice(at, len(texts)), node=node, n_shingles=pa.array(sizes, pa.int64()), n_keys=pa.array([next(n_keys) if x is not None else 0 for x in nodes], pa.int64()))
+                at += len(texts)
+                if keys:
+                    held = np.repeat(np.array([x for x in nodes if x is not None], np.int64), [len(k) for k in keys])
+                    flat = np.concatenate(keys)
+                    cells = list(_packed((flat >> _U(32)).astype(np.int64), held, (flat & _U(0xFFFFFFFF)).astype("<u4")))
+                    yield _batch(len(cells), part=pa.array([p for p, _ in cells], pa.int64()), cells=pa.array([c for _, c in cells], pa.binary()))
+
+    return docs.mapInArrow(run, KEYED_DDL)
 
-def _nearest_to_mean(counts: np.ndarray, node: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Row of each region's pivot: the member nearest to the mean of the counts, then the smallest node."""
-    mean = (np.add.reduceat(counts, first, dtype=np.float32) / size[:, None]).astype(np.float32)
-    of = np.repeat(np.arange(len(first)), size)
-    off = np.abs(counts - mean[of]).sum(1)
-    return np.lexsort((node, off, of))[first]
 
+def _shared(cells: DataFrame, parts: int) -> DataFrame:
+    """The documents' rows, and per part of the nodes' hashes rows that pack n-grams which several nodes hold, with a class of how many do."""
 
-def _candidates(members: DataFrame, num: int, den: int, step: int) -> DataFrame:
-    """a, b: pairs to verify, from region, node, size, counts and label.
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in by_key(rows):
+            docs = table.filter(pa.compute.is_null(table.column("cells"))).combine_chunks()
+            for b in docs.to_batches():
+                target = _part(b.column(3).fill_null(0).to_numpy(), parts)
+                yield pa.record_batch([pa.array(target), *b.columns[1:]], schema=KEYED)
+            blobs = [c for c in table.column("cells").to_pylist() if c is not None]
+            del table, docs
+            for low, high in _ranges(sum(map(len, blobs))):
+                node, key = [], []
+                for c in blobs:
+                    a, b = _unpacked(c, "<u4")
+                    if high - low < 1 << 32:
+                        inside = (b >= low) & (b < high)
+                        a, b = a[inside], b[inside]
+                    node.append(a)
+                    key.append(b)
+                node, key = np.concatenate(node) if node else np.zeros(0, np.int64), np.concatenate(key) if key else np.zeros(0, np.uint32)
+                order = np.argsort(key, kind="stable")
+                node, key = node[order], key[order]
+                same = np.append(key[1:] == key[:-1], False)
+                again = same | np.append(False, same[:-1])
+                node, key = node[again], key[again]
+                if not len(key):
+                    continue
+                order = np.lexsort((node, key))
+                node, key = node[order], key[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+                node, key = node[new], key[new]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                often = np.diff(np.append(first, len(key)))
+                # eight classes to a doubling: the order needs a number that is the same for all holders, not the exact count
+                kind = np.repeat(np.minimum(255, 8 * np.log2(often)).astype(np.uint8), often)
+                many = np.repeat(often > 1, often)
+                node, key, kind = node[many], key[many], kind[many]
+                if len(node):
+                    found = list(_packed(_part(node, parts), node, np.full(len(node), part, "<u4"), key.astype("<u4"), kind))
+                    yield _batch(len(found), part=pa.array([p for p, _ in found], pa.int64()), cells=pa.array([c for _, c in found], pa.binary()))
+
+    return cells.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, KEYED_DDL)
+
+
+def _ranges(size: int, most: int = 48 << 20) -> list[tuple[int, int]]:
+    """Ranges of 32-bit keys that hold at most about ``most`` of ``size`` bytes each."""
+    n = -(-size // most)
+    ends = [(1 << 32) * i // max(1, n) for i in range(n + 1)]
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def prefix(size, num: int, den: int):
+    """Length of the prefix of a set: two sets that link share an element of their prefixes, in any order that both follow."""
+    return size - -(-num * size // den) + 1
+
+
+def _votes(shared: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """gram, node, n_shingles: the n-grams of each node's prefix that other nodes hold as well."""
 
-    step 0: each member with its region's pivot; 1: with its nearest members of other labels; 2: with all members of other labels.
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in by_key(rows):
+            blobs = [_unpacked(c, "<u4", "<u4", "u1") for c in table.column("cells").to_pylist() if c is not None]
+            docs = table.filter(pa.compute.is_valid(table.column("node")))
+            if not blobs or not docs.num_rows:
+                continue
+            node, at = np.unique(docs.column("node").to_numpy(), return_index=True)
+            size, keys = (docs.column(k).to_numpy()[at] for k in ("n_shingles", "n_keys"))
+            of, part, key, kind = (np.concatenate(c) for c in zip(*blobs, strict=True))
+            where = np.searchsorted(node, of)
+            # n-grams that no other node holds come first in the order
+            room = (prefix(size, num, den) - (keys - np.bincount(where, minlength=len(node))))[where]
+            inside = room > 0
+            where, part, key, kind, room = where[inside], part[inside], key[inside], kind[inside], room[inside]
+            order = np.lexsort((key, part, kind, where))
+            where, part, key, room = where[order], part[order], key[order], room[order]
+            first = np.append(True, where[1:] != where[:-1])
+            rank = np.arange(len(where)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(where) else where
+            chosen = rank < room
+            where, gram = where[chosen], (part[chosen].astype(np.int64) << 32) | key[chosen].astype(np.int64)
+            for i in range(0, len(gram), 100_000):
+                yield pa.record_batch([pa.array(x) for x in (gram[i : i + 100_000], node[where[i : i + 100_000]], size[where[i : i + 100_000]])], ["gram", "node", "n_shingles"])
+
+    dealt = shared.select("part", "node", "n_shingles", "n_keys", "cells").where("node IS NOT NULL OR cells IS NOT NULL")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "gram long, node long, n_shingles long")
+
+
+def _sized(regions: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """region, node, n_shingles with members and weight: the number of members and of their n-grams; regions of one member go."""
+    regions = scratch.written(regions.distinct(), name)
+    sizes = scratch.written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1"), f"{name}-sizes")
+    return scratch.written(join_groups(regions, sizes, ["region"], "members"), f"{name}-sized")
+
+
+def _filter(wanted: DataFrame, bits: int) -> np.ndarray:
+    """64-bit words in which the bit of each wanted doc_id is set; of a fixed number at most, as are the rows that come to the driver."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}L) & 63L AS int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy()
+    return out
+
+
+def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """node, elements BINARY of the members, made again from the text of one document each.
+
+    Texts are chosen by a filter of bounded size, without a shuffle: it may let more pass, which the callers' joins leave out.
     """
+    needed = scratch.written(members.select("node").distinct(), "needed")
+    wanted = scratch.written(rows.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    words = docs.sparkSession.sparkContext.broadcast(_filter(wanted, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            chosen = (words.value[at >> 6] >> (at & 63)) & 1 == 1
+            found = batch.column(1).filter(pa.array(chosen))
+            for texts in chunks.groups(texts_of(found), len, 8 << 20):
+                got = [s for s in (shingle_set(t, n) for t in texts) if len(s)]
+                yield pa.record_batch([pa.array([node_of(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["node", "elements"])
+
+    # an id of several rows brings all their sets
+    found = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text").mapInArrow(run, "node long, elements binary")
+    return scratch.written(found.dropDuplicates(["node"]), "sets")
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, or of all with each other."""
+    sets = left if right is None else left + right
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets), kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        return np.array([[shared]]) if right is not None else np.array([[len(sets[0]), shared], [shared, len(sets[1])]])
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    column = np.cumsum(several) - 1
+    keep = several[at]
+    of, at = of[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    split = len(left)
+    out = np.zeros((split, split if right is None else len(right)))
+    width = max(1, (1 << 21) // len(sets))
+    for low in range(0, int(several.sum()), width):
+        b, e = np.searchsorted(at, (low, low + width))
+        hit = np.zeros((len(sets), width), np.float32)
+        hit[of[b:e], at[b:e] - low] = 1
+        out += hit[:split] @ (hit if right is None else hit[split:]).T
+    out = out.astype(np.int64)
+    if right is None:  # elements that only one member has
+        out[np.arange(split), np.arange(split)] = [len(s) for s in left]
+    return out
+
+
+def _elements(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _lengths(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([len(s) for s in sets], np.int64)
+
+
+def _star(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links of each node that has one to the smallest node of its component here, which says as much as all links do."""
+    big = np.iinfo(np.int64).max
+    ll, lr = left.copy(), right.copy()
+    while True:
+        nr = np.minimum(lr, np.where(linked, ll[:, None], big).min(0, initial=big))
+        nl = np.minimum(ll, np.where(linked, nr, big).min(1, initial=big))
+        if (nr == lr).all() and (nl == ll).all():
+            break
+        ll, lr = nl, nr
+    a, b = np.concatenate((ll, lr)), np.concatenate((left, right))
+    real = a != b
+    return a[real], b[real]
+
+
+def _leaf_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links that connect what is connected within each region; a region is in one task's memory."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = Regions(num, den)
-
-        def near(counts: np.ndarray, sizes: np.ndarray, i, j) -> tuple[np.ndarray, np.ndarray]:
-            """Lower bound of the distance, and whether it allows a link."""
-            off = np.abs(counts[i] - counts[j]).sum(-1, dtype=np.int64)
-            return off, off <= regions.bound(sizes[i] + sizes[j])
-
-        for region, node, sizes, packed, label in _by_region(rows, 5):
-            first = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-            size = np.diff(np.append(first, len(region)))
-            of = np.repeat(np.arange(len(first)), size)
-            split = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
-            pick = split[of]
-            if not pick.any():
+        for _, table in by_key(rows):
+            if table.num_rows < 2:
                 continue
-            node, sizes, label, of = node[pick], sizes[pick], label[pick], of[pick]
-            counts = _counts(packed[pick])
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            size = np.diff(np.append(first, len(of)))
-            pairs = []
-            if step == 0:
-                i, j = np.arange(len(node)), np.repeat(_nearest_to_mean(counts, node, first, size), size)
-                ok = (node[i] != node[j]) & near(counts, sizes, i, j)[1]
-                pairs.append((node[i[ok]], node[j[ok]]))
-            else:
-                for b, n in zip(first.tolist(), size.tolist(), strict=True):
-                    names, times = np.unique(label[b : b + n], return_counts=True)
-                    most = names[np.argmax(times)]
-                    for i in range(b, b + n):
-                        j = np.arange(b, b + n) if step == 1 else np.arange(i + 1, b + n)
-                        if step == 1 and label[i] == most:
-                            continue  # the others of the region look for it
-                        j = j[label[j] != label[i]]
-                        off, ok = near(counts, sizes, np.full(len(j), i), j)
-                        j = j[ok] if step == 2 else j[ok][np.argsort(off[ok], kind="stable")[:NEAREST]]
-                        if len(j):
-                            pairs.append((np.full(len(j), node[i]), node[j]))
-            if pairs:
-                a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                for i in range(0, len(both), 100_000):
-                    yield pa.record_batch([pa.array(both[i : i + 100_000, 0].copy()), pa.array(both[i : i + 100_000, 1].copy())], ["a", "b"])
-
-    dealt = members.select("region", "node", "size", "counts", "label").repartition(parallelism(members.sparkSession), "region").sortWithinPartitions("region", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            node, got = table.column(1).to_numpy(), _elements(table.column(2))
+            size, both = _lengths(got), _intersections(got)
+            linked = den * both >= num * (size[:, None] + size - both)
+            np.fill_diagonal(linked, False)
+            if linked.any():
+                a, b = _star(linked, node, node)
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = members.select("region", "node").join(sets.hint("merge"), "node").select("region", "node", "elements")
+    return dealt.repartition(parallelism(sets.sparkSession), "region").sortWithinPartitions("region", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _chunked(members: DataFrame, block: int) -> DataFrame:
-    """With chunks, the number of a region's chunks, and chunk, the one of the member."""
-    chunks_of = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    """With chunks, the number of a region's chunks, and chunk, the one of the member: about ``block`` members and WEIGHT n-grams each."""
+    chunks_of = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("weight") / F.lit(WEIGHT))).cast("int")
     return members.withColumn("chunks", chunks_of).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
 
 
@@ -317,124 +360,157 @@ def _unresolved(hot: DataFrame) -> DataFrame:
     return hot.join(top.drop("chunks").hint("merge"), ["region", "chunk"])
 
 
-def _pivot_pairs(hot: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: each member of an unresolved chunked region with the region's next pivot, a member whose label is not the most frequent."""
+def _divided(hot: DataFrame, sets: DataFrame, num: int, den: int, salt: int) -> DataFrame:
+    """a, b: links with pivots; or region, parent, node, n_shingles: a member of a Voronoi cell of an unresolved chunked region.
 
-    def propose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, region, node, sizes, packed, label in _by_region(rows, 6):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            size = np.diff(np.append(first, len(node)))
-            at = _nearest_to_mean(_counts(packed), node, first, size)
-            yield pa.record_batch([pa.array(region[at]), pa.array(size.astype(np.int64)), pa.array(node[at]), pa.array(sizes[at]), pa.array(list(packed[at]), pa.binary()), pa.array(label[at])], ["region", "many", "node", "size", "counts", "label"])
+    PIVOTS members of each region are its pivots, the first by a hash; each chunk of the region gets their sets.
+    """
 
-    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = Regions(num, den)
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            node, size, pivot, pivot_size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-            off = np.abs(_counts(batch.column(2).to_numpy(zero_copy_only=False)) - _counts(batch.column(5).to_numpy(zero_copy_only=False))).sum(1, dtype=np.int64)
-            ok = off <= regions.bound(size + pivot_size)
-            yield pa.record_batch([pa.array(np.minimum(node, pivot)[ok]), pa.array(np.maximum(node, pivot)[ok])], ["a", "b"])
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in by_key(rows):
+            pivot = table.column("is_pivot").to_numpy()
+            ours = table.filter(pa.array(pivot))
+            pivots, name = _elements(ours.column("elements")), ours.column("node").to_numpy()
+            others = table.filter(pa.array(~pivot))
+            for at in range(0, others.num_rows, BLOCK):
+                some = others.slice(at, BLOCK)
+                node, got = some.column("node").to_numpy(), _elements(some.column("elements"))
+                both = _intersections(got, pivots)
+                union = _lengths(got)[:, None] + _lengths(pivots) - both
+                linked = (den * both >= num * union) & (node[:, None] != name)
+                i, j = np.nonzero(linked)
+                yield _split(len(i), a=pa.array(np.minimum(node[i], name[j])), b=pa.array(np.maximum(node[i], name[j])))
+                # distances as fractions: a cell is entered where d <= nearest + 2 * eps, with room for rounding
+                far = 1 - both / union
+                i, j = np.nonzero(far <= far.min(1, keepdims=True) + 2 * (den - num) / den + 1e-9)
+                parent = some.column("region").to_numpy()[i]
+                cell = _mix(_mix(parent.view(np.uint64)) + name[j].view(np.uint64)).view(np.int64)
+                yield _split(len(i), region=pa.array(cell), parent=pa.array(parent), node=pa.array(node[i]), n_shingles=pa.array(_lengths(got)[i]))
 
     unresolved = _unresolved(hot)
-    dealt = unresolved.where("label <> top").select(F.xxhash64("region", "chunk").alias("cell"), "region", "node", "size", "counts", "label")
-    dealt = dealt.repartition(parallelism(hot.sparkSession), "cell").sortWithinPartitions("cell", "node")
-    proposed = dealt.mapInArrow(propose, "region long, many long, node long, size long, counts binary, label long")
-    pivot = proposed.groupBy("region").agg(F.max(F.struct("many", "node", "size", "counts", "label")).alias("p"))
-    per_region = hot.groupBy("region").agg(F.first("chunks").alias("chunks"))
-    pivot = _to_chunks(pivot.join(per_region.hint("merge"), "region")).select("region", "chunk", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.counts").alias("pivot_counts"), F.col("p.label").alias("pivot_label"))
-    met = hot.join(pivot.hint("merge"), ["region", "chunk"]).where("label <> pivot_label AND node <> pivot")
-    return met.select("node", "size", "counts", "pivot", "pivot_size", "pivot_counts").mapInArrow(compare, "a long, b long").distinct()
+    first = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(salt)), "node")
+    pivots = unresolved.select("region", "chunks", "node").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
+    pivots = _to_chunks(pivots).select("region", "chunk", "node", F.lit(True).alias("is_pivot"))
+    rows = unresolved.select("region", "chunk", "node", F.lit(False).alias("is_pivot")).unionByName(pivots)
+    rows = rows.join(sets.hint("merge"), "node").select(F.xxhash64("region", "chunk").alias("key"), "region", "node", "is_pivot", "elements")
+    return rows.repartition(parallelism(sets.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(run, SPLIT_DDL)
+
+
+SPLIT = pa.schema([(k, pa.int64()) for k in ("a", "b", "region", "parent", "node", "n_shingles")])
+SPLIT_DDL = "a long, b long, region long, parent long, node long, n_shingles long"
+
+
+def _split(size: int, **columns) -> pa.RecordBatch:
+    return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in SPLIT], schema=SPLIT)
 
 
 def _grid(hot: DataFrame, block: int) -> DataFrame:
-    """cell, node, size, counts, label, side: blocks of open members (side 0) against chunks of all (1: of the most frequent label, 2: open).
+    """cell, node, label, side: blocks of open members (side 0) against chunks of all (1: of the most frequent label, 2: open).
 
     Every two members of different labels of an unresolved region meet in a cell, which holds about two blocks at most.
     """
-    unresolved = _unresolved(hot).withColumn("blocks", F.ceil(F.col("n_open") / F.lit(block)).cast("int"))
+    unresolved = _unresolved(hot)
+    # as many blocks as members and n-grams ask for
+    blocks = F.least(F.ceil(F.col("n_open") / F.lit(block) + F.col("n_open") * F.col("weight") / F.col("members") / F.lit(WEIGHT)), F.col("n_open")).cast("int")
+    unresolved = unresolved.withColumn("blocks", blocks)
     left = unresolved.where("label <> top").withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = unresolved.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("to", F.col("chunk"))
     side = F.when(F.col("label") == F.col("top"), 1).otherwise(2)
     rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", side))
-    return rows.select(F.xxhash64("region", "at", "to").alias("cell"), "node", "size", "counts", "label", "side")
+    return rows.select(F.xxhash64("region", "at", "to").alias("cell"), "node", "label", "side")
 
 
-def _block_pairs(hot: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """a, b: pairs of members of chunked regions that have different labels and that the bound allows."""
+def _block_links(hot: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """a, b: links between members of chunked regions that have different labels."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = Regions(num, den)
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            a, b = np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
-            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for cell, node, sizes, packed, label, side in _by_region(rows, 6):
-            counts, found, held = _counts(packed), [], 0
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            for b, e in zip(first.tolist(), np.append(first[1:], len(cell)).tolist(), strict=True):
-                right = b + np.flatnonzero(side[b:e] > 0)
-                for i in (b + np.flatnonzero(side[b:e] == 0)).tolist():
-                    j = right[(label[right] != label[i]) & ((side[right] == 1) | (node[right] > node[i]))]
-                    off = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
-                    j = j[off <= regions.bound(sizes[i] + sizes[j])]
-                    if len(j):
-                        found.append((np.full(len(j), node[i]), node[j]))
-                        held += len(j)
-                    if held > 100_000:
-                        yield batch_of(found)
-                        found, held = [], 0
-            if found:
-                yield batch_of(found)
-
-    dealt = _grid(hot, block).repartition(parallelism(hot.sparkSession), "cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _near_labels(links: DataFrame) -> DataFrame:
-    """node, label of linked nodes: the smallest node within two links.  Nodes of one label are surely one component."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    one = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("v"), F.least("u", "v").alias("least"))
-    return both.join(one.hint("merge"), "v").groupBy("u").agg(F.min("least").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label"))
-
-
-def _with_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """node, elements BINARY of the nodes in ``pairs``, made again from the text of one document each."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(needed, "node", "left_semi").select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted")).distinct()
-    texts = docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            got = []
-            for wanted, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                s = shingle_set(text, n)
-                if np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) == wanted:  # else another row of the same id
-                    got.append((wanted, s.tobytes()))
-            yield pa.record_batch([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], ["node", "elements"])
-
-    return texts.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
-
+        for _, table in by_key(rows):
+            side = table.column("side").to_numpy()
+            left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side > 0))
+            if not left.num_rows or not right.num_rows:
+                continue
+            (a, x), (b, y) = ((t.column("node").to_numpy(), _elements(t.column("elements"))) for t in (left, right))
+            both = _intersections(x, y)
+            linked = den * both >= num * (_lengths(x)[:, None] + _lengths(y) - both)
+            linked &= left.column("label").to_numpy()[:, None] != right.column("label").to_numpy()
+            if linked.any():
+                a, b = _star(linked, a, b)
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
+    dealt = _grid(hot, block).join(sets.hint("merge"), "node").select("cell", "node", "label", "side", "elements")
+    return dealt.repartition(parallelism(sets.sparkSession), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long").distinct()
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(den * shared >= num * (len(both) - shared))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")).hint("merge"), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")).hint("merge"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _near_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label of linked nodes: the smallest node within two links.  Nodes of one label are surely one component."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    one = scratch.written(both.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.least("u", "v").alias("least"), "n"), "near")
+    return join_groups(both, one, ["v"], "n").groupBy("u").agg(F.min("least").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label"))
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect all that is connected, of the members of regions."""
+    small = (F.col("members") <= block) & (F.col("weight") <= WEIGHT)
+    links = scratch.written(_leaf_links(members.where(small), sets, num, den), "leaf-links")
+    hot = members.where(~small)
+    whole = None  # regions that pivots don't divide
+    for salt in range(ROUNDS + 1):
+        if hot.isEmpty():
+            break
+        labelled = hot.join(_near_labels(links, scratch).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = scratch.written(_chunked(labelled, block), "hot")
+        if salt == ROUNDS:
+            whole = labelled if whole is None else whole.unionByName(labelled)
+            break
+        split = scratch.written(_divided(labelled, sets, num, den, salt), "divided")
+        links = links.unionByName(split.where("a IS NOT NULL").select("a", "b"))
+        cells = split.where("region IS NOT NULL")
+        # a parent whose cells hold its members too often stays as it is
+        held = scratch.written(cells.groupBy("parent").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("parent", "region"), "held")
+        per_region = labelled.select("region", "chunks", "chunk", "members")
+        stays = scratch.written(per_region.groupBy("region").agg(F.first("members").alias("members")).join(held.hint("merge"), "region").where(F.col("held") > COPIES * F.col("members")).select("region", F.col("members").alias("n")), "stays")
+        kept = join_groups(labelled, stays, ["region"], "n").drop("n")
+        whole = kept if whole is None else whole.unionByName(kept)
+        inner = cells.join(stays.select(F.col("region").alias("parent")).hint("merge"), "parent", "left_anti").select("region", "node", "n_shingles")
+        cells = _sized(inner, scratch, f"cells-{salt}")
+        links = links.unionByName(scratch.written(_leaf_links(cells.where(small), sets, num, den), "cell-links"))
+        hot = cells.where(~small)
+    if whole is not None:
+        labels = components(links, scratch)
+        named = whole.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = links.unionByName(scratch.written(_block_links(scratch.written(named, "whole"), sets, num, den, block), "block-links"))
+    return links
+
+
+def mark(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, raw (a hash of the text), kept: one row per row of ``df``, as ``join`` describes it.
+
+    Of a component, the row of the smallest doc_id is kept, then of the smallest raw; a null id comes last.  Rows that are equal
+    in both are all marked, so whoever filters by the two still has to leave one of them.  A document with an empty set is kept.
+    """
+    spark = df.sparkSession
+    parts, scratch = parallelism(spark), Scratch(spark)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared = scratch.written(_shared(_cells(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text"), n, parts), parts), "shared")
+    rows = shared.where("cells IS NULL").select("doc_id", "raw", "node", "n_shingles")
+    votes = scratch.written(_votes(shared, num, den, parts), "votes")
+    pivots = scratch.written(votes.groupBy("gram").agg(F.min("node").alias("region"), F.count(F.lit(1)).alias("voters")).where("voters > 1"), "pivots")
+    members = _sized(join_groups(votes, pivots, ["gram"], "voters").select("region", "node", "n_shingles"), scratch, "regions")
+    links = _links(members, _sets(docs, rows, members, n, scratch), num, den, block, scratch)
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("first")
+    of_node = rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), first)
+    nodes = of_node.join(components(links, scratch).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = scratch.written(nodes, "nodes")
+    groups = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.min("least").alias("component_id"), F.min("first").alias("best"))
+    whole = join_groups(nodes.select("label", "node", "copies"), scratch.written(groups, "groups"), ["label"], "nodes")
+    whole = scratch.written(whole.select("node", "copies", "component_id", F.col("best.doc_id").alias("best_id"), F.col("best.raw").alias("best_raw")), "components")
+    kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("raw") == F.col("best_raw"))
+    full = join_groups(rows.where("node IS NOT NULL"), whole, ["node"], "copies").select("doc_id", "n_shingles", "component_id", "raw", kept.alias("kept"))
+    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "raw", F.lit(True).alias("kept"))
+    out = written(full.unionByName(alone), "components")
+    scratch.clear()
+    return out
 
 
 def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -444,52 +520,10 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     white space), the whole sequence where it has fewer; documents link when den * intersection >= num *
     union.  component_id is the smallest id that links reach.  A null, empty or blank text has an empty set
     and stays alone; a null id is reached but names nothing.  Repeated rows link with each other; other
-    columns are ignored; an empty table gives an empty result.  Regions of more than ``block`` members are worked on in
-    pieces of about that size; the result is the same for any.
+    columns are ignored; an empty table gives an empty result.  Regions of more than ``block`` members are divided or worked
+    on in pieces of about that size; the result is the same for any.
     """
-    spark = df.sparkSession
-    text_batches(spark, 2000)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = parallelism(spark)
-    out = written(_sets(docs, n, num, den, buckets), "shingle-sets")
-    rows = out.where("bucket IS NULL").select("doc_id", "node", "n_shingles", "counts")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("counts").alias("counts")), "nodes")
-    regions = written(_shared(out.where("bucket IS NOT NULL"), buckets), "regions")
-    members = written(_chunked(regions.join(nodes.select("node", "size", "counts").hint("merge"), "node"), block), "members")
-    is_hot = F.col("n") > block
-    hot = not members.where(is_hot).isEmpty()
-
-    # the texts of documents in a region, one per node: what the rounds below verify on
-    ids = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = written(docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), "texts")
-
-    links = tested = None
-    # step, and whether only regions of more than a block have part
-    for step, only_hot in [(0, False), *[(0, True)] * (ROUNDS - 1 if hot else 0), (1, False), *[(0, True)] * hot, (2, False)]:
-        named = members.withColumn("label", F.col("node"))
-        if links is not None:
-            named = members.join(_near_labels(links).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        small, large = named.where(~is_hot), named.where(is_hot)
-        if step == 1 and hot:  # the chunks as regions: links that are missed here are found in step 2
-            small = small.unionByName(large.withColumn("region", F.xxhash64("region", "chunk")))
-        pairs = None if only_hot else _candidates(small, num, den, step)
-        if hot and step != 1:
-            more = _pivot_pairs(large, num, den) if step == 0 else _block_pairs(large, num, den, block)
-            pairs = more if pairs is None else pairs.unionByName(more).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidates")
-        if pairs.isEmpty():
-            continue
-        found = written(_verify(pairs, written(_with_sets(texts, nodes, pairs, n), "sets"), num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    labels = nodes.select("node", F.col("node").alias("label")).limit(0) if links is None else written(components(links), "labels")
-
-    named = nodes.select("node", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    whole = written(named.join(least.hint("merge"), "label").select("node", "component_id"), "components")
-    return rows.join(whole.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return mark(df, n, num, den, id_col, text_col, block).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import files
-from codetables.llm.common import parallelism, text_batches, written
+from codetables.llm.common import batches_of, parallelism, written
 
 VERSION = b"WARC/1.1"
 #: Elements whose content isn't text, and those that begin a new line.
@@ -268,14 +268,16 @@ def derive(records: DataFrame) -> DataFrame:
     An empty payload gives an empty conversion; repeated records give repeated rows of equal ids; records
     that aren't responses are left out.
     """
-    text_batches(records.sparkSession, 500)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64() if k in ("source_id", "content_length") else pa.binary() if k == "record" else pa.string() for k in _NAMES]
-        for batch in rows:
+
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [(i, *row) for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if data and is_response(data) for row in derivatives(data)]
             columns = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+
+        return batches_of(rows, make, 200)
 
     return records.select("source_id", "record").mapInArrow(run, DERIVED)
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codetables.llm import bpe_fst, chunks, components, embedding_pq, exact_dedup, jaccard_join, langid, packing, sharding, token_files, toxicity, warc_derive
+from codetables.llm import bpe_fst, chunks, common, components, embedding_pq, exact_dedup, jaccard_join, langid, packing, sharding, token_files, toxicity, warc_derive
 
 RNG = random.Random(5)
 WORDS = [f"w{i}" for i in range(400)] + ["Größe", "naïve", "don't", "it's", "日本語", "🙂", "x\xa0y", "#1,000.5"]
@@ -106,6 +106,15 @@ def test_packing(docs, none):
     assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_packing_keeps_like_documents_together(spark):
+    rng = random.Random(8)
+    topics = [[f"{chr(97 + k)}{rng.randrange(10**6)}" for _ in range(40)] for k in range(4)]
+    rows = [(i, " ".join(rng.choice(topics[i % 4] if rng.random() < 0.8 else topics[0]) for _ in range(120))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 2, 512).collect()
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if not r.start]
+    assert len(order) == 400 and sum(a % 4 == b % 4 for a, b in zip(order, order[1:])) > 200  # of random neighbours, 100
+
+
 def test_hilbert_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = np.argsort(packing.hilbert(grid, 3))
@@ -169,7 +178,7 @@ def test_jaccard_join_in_blocks(spark):
 
 def test_jaccard_cells_are_bounded(spark):
     """A region of 3000 members is compared in cells of about two blocks, and all pairs of different labels meet in one."""
-    members = spark.range(3000).selectExpr("7L as region", "id as node", "3000L as n", "50L as size", "cast(repeat('a', 256) as binary) as counts", "if(id % 3 = 0, 0L, id % 50) as label")
+    members = spark.range(3000).selectExpr("7L as region", "id as node", "3000L as members", "150000L as weight", "if(id % 3 = 0, 0L, id % 50) as label")
     cells = jaccard_join._grid(jaccard_join._chunked(members, 100), 100).select("cell", "node", "label", "side").collect()
     by = collections.defaultdict(list)
     for r in cells:
@@ -182,7 +191,7 @@ def test_jaccard_cells_are_bounded(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (5, 7)]
-    got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long"), common.Scratch(spark)).collect()))
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 7: 3}
 
 
@@ -340,6 +349,37 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("languages", [5, 70, 130])
+def test_language_masks(languages):
+    """Masks and corrected shares against plain sets, for one mask word and for several."""
+    rng = np.random.default_rng(3)
+    texts = {f"l{k:03d}": [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(60)).encode() for _ in range(3)] for k in range(languages)}
+    counts = {name: (3, *langid.counted(t * 2)) for name, t in texts.items()}
+    model = langid.fit(counts)
+    assert model.names == sorted(texts)
+    most = collections.defaultdict(float)
+    for _, g, rate in counts.values():
+        for x, r in zip(g.tolist(), rate.tolist(), strict=True):
+            most[x] = max(most[x], r)
+    place = lambda x, m: x * m % (1 << 64) >> (64 - langid.SLOT_BITS)
+    filters = []
+    for name in model.names:
+        _, g, rate = counts[name]
+        own = [x for x, r in zip(g.tolist(), rate.tolist(), strict=True) if r >= langid.LEAST_SHARE * most[x]]
+        filters.append({place(x, m) for x in own for m in langid._MULTIPLIERS[: langid.HASHES]})
+    wrong = [(len(f) / (1 << langid.SLOT_BITS)) ** langid.HASHES for f in filters]
+    for text in [texts["l000"][0], texts[model.names[-1]][1] * 3, b"entirely other words 123", b"ab"]:
+        g = langid.grams(text).tolist()
+        hits = [sum(all(place(x, m) in f for m in langid._MULTIPLIERS[: langid.HASHES]) for x in g) for f in filters]
+        shares = [min(1, max(0, (h / len(g) - w) / (1 - w))) for h, w in zip(hits, wrong, strict=True)]
+        assert np.allclose(model.shares(text), shares)
+        total = sum(shares)
+        if max(shares) > sorted(shares)[-2]:
+            assert model.predict(text) == (model.names[int(np.argmax(shares))], pytest.approx(max(shares) / total))
+    unseen = rng.integers(0, 1 << 32, 200_000).astype(np.uint32)
+    assert np.allclose(model.hits(unseen) / len(unseen), wrong, atol=0.002)
+
+
 def test_toxicity(spark, docs, none):
     clean = [" ".join(RNG.choice(WORDS) for _ in range(RNG.randint(5, 80))) for _ in range(300)]
     rows = [(i, t + (f" you {RNG.choice(['idiot', 'stupid', 'moron'])} !" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, t in enumerate(clean)]
@@ -385,6 +425,17 @@ def test_bpe_transducer(docs, none):
     texts = [bytes(RNG.randrange(256) for _ in range(RNG.randint(0, 30))) for _ in range(300)] + [b"the" * 40, b"=" * 99]
     for t in texts:
         assert small.encode(t) == bpe_fst.merge_by_rank(ranks, t)
+    for _ in range(3000):  # borders of tokens against the definition, most of them of parts that merges could cross
+        word = RNG.choice([" international", "aaaaaaaa", "====----====", "ationalization", "Größenordnung"]).encode()
+        i, j = sorted(RNG.sample(range(len(word) + 1), 2))
+        a, b = (RNG.choice([x for x in (w[k:m] for k in range(len(w)) for m in range(k + 1, len(w) + 1)) if x in ranks]) for w in (word[: j or 1], word[i:]))
+        assert small._compatible(ranks[a], ranks[b]) == (bpe_fst.merge_by_rank(ranks, a + b) == [ranks[a], ranks[b]])
+    usual = bpe_fst.Transducer(ranks)
+    for t in texts * 8:  # first by paths, then by transitions
+        assert usual.encode(t) == bpe_fst.merge_by_rank(ranks, t)
+    assert usual.steps
+    long = b"ab" * 3000
+    assert small.encode(long) == bpe_fst.merge_by_rank(ranks, long) and len(small.steps) <= 50
     decoder = bpe_fst.Decoder(small.bytes_of)
     for t in ["日本語🙂é" * 5, "plain"]:
         ids = small.encode(t.encode())
