@@ -3,7 +3,7 @@
 Only DataFrame functions.  One pass makes a narrow row per document (hash, digest, length); groups are
 counted and their best row found by partial aggregates, so a group that holds a third of all rows shuffles
 one row per task.  The bytes are compared as min(text) = max(text) per group, again a partial aggregate,
-over the documents of groups with two rows or more; these are fetched by id, which no key makes uneven.
+over the documents of groups with two rows or more; these are fetched by id, which no key makes uneven.  Large groups get their result by a broadcast of their few keys, the others by a join.
 A group whose texts differ (a collision) is split by the text itself.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetables.llm.common import documents, written
+from codetables.llm.common import Scratch, documents, join_groups, written
 
 #: ASCII white space, which the comparison ignores.
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,10 +35,11 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     body = content(F.col("text"))
     rows = docs.select("doc_id", content_hash(body).alias("h"), F.sha2(body, 256).alias("text_sha256"), F.length("text").alias("len"), F.xxhash64("text").alias("raw"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.written(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
 
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    ids = rows.join(repeated, "h", "left_semi").select(F.col("doc_id").alias("dup_id")).distinct()
+    repeated = scratch.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-repeated")
+    ids = join_groups(rows.select("h", "doc_id"), repeated, ["h"], "n").select(F.col("doc_id").alias("dup_id")).distinct()
     texts = docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("dup_id")), "left_semi")
     texts = texts.select("doc_id", content_hash(body).alias("h"), F.length("text").alias("len"), F.xxhash64("text").alias("raw"), body.alias("body"))
     collided = texts.groupBy("h").agg(F.min("body").alias("first"), F.max("body").alias("last")).where("first <> last").select("h")
@@ -52,15 +53,18 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_
     else:
         rows = rows.withColumn("variant", variant)
     best = F.min(F.struct(-F.col("len"), F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best)
-    return rows.join(groups, key).select(
+    groups = scratch.written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best), "dedup-groups")
+    marks = join_groups(rows, groups, key, "group_size").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "raw"
     )
+    out = written(marks, "dedup-marks")
+    scratch.clear()
+    return out
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that ``mark`` keeps, all columns; of repeated rows one stays."""
-    marks = written(mark(df, id_col, text_col), "dedup-marks")
+    marks = mark(df, id_col, text_col)
     repeats = marks.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     keep = repeats.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
     raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
