@@ -6,8 +6,11 @@ together encode to exactly these two.  So the transducer reads bytes and keeps,
 which a longer token may still begin, the last token and the position before it.  A state is this small
 tree together with the longest suffix that begins a token; a transition moves every position back by one,
 adds the new prefix, drops what no token can reach any more, and emits the tokens below the point in which
-all remaining paths meet (the bounded lookahead).  States and transitions are made when first met and kept
-in a bounded table, as in a lazy DFA.
+all remaining paths meet (the bounded lookahead).  A transition is determinised when it is asked for often and kept in a bounded
+table, as in a lazy DFA; the first few times, a short pre-token follows the same paths without making states of them.
+
+Whether two tokens are compatible is read from their merges: at their border, the last part of the first and
+the first part of the second grow by merges of rising rank, and no merge of two such parts may come before.
 
 Decoding.  Tokens become bytes; a UTF-8 state machine holds back the bytes of an unfinished character and
 releases whole characters only, so a text can be decoded from a stream of ids that cut characters.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import batches_of, documents, text_batches
+from codetables.llm.common import batches_of, documents
 
-#: Transitions, compatible pairs and pre-tokens that a worker keeps before it begins anew.
-TRANSITIONS, PAIRS, PRETOKENS = 700_000, 400_000, 200_000
+#: Transitions, compatible pairs and pieces of text (twice: recent ones and those before) that a worker keeps before it begins anew.
+TRANSITIONS, PAIRS, PIECES = 200_000, 600_000, 250_000
+#: Bytes of a pre-token that may follow its paths without states, and how often a transition must be missing to be made.
+SHORT, OFTEN = 64, 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +59,15 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class Suffix:
+    """A text that begins a token: what follows it by each byte, lengths and ranks of the tokens that end it, lengths at which a token may still begin."""
+
+    __slots__ = ("live", "next", "text", "tokens")
+
+    def __init__(self, text: bytes, tokens: tuple[tuple[int, int], ...], live: list[int]):
+        self.text, self.tokens, self.live, self.next = text, tokens, live, {}
+
+
 class Transducer:
     """encode(bytes) -> ids of one pre-token."""
 
@@ -61,19 +76,23 @@ class Transducer:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.prefixes = {b[:i] for b in ranks for i in range(len(b) + 1)}
         self.pairs: dict[int, bool] = {}
+        self.parts: dict[int, tuple[bytes, bytes] | None] = {}
+        self.borders: dict[tuple[int, int], list[tuple[bytes, int]] | None] = {}
+        self.length = {r: len(b) for b, r in ranks.items()}
+        self.root = Suffix(b"", (), [])
+        self.suffixes: dict[bytes, Suffix] = {b"": self.root}  # at most one for each prefix of a token
         self._forget()
 
     def _forget(self) -> None:
-        #: (suffix that begins a token, byte) -> its successor, lengths of the tokens that end there, lengths at which a token may still begin
-        self.suffixes: dict[tuple[bytes, int], tuple[bytes, list[tuple[int, int]], list[int]]] = {}
         #: a state: (suffix, root, then position, token and position before it of each node); positions count back from here
         self.states: list[tuple] = []
         self.ids: dict[tuple, int] = {}
         #: state and byte -> next state, doubled, plus 1 if the transition emits something
         self.steps: dict[int, int] = {}
+        self.missing: dict[int, int] = {}
         self.emitted: dict[int, tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self._state((b"", 0))
+        self._state((self.root, 0))
 
     def _state(self, state: tuple) -> int:
         if (i := self.ids.get(state)) is None:
@@ -81,26 +100,95 @@ class Transducer:
             self.states.append(state)
         return i
 
+    def _border(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """Parts of a token at its first (0) or last (1) byte, from that byte on, and the rank of the merge that ends each; the last is the token itself.
+
+        None if these ranks don't rise, so that the order of merges can't be read from them.
+        """
+        if (token, side) not in self.borders:
+            now, out, rank = self.bytes_of[token], [], 1 << 60
+            while out is not None:
+                out.append((now, rank))
+                if len(now) == 1:
+                    break
+                r = self.ranks[now]
+                if r not in self.parts:
+                    self.parts[r] = self._halves(now)
+                if self.parts[r] is None or r >= rank:
+                    out = None
+                else:
+                    now, rank = self.parts[r][side], r
+            self.borders[token, side] = out and out[::-1]
+        return self.borders[token, side]
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge is the token."""
+        rest = {k: v for k, v in ((token[i:j], self.ranks.get(token[i:j])) for i in range(len(token)) for j in range(i + 1, len(token) + 1)) if v is not None and k != token}
+        ids = merge_by_rank(rest, token)
+        return (self.bytes_of[ids[0]], self.bytes_of[ids[1]]) if len(ids) == 2 else None
+
     def _compatible(self, a: int, b: int) -> bool:
         if (got := self.pairs.get(a << 32 | b)) is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a << 32 | b] = merge_by_rank(self.ranks, self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            left, right = self._border(a, 1), self._border(b, 0)
+            if left is None or right is None:
+                got = merge_by_rank(self.ranks, self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            else:
+                got, i, j, get = True, 0, 0, self.ranks.get
+                while True:
+                    (x, grows), (y, grown) = left[i], right[j]
+                    both = get(x + y)
+                    # of equal ranks the leftmost merge comes first
+                    if both is not None and both < grows and both <= grown:
+                        got = False
+                        break
+                    if i == len(left) - 1 and j == len(right) - 1:
+                        break
+                    if grows <= grown:
+                        i += 1
+                    else:
+                        j += 1
+            self.pairs[a << 32 | b] = got
         return got
 
-    def _suffix(self, suffix: bytes, byte: int) -> tuple[bytes, list[tuple[int, int]], list[int]]:
-        if (got := self.suffixes.get((suffix, byte))) is None:
-            now = suffix + bytes([byte])
-            while now not in self.prefixes:
-                now = now[1:]
-            tokens = [(n, self.ranks[now[-n:]]) for n in range(len(now), 0, -1) if now[-n:] in self.ranks]
-            got = self.suffixes[suffix, byte] = now, tokens, [n for n in range(1, len(now) + 1) if now[-n:] in self.prefixes]
+    def _suffix(self, at: Suffix, byte: int) -> Suffix:
+        """The longest suffix of ``at`` and the byte that begins a token."""
+        now = at.text + bytes([byte])
+        while now not in self.prefixes:
+            now = now[1:]
+        if (got := self.suffixes.get(now)) is None:
+            tokens = tuple((n, self.ranks[now[-n:]]) for n in range(len(now), 0, -1) if now[-n:] in self.ranks)
+            got = self.suffixes[now] = Suffix(now, tokens, [n for n in range(1, len(now) + 1) if now[-n:] in self.prefixes])
+        at.next[byte] = got
         return got
 
+    def _follow(self, piece: bytes) -> list[int]:
+        """The same paths without states: the last token of every prefix, then back from the end."""
+        at, last, pairs = self.root, [0], self.pairs
+        for i, byte in enumerate(piece, 1):
+            at = at.next.get(byte) or self._suffix(at, byte)
+            for n, token in at.tokens:
+                if n == i:
+                    break
+                ok = pairs.get(last[-n] << 32 | token)
+                if ok or ok is None and self._compatible(last[-n], token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte or holds a token that doesn't encode to itself")
+            last.append(token)
+        out, i, length = [], len(piece), self.length
+        while i:
+            token = last[i]
+            out.append(token)
+            i -= length[token]
+        return out[::-1]
+
     def _step(self, state: int, byte: int) -> int:
         """The transition's target and what it emits, determinised now."""
         suffix, root, *nodes = self.states[state]
-        suffix, tokens, live = self._suffix(suffix, byte)
+        suffix = suffix.next.get(byte) or self._suffix(suffix, byte)
+        tokens, live = suffix.tokens, suffix.live
         root += 1
         at = {nodes[k] + 1: (nodes[k + 1], nodes[k + 2] + 1) for k in range(0, len(nodes), 3)}
         for n, token in tokens:
@@ -145,13 +233,21 @@ class Transducer:
         return tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) >= self.limit:
-            self._forget()
         state, out, steps = 0, [], self.steps
         for byte in piece:
             key = state << 8 | byte
             step = steps.get(key)
             if step is None:
+                if len(piece) <= SHORT and (times := self.missing.get(key, 1)) < OFTEN:
+                    if len(self.missing) >= self.limit:
+                        self.missing.clear()
+                    self.missing[key] = times + 1
+                    return self._follow(piece)
+                if len(steps) >= self.limit:  # all but the state that this pre-token is in
+                    now = self.states[state]
+                    self._forget()
+                    steps, state = self.steps, self._state(now)
+                    key = state << 8 | byte
                 step = self._step(state, byte)
             state = step >> 1
             if step & 1:
@@ -199,15 +295,15 @@ class Decoder:
 class Encoder:
     """Whole texts to ids: the pattern cuts pre-tokens, the transducer encodes each distinct one once."""
 
-    def __init__(self, path: str, pattern: str, pretokens: int = PRETOKENS):
+    def __init__(self, path: str, pattern: str, pieces: int = PIECES):
         import regex
 
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self.decoder = Decoder(self.transducer.bytes_of)
-        self.pattern, self.limit = regex.compile(pattern), pretokens
-        self.ids: dict[str, bytes] = {}  # of pieces of text: their ids as 32-bit bytes, and as decimal numbers
-        self.decimal: dict[str, bytes] = {}
+        self.pattern, self.limit = regex.compile(pattern), pieces
+        self.recent: dict[str, tuple[bytes, bytes]] = {}  # of pieces of text: their ids as 32-bit bytes, and as decimal numbers
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         gc.set_threshold(200_000, 20, 100)  # the tables hold no cycles, and grow by many small objects
 
     def _pretoken(self, text: str) -> list[int]:
@@ -220,20 +316,20 @@ class Encoder:
             ids = self._pretoken(piece)
         else:
             ids = [i for part in self.pattern.findall(piece) for i in self._pretoken(part)]
-        return np.array(ids, dtype="<u4").tobytes(), b" ".join([b"%d" % i for i in ids])
+        return array("I", ids).tobytes(), " ".join(map(str, ids)).encode()
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """ids as 32-bit bytes, and as decimal numbers joined by one space."""
         if chunks.ODD_SPACE.search(text):
             return self._piece(text)
         pieces = chunks.PIECES.findall(text)
-        ids, decimal = self.ids, self.decimal
-        if len(ids) > self.limit:
-            ids.clear()
-            decimal.clear()
-        for x in set(pieces).difference(ids):
-            ids[x], decimal[x] = self._piece(x)
-        return b"".join(map(ids.__getitem__, pieces)), b" ".join(map(decimal.__getitem__, pieces))
+        recent, before = self.recent, self.before
+        for x in set(pieces).difference(recent):
+            recent[x] = before.get(x) or self._piece(x)
+        both = list(map(recent.__getitem__, pieces))
+        if len(recent) > self.limit:  # what the next texts ask for again comes back from ``before``
+            self.before, self.recent = recent, {}
+        return b"".join([x for x, _ in both]), b" ".join([y for _, y in both])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -265,7 +361,6 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def _small(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
