@@ -26,8 +26,8 @@ PIECES = re.compile(rf"\n(?=[^ \n\t\r])|[ \n\t\r]*{_SIMPLE}|[{_P}]+(?=[ \n\t\r]|
 PLAIN = re.compile(rf" ?[{_L}]+")
 #: Separators that Unicode or a regex library counts as white space, besides the four above.
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-#: Entries of a cache before it is emptied: about 120 MB in a worker.
-CACHE = 600_000
+#: Pieces that a worker remembers at least, and at most twice: about 120 MB.
+CACHE = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,7 +48,8 @@ class ChunkEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = (WORDS if drops_space else PIECES).findall
-        self.drops_space, self.limit, self.cache, self.letters = drops_space, cache, {}, byte_letters()
+        self.drops_space, self.limit, self.letters = drops_space, cache, byte_letters()
+        self.recent, self.before = {}, {}
         tried = ["Word", "Größe", "ÀÉÎ"] if drops_space else ["Word", " Größe", " ÀÉÎ", " a"]
         self.direct = [self._model(x) for x in tried] == self._library(tried)  # else this vocabulary is of another kind
 
@@ -72,18 +73,20 @@ class ChunkEncoder:
                 continue
             y = x.lower() if self.drops_space else x
             y = y.replace(" ", kind[32]) if y.isascii() else y.encode("utf-8").decode("latin-1").translate(kind)
-            self.cache[x] = array(typecode, [t.id for t in tokenize(y)]).tobytes()
+            self.recent[x] = array(typecode, [t.id for t in tokenize(y)]).tobytes()
         if others:
-            self.cache.update(zip(others, self._library(others), strict=True))
+            self.recent.update(zip(others, self._library(others), strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         cut = [None if not self.drops_space and ODD_SPACE.search(t) or any(x in t for x in self.added) else self.pieces(t) for t in texts]
-        new = set().union(*(c for c in cut if c is not None)).difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = set().union(*(c for c in cut if c is not None))
-        self._learn(new)
-        get = self.cache.__getitem__
+        if len(self.recent) > self.limit:  # what is asked for again comes back from ``before``
+            self.before, self.recent = self.recent, {}
+        recent, before = self.recent, self.before
+        new = set().union(*(c for c in cut if c is not None)).difference(recent)
+        known = new.intersection(before)
+        recent.update(zip(known, map(before.__getitem__, known), strict=True))
+        self._learn(new - known)
+        get = recent.__getitem__
         return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
