@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.llm import chunks
-from codetables.llm.common import batches_of, crc_mod, documents, text_batches, with_columns
+from codetables.llm.common import batches_of, crc_mod, documents, with_columns
 
-#: Labelled rows of each class that training takes at most, in the order of a hash of their ids.
-TRAIN_ROWS = 2000
-BUCKETS, DIM, GRAMS, WINDOW, EPOCHS, SEED = 1 << 18, 8, (3, 4, 5, 6), 16, 8, 7
+#: Labelled rows of each class that training takes at most, in the order of a hash of their ids, and bytes of the longest text among them.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 15
+BUCKETS, DIM, GRAMS, WINDOW, EPOCHS, SEED = 1 << 18, 8, (3, 4, 5, 6), 8, 16, 7
 #: Words whose n-grams a worker remembers.
 WORDS = 300_000
 
@@ -85,7 +85,7 @@ class Model:
     def learn(self, words: list[str]) -> None:
         buckets, of = subwords(words)
         sums = np.bincount(of, self.value[buckets], len(words)) / np.bincount(of, minlength=len(words))
-        self.known.update(zip(words, sums.tolist(), strict=True))
+        self.known.update(zip(words, zip(range(len(self.known), len(self.known) + len(words)), sums.tolist(), strict=True), strict=True))
 
     def scores(self, texts: list[str]) -> list[float]:
         """Probability of the class; a text without words has that of the bias."""
@@ -99,8 +99,9 @@ class Model:
         best = np.zeros(len(texts))
         for i, words in enumerate(split):
             if words:
-                v = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                best[i] = averages(v[np.append(True, v[1:] != v[:-1])]).max()  # a word repeated at once counts once
+                word, v = zip(*map(self.known.__getitem__, words), strict=True)
+                word = np.array(word)
+                best[i] = averages(np.array(v)[np.append(True, word[1:] != word[:-1])]).max()  # a word repeated at once counts once
         return (1 / (1 + np.exp(-np.clip(best + self.bias, -40, 40)))).tolist()
 
 
@@ -110,9 +111,14 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
     docs = [d[np.append(True, d[1:] != d[:-1])] if len(d) else d for d in docs]
-    flat, of_word = subwords(list(vocabulary)) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    ends = np.cumsum(np.bincount(of_word, minlength=len(vocabulary)))
-    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    words, parts, counts = list(vocabulary), [], []
+    for i in range(0, len(words), 20_000):  # a part at a time: there are some thirty n-grams to a word
+        buckets, of_word = subwords(words[i : i + 20_000])
+        parts.append(buckets.astype(np.int32))
+        counts.append(np.bincount(of_word, minlength=len(words[i : i + 20_000])))
+    flat, ends = np.concatenate(parts or [np.zeros(0, np.int32)]), np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))
+    del parts, words, vocabulary
+    begins = np.append(0, ends[:-1]).astype(np.int64)
     y = np.array(labels, np.int64)
     docs, y = [d for d in docs if len(d)], y[[i for i, d in enumerate(docs) if len(d)]]
     if not docs or len(set(y.tolist())) < 2:
@@ -123,7 +129,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     step = 0
     for _ in range(epochs):
-        value = params[0] @ (params[1][:, 1] - params[1][:, 0])
+        value = (params[0] @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
         per_word = np.add.reduceat(value[flat], begins) / (ends - begins)
         picked = []
         for d in docs:
@@ -162,8 +168,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
 def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most ``per_class`` rows of each class, the first by a hash of the id.
 
-    Rows whose crc32(id) modulo ``fold`` is 0 are left out.  Rows with a null id or label are no examples;
-    an id that is labelled twice counts with its higher label.
+    Rows whose crc32(id) modulo ``fold`` is 0 are left out.  Rows with a null id or label, or a text of more than TRAIN_BYTES, are no
+    examples; an id that is labelled twice counts with its higher label, one of several texts with the first of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if fold:
@@ -171,7 +177,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of two numbers at most
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(few, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    return texts.join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row to an id, however often it is repeated
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS) -> Model:
@@ -184,7 +191,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     An empty text scores as the model's bias.  Repeated rows and null ids stay; other columns are ignored.
     """
-    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +209,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def accept(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text scores below ``limit``."""
-    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list) -> list[pa.Array]:
