@@ -1,7 +1,7 @@
 """Operator 7: language identification by bit-sliced Bloom filters over n-grams of bytes.
 
-One table of slots holds a bitmask of languages per slot: bit k of a slot belongs to the Bloom filter of language
-k, so ANDing the slots that the hash functions name gives, in one lookup, all languages that contain an n-gram.
+One table of slots holds a bitmask of languages per slot, of as many 64-bit words as there are languages for: bit k of a slot belongs
+to the Bloom filter of language k, so ANDing the slots that the hash functions name gives, in one lookup, all languages that contain an n-gram.
 A language's filter holds the n-grams that are typical of it: seen in several of its training texts, and
 at least a given share as often as in the language that uses them most.  For a text, hits per language are
 popcounts over its n-grams; a filter that is filled to the share f answers an unseen n-gram with probability
@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codetables.llm.common import batches_of, crc_mod, documents, text_batches, texts_of, with_columns
+from codetables.llm.common import batches_of, crc_mod, documents, join_groups, texts_of, with_columns, written
 
-#: Labelled rows of each language that training takes at most, in the order of a hash of their ids.
-TRAIN_ROWS = 400
-#: log2 of the slots, hash functions, texts that must hold an n-gram, share of the highest rate, languages at most.
-SLOT_BITS, HASHES, LEAST_TEXTS, LEAST_SHARE, LANGUAGES = 17, 2, 2, 0.25, 64
+#: Labelled rows of each language that training takes at most, in the order of a hash of their ids, and bytes of the longest text among them.
+TRAIN_ROWS, TRAIN_BYTES = 400, 1 << 16
+#: log2 of the slots, hash functions, texts that must hold an n-gram, share of the highest rate.
+SLOT_BITS, HASHES, LEAST_TEXTS, LEAST_SHARE = 17, 2, 2, 0.25
 
-#: ASCII letters become lower case, other ASCII a space; bytes of other characters stay.
 #: Part of all corrected shares below which a text has no clear language.
 LEAST_SCORE = 0.3
 
+#: ASCII letters become lower case, other ASCII a space; bytes of other characters stay.
 _FOLD = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -47,36 +47,44 @@ def has_letter(text: bytes) -> bool:
 
 
 class Model:
-    """slots: language bitmask of each slot; names: bit -> language; wrong: false positive rate per language."""
+    """slots: language bitmasks, a row per 64 languages; names: bit -> language; wrong: false positive rate per language."""
 
     def __init__(self, names: list[str], slots: np.ndarray, wrong: np.ndarray):
         self.names, self.slots, self.wrong = names, slots, wrong
-        self.wide = len(names) > 8
+        self.narrow = len(names) <= 8
 
     def masks(self, g: np.ndarray) -> np.ndarray:
         h = g.astype(np.uint64)
         out = None
         for m in _MULTIPLIERS[:HASHES]:
-            s = self.slots[(h * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            s = self.slots[:, (h * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
             out = s if out is None else out & s
         return out
 
+    def hits(self, g: np.ndarray) -> np.ndarray:
+        """How many of the n-grams the filter of each language answers to: its popcount over the masks."""
+        masks, out = self.masks(g), []
+        for k, word in enumerate(masks):
+            if self.narrow:
+                kinds, n = np.arange(256, dtype=np.uint64), np.bincount(word.astype(np.uint8), minlength=256)
+            else:
+                kinds, n = np.unique(word, return_counts=True)
+            bits = (kinds[:, None] >> np.arange(min(64, len(self.names) - 64 * k), dtype=np.uint64)) & np.uint64(1)
+            out.append(n @ bits.astype(np.float64))
+        return np.concatenate(out)
+
     def shares(self, text: bytes) -> np.ndarray:
-        """Corrected share of the text's n-grams that each language contains."""
+        """Share of the text's n-grams that each language contains, corrected for the answers that are wrong."""
         g = grams(text)
         if not len(g):
             return np.zeros(len(self.names))
-        masks = self.masks(g)
-        if self.wide:
-            kinds, n = np.unique(masks, return_counts=True)
-        else:
-            kinds, n = np.arange(256, dtype=np.uint64), np.bincount(masks.astype(np.uint8), minlength=256)
-        bits = (kinds[:, None].astype(np.uint64) >> np.arange(len(self.names), dtype=np.uint64)) & np.uint64(1)
-        hits = n @ bits.astype(np.float64) / len(g)
-        return np.clip((hits - self.wrong) / (1 - self.wrong), 0, 1)
+        return np.clip((self.hits(g) / len(g) - self.wrong) / (1 - self.wrong), 0, 1)
 
     def predict(self, text: bytes) -> tuple[str, float]:
-        """(language, its part of all corrected shares); ``und`` and 0 where no letter or no model is."""
+        """(language, its part of all corrected shares); ``und`` and 0 where no letter or no model is.
+
+        A text of which no language has an n-gram gets the language with most training rows, with score 0.
+        """
         if not self.names or not has_letter(text):
             return "und", 0.0
         share = self.shares(text)
@@ -85,52 +93,57 @@ class Model:
         return self.names[k], float(share[k] / total) if total > 0 else 0.0
 
 
-def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """rows: (language, text)."""
-    by: dict[str, list[bytes]] = {}
-    for lang, text in rows:
-        by.setdefault(lang, []).append(text)
-    names = sorted(by, key=lambda x: (-len(by[x]), x))[:LANGUAGES]
-    seen = []  # per language: its n-grams and the share of texts that hold each
-    for name in names:
-        parts = [np.unique(grams(t)) for t in by[name]]
-        g, n = np.unique(np.concatenate(parts), return_counts=True)
-        often = n >= min(LEAST_TEXTS, len(parts))
-        seen.append((g[often], n[often] / len(parts)))
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
-    if names:
-        every = np.unique(np.concatenate([g for g, _ in seen]))
-        most = np.zeros(len(every))
-        for g, rate in seen:
-            at = np.searchsorted(every, g)
-            most[at] = np.maximum(most[at], rate)
-        for k, (g, rate) in enumerate(seen):
-            own = g[rate >= LEAST_SHARE * most[np.searchsorted(every, g)]].astype(np.uint64)
-            for m in _MULTIPLIERS[:HASHES]:
-                at = np.unique((own * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-                slots[at] |= np.uint64(1 << k)
-    filled = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
-    kind = np.uint8 if len(names) <= 8 else np.uint64
-    return Model(names, slots.astype(kind), filled**HASHES)
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams that several of a language's texts hold (of few texts, any), and the share of texts that hold each."""
+    g, n = np.unique(np.concatenate([np.unique(grams(t)) for t in texts]), return_counts=True)
+    often = n >= min(LEAST_TEXTS, len(texts))
+    return g[often], n[often] / len(texts)
+
+
+def fit(languages: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    """languages: name -> number of training rows, and what ``counted`` makes of them."""
+    names = sorted(languages, key=lambda x: (-languages[x][0], x))
+    slots = np.zeros((max(1, -(-len(names) // 64)), 1 << SLOT_BITS), np.uint64)
+    every = np.unique(np.concatenate([np.zeros(0, np.uint32), *(languages[x][1] for x in names)]))
+    most = np.zeros(len(every))
+    for _, g, rate in languages.values():
+        at = np.searchsorted(every, g)
+        most[at] = np.maximum(most[at], rate)
+    filled = np.zeros(len(names))
+    for k, name in enumerate(names):
+        _, g, rate = languages[name]
+        own = g[rate >= LEAST_SHARE * most[np.searchsorted(every, g)]].astype(np.uint64)
+        at = np.unique(np.concatenate([(own * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in _MULTIPLIERS[:HASHES]]))
+        slots[k // 64, at] |= np.uint64(1 << k % 64)
+        filled[k] = len(at) / (1 << SLOT_BITS)
+    return Model(names, slots.astype(np.uint8) if len(names) <= 8 else slots, filled**HASHES)
 
 
 def train(df: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of a bounded sample: of each language the first rows by a hash of their ids.
+    """A model of a bounded sample: of each language the first ids by a hash, one row to an id; any number of languages.
 
-    Rows whose crc32(id) modulo fold[0] is fold[1], and rows without id, language or text, are not used.
+    Rows whose crc32(id) modulo fold[0] is fold[1], rows without id, language or text, and texts of more than TRAIN_BYTES are not
+    used.  What comes to the driver is the counts of n-grams per language, made by one task for each.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= TRAIN_BYTES)
     if fold:
         rows = rows.where(crc_mod("doc_id", fold[0]) != fold[1])
-    few = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-    for group in (["lang", "salt"], ["lang"]):  # in two steps, so that a frequent language isn't one task's
-        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
-        few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
-    few = few.select("doc_id", "lang").distinct()
-    few = few.orderBy("lang", "doc_id").limit(per_language * LANGUAGES)
-    sample = rows.join(F.broadcast(few), ["doc_id", "lang"]).collect()  # per_language * LANGUAGES rows at most
-    return fit([(r.lang, r.text.encode("utf-8")) for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.text))])
+    # the ids whose hash is low enough that about twice as many as are wanted stay, so that no task sorts a whole language
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    low = join_groups(rows.select("doc_id", "lang"), sizes, ["lang"], "n").where(place <= F.lit(2 * per_language << 20) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    few = low.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    few = written(few.select("doc_id", "lang"), "language-sample")
+    sample = rows.join(few.hint("merge") if few.count() > 100_000 else F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def count(table: pa.Table) -> pa.Table:
+        g, rate = counted(texts_of(table.column("text").combine_chunks()))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "n": [table.num_rows], "grams": [g.astype("<u4").tobytes()], "rate": [rate.tobytes()]})
+
+    got = sample.groupBy("lang").applyInArrow(count, "lang string, n long, grams binary, rate binary").collect()
+    return fit({r.lang: (r.n, np.frombuffer(r.grams, "<u4"), np.frombuffer(r.rate, np.float64)) for r in got})
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +152,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null, empty or letterless text is ``und`` with score 0.  Repeated rows and null ids stay; other
     columns are ignored.
     """
-    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # one table of fixed size
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +169,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def accept(df: DataFrame, model: Model, limit: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text has a language that scores at least ``limit``."""
-    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list) -> list[pa.Array]:
