@@ -27,9 +27,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of documents that 5-word Jaccard links of 0.8 or more connect, the one of smallest id stays."""
-    groups = jaccard_join.join(docs, n=5, num=80, den=100)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+    marks = jaccard_join.mark(docs, n=5, num=80, den=100)
+    keep = marks.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
+    raw = F.xxhash64(F.col("text").cast("string"))
+    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_keep_id")) & (raw == F.col("_keep_raw")), "left_semi")
+    repeats = marks.where("kept").groupBy("doc_id", "raw").count().where("count > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
