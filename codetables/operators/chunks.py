@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codetables.functions import text as tx
 
 #: Spans of more lines than MAX_LINES are cut to windows of WINDOW lines, STRIDE apart; chunks kept per file.
-MAX_LINES, WINDOW, STRIDE, PER_FILE = 120, 100, 80, 200
+MAX_LINES, WINDOW, STRIDE = 120, 100, 80
 _FILE = ["repo_id", "path"]
 _SPAN = "array<struct<start_line:int,end_line:int>>"
 
@@ -109,12 +109,12 @@ def _cut(spans: DataFrame) -> DataFrame:
     return spans.select(*rest, F.inline(windows(F.col("start_line"), F.col("end_line")))).dropDuplicates([*_FILE, "start_line", "end_line", "kind", "name"])
 
 
-def chunk_files(files: DataFrame, symbols: DataFrame, per_file: int = PER_FILE, include_preamble: bool = False) -> DataFrame:
+def chunk_files(files: DataFrame, symbols: DataFrame, per_file: int | None = None, include_preamble: bool = False) -> DataFrame:
     """repo_id, path, language, kind, name, start_line, end_line, content, truncated.
 
     files: repo_id, path, language, content; symbols: repo_id, path, kind, name, start_line, end_line.  A file's
     top-level symbols if it has any with content, else for Markdown its sections, else its packed
-    paragraphs.  The first ``per_file`` chunks of a file stay; truncated tells that there were more.
+    paragraphs.  All chunks of a file stay, or the first ``per_file`` (200 is the usual number); truncated tells that there were more.
     """
     lines = lines_table(files)
     named = cut_content(_cut(top_level(symbols)), files).select(*_FILE, "kind", "name", "start_line", "end_line", "content")
@@ -125,5 +125,7 @@ def chunk_files(files: DataFrame, symbols: DataFrame, per_file: int = PER_FILE,
     blocks = packed(paragraph_blocks(lines.join(plain, _FILE, "left_semi")))
     free = cut_content(_cut(sections.unionByName(blocks).select("*", *none)), files).select(*_FILE, "kind", "name", "start_line", "end_line", "content")
     order = Window.partitionBy(*_FILE).orderBy("start_line", "end_line", "kind", "name")
-    found = named.unionByName(free).withColumn("n", F.row_number().over(order)).withColumn("truncated", F.max("n").over(Window.partitionBy(*_FILE)) > per_file)
-    return found.where(F.col("n") <= per_file).drop("n").join(files.select(*_FILE, "language"), _FILE)
+    found = named.unionByName(free).withColumn("truncated", F.lit(False))
+    if per_file is not None:
+        found = found.withColumn("n", F.row_number().over(order)).withColumn("truncated", F.max("n").over(Window.partitionBy(*_FILE)) > per_file).where(F.col("n") <= per_file).drop("n")
+    return found.join(files.select(*_FILE, "language"), _FILE)

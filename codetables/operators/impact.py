@@ -35,12 +35,15 @@ def related_tests(relevant: DataFrame, files: DataFrame, patterns: tuple[str, ..
     """change_id, path of files that a pattern of a relevant path names, within the repository.
 
     relevant: change_id, repo_id, path.  Patterns that begin with a wildcard can't use an index: the join is
-    bounded by the repository.
+    bounded by the repository, and by the files that hold what every pattern asks for.
     """
     where, stem = paths.directory(F.col("path")), paths.stem(F.col("path"))
     made = F.array(*(F.regexp_replace(F.regexp_replace(F.lit(p), F.lit(r"\{dir\}"), F.regexp_replace(where, r"([\\$])", r"\\$1")), F.lit(r"\{stem\}"), F.regexp_replace(stem, r"([\\$])", r"\\$1")) for p in patterns))
     asked = relevant.select("change_id", "repo_id", F.explode(made).alias("pattern")).distinct()
-    found = asked.join(files.select("repo_id", F.col("path")), "repo_id").where(F.expr("path LIKE pattern"))
+    named = files.select("repo_id", "path")
+    if all("test" in p for p in patterns):
+        named = named.where(F.col("path").contains("test"))
+    found = asked.hint("merge").join(named, "repo_id").where(F.expr("path LIKE pattern"))
     return found.select("change_id", "path").distinct()
 
 

@@ -57,9 +57,9 @@ def reported_tokens(rows: DataFrame) -> DataFrame:
 
 
 def ledger_state(events: DataFrame) -> DataFrame:
-    """Current state of each job from appended status rows; errors cut to 2000 characters."""
-    cut = events.withColumn("error", F.substring("error", 1, 2000))
-    return latest(cut, "job_id", "at", "status")
+    """Current state of each job from appended status rows: of equal times the later stage; errors cut to 2000 characters."""
+    cut = events.withColumn("error", F.substring("error", 1, 2000)).withColumn("_stage", F.array_position(F.array(*map(F.lit, STATES)), F.col("status")))
+    return latest(cut, "job_id", "at", "_stage").drop("_stage")
 
 
 def price_list(spark: SparkSession, rows: list[tuple[str, float, float]]) -> DataFrame:

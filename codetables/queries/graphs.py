@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetables.operators import diffs, explore, impact
+from codetables.operators import diffs, explore, impact, scope
 from codetables.plans import changes
 from codetables.queries import adapters as a
 from codetables.streaming import live
@@ -107,9 +107,9 @@ def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.in_scope(asked, _repos(spark, sf_dir).select("user_id", "repo_id"))
 
 
-@register("SELECT s_suppkey AS repo_id, s_name AS full_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-06-01')")
+@register("SELECT s_suppkey AS repo_id, s_name AS full_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08)")
 def not_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = a.table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'2000-06-01'").select(F.col("l_suppkey").alias("repo_id"))
+    chunks = a.table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08").select(F.col("l_suppkey").alias("repo_id"))
     return explore.not_indexed(_repos(spark, sf_dir).select("repo_id", "full_name"), chunks)
 
 
@@ -148,3 +148,32 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.files(spark, sf_dir)
     after = f.where("doc_id % 10 <> 0").withColumn("content", F.when(F.expr("doc_id % 10 = 2"), F.concat(F.coalesce("content", F.lit("")), F.lit("!"))).otherwise(F.col("content")))
     return live.snapshot_diff(f.where("doc_id % 10 <> 1"), after)
+
+
+@register("SELECT s_suppkey AS repo_id, s_name AS full_name FROM supplier WHERE contains(lower(s_name), 'supplier#00000000') OR contains(lower(s_name), '7')")
+def repositories_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.col("s_name").alias("full_name"))
+    return explore.by_name(repos, " Supplier#00000000 ").unionByName(explore.by_name(repos, "7")).distinct()
+
+
+@register(f"WITH {a.FILES}, n AS (SELECT repo_id, path FROM files WHERE split_part(path, '/', 1) = 'de') SELECT repo_id, path, CAST(count(*) AS BIGINT) AS n_chunks FROM n GROUP BY ALL")
+def chunks_of_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language filter, and its count per file."""
+    f = a.files(spark, sf_dir).withColumn("language", F.split("path", "/")[0])
+    return scope.with_language(f, "de").groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@register(f"WITH {a.FILES} SELECT repo_id, count(*) AS n_chunks FROM files GROUP BY repo_id")
+def chunks_per_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.chunks_per_repository(a.files(spark, sf_dir))
+
+
+@register(f"""WITH {a.FILES}, e AS (SELECT f.repo_id, f.path AS source_path, g.path AS target_path, CASE WHEN f.doc_id % 2 = 0 THEN 'import' ELSE 'belongs_to' END AS edge_type, CASE WHEN f.doc_id % 3 = 0 THEN 'file' ELSE 'symbol' END AS source_kind
+FROM files f JOIN files g ON f.repo_id = g.repo_id AND f.doc_id % 97 = (g.doc_id + 1) % 97)
+SELECT repo_id, target_path, count(*) AS n FROM e WHERE edge_type = 'import' AND source_kind = 'file' GROUP BY ALL""")
+def import_edges_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge type and source kind filters under a fan-in."""
+    f = a.files(spark, sf_dir)
+    g = f.select("repo_id", F.col("path").alias("target_path"), ((F.col("doc_id") + 1) % 97).alias("k"))
+    edges = f.select("repo_id", F.col("path").alias("source_path"), (F.col("doc_id") % 97).alias("k"), F.when(F.expr("doc_id % 2 = 0"), "import").otherwise("belongs_to").alias("edge_type"), F.when(F.expr("doc_id % 3 = 0"), "file").otherwise("symbol").alias("source_kind")).join(g, ["repo_id", "k"])
+    return scope.edges_of(edges, "import", "file").groupBy("repo_id", "target_path").agg(F.count(F.lit(1)).alias("n"))

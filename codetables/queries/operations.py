@@ -96,10 +96,11 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -120,3 +121,14 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.table(spark, sf_dir, "events")
     status = F.element_at(F.array(*map(F.lit, observe.STATES)), (F.col("event_id") % 4 + 1).cast("int"))
     return live.job_states(e.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), status.alias("status"))).select("job_id", "status")
+
+
+@register("""WITH e AS (SELECT user_id AS job_id, date_trunc('day', ts) AS day, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, event_id % 4 AS stage, max(event_id) AS last FROM events GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY day DESC, stage DESC) AS k FROM e)
+SELECT job_id, status, substr(repeat(CAST(last AS VARCHAR), 600), 1, 2000) AS error FROM n WHERE k = 1""")
+def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's last state of its last day: on equal times the later stage counts."""
+    e = a.table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*map(F.lit, observe.STATES)), (F.col("event_id") % 4 + 1).cast("int"))
+    events = e.groupBy(F.col("user_id").alias("job_id"), F.date_trunc("day", "ts").alias("at"), status.alias("status")).agg(F.max("event_id").alias("last"))
+    return observe.ledger_state(events.withColumn("error", F.repeat(F.col("last").cast("string"), F.lit(600)))).select("job_id", "status", "error")

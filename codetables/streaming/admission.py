@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +42,30 @@ def _micros(ts: pd.Series) -> list[int]:
 def batch(requests: DataFrame, most: int = 10, window: int = 60) -> DataFrame:
     """requests (user_id, endpoint, ts, request_id) with allowed and remaining, in order of ts and request_id.
 
-    One group is one user's requests to one endpoint; a group is sorted and folded in its task.
+    Sorted by user, endpoint and time, requests are folded as they stream through a task, which holds one
+    batch and the admitted times of the last window, however many requests a user makes.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "request_id"])
-        rows["allowed"], rows["remaining"] = admit(_micros(rows["ts"]), [], most, window)
-        return rows[["user_id", "endpoint", "ts", "request_id", "allowed", "remaining"]]
-
-    rows = requests.select("user_id", "endpoint", F.col("ts").cast("timestamp").alias("ts"), "request_id")
-    return rows.groupBy("user_id", "endpoint").applyInPandas(fold, OUT)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, admitted = None, []
+        for batch in batches:
+            users, endpoints = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            times = batch.column(2).cast(pa.int64()).to_pylist()
+            allowed, remaining, begin = [], [], 0
+            while begin < len(times):
+                now, end = (users[begin], endpoints[begin]), begin + 1
+                while end < len(times) and (users[end], endpoints[end]) == now:
+                    end += 1
+                if now != key:
+                    key, admitted = now, []
+                ok, left = admit(times[begin:end], admitted, most, window)
+                allowed += ok
+                remaining += left
+                begin = end
+            yield pa.record_batch([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int32())], [*batch.schema.names, "allowed", "remaining"])
+
+    rows = requests.select(F.col("user_id").cast("long"), "endpoint", F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("long"))
+    return rows.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "ts", "request_id").mapInArrow(fold, OUT)
 
 
 def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str = "1 minute") -> DataFrame:
