@@ -121,10 +121,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -
     The keys of large groups (more than HEAVY rows and more than 1/HEAVY_KEYS of all, so HEAVY_KEYS at most) are broadcast:
     no task gets a whole large group.  All others meet by a merge join.  Keys are not null; ``groups`` is a written table.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    is_heavy = F.col(size) > max(HEAVY, total // HEAVY_KEYS)
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    most = max(HEAVY, (total or 0) // HEAVY_KEYS)
+    is_heavy = F.col(size) > most
     heavy = groups.where(is_heavy)
-    if heavy.isEmpty():
+    if (largest or 0) <= most:
         return rows.join(groups.hint("merge"), key)
     few = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(groups.where(~is_heavy).hint("merge"), key)
     return few.unionByName(rows.join(F.broadcast(heavy), key))

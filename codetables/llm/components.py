@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from codetables.llm.common import Scratch, join_groups
 
+#: Links that one task may meet at the centre of a star; only tables with more need their large stars dealt.
+FEW = 200_000
 
-def _nearest(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each edge (u, v) with m, the smallest of u and all its neighbours; the centre of a large star has its edges in many tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
-    least = scratch.written(least.select("u", F.least("u", "least").alias("m"), "n"), "star-centres")
-    return join_groups(edges, least, ["u"], "n").select("u", "v", "m")
+
+def _nearest(edges: DataFrame, scratch: Scratch | None) -> DataFrame:
+    """Each edge (u, v) with m, the smallest of u and all its neighbours; with ``scratch``, a large star has its edges in many tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "least").alias("m"), "n")
+    if scratch is None:
+        return edges.join(least.hint("merge"), "u").select("u", "v", "m")
+    return join_groups(edges, scratch.written(least, "star-centres"), ["u"], "n").select("u", "v", "m")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -23,12 +27,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.written(edges, "star")
+    of = scratch if edges.count() > FEW else None
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both, scratch).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.written(large, "star")
-        near = _nearest(large, scratch)
+        large = _nearest(both, of).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _nearest(scratch.written(large, "star") if of else large, of)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = scratch.written(small, "star")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
