@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetables.queries import graphs, operations, search, trees
+from codetables.queries import cards, graphs, operations, search, trees
 
-_MODULES = (search, trees, graphs, operations)
+_MODULES = (search, trees, graphs, operations, cards)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "knn_topk"

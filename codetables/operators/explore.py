@@ -40,15 +40,23 @@ def tree_entries(files: DataFrame, parent: str = "") -> DataFrame:
 
 def directory_listing(requests: DataFrame, files: DataFrame, n: int = 30) -> DataFrame:
     """request_id, path, rank: the first n files by path below each requested directory."""
-    asked = requests.select("request_id", "repo_id", paths.listing_prefix(F.col("dir")).alias("prefix"))
-    below = asked.join(files.select("repo_id", "path"), "repo_id").where("prefix = '' OR startswith(path, concat(prefix, '/'))")
-    order = Window.partitionBy("request_id").orderBy("path")
-    return below.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("request_id", "path", "rank")
+    asked = requests.select("request_id", "repo_id", paths.listing_prefix(F.col("dir")).alias("dir"))
+    below = files.select("repo_id", "path", F.explode(paths.ancestors(F.col("path"))).alias("dir"))
+    order = Window.partitionBy("repo_id", "dir").orderBy("path")
+    first = below.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return asked.join(first.hint("merge"), ["repo_id", "dir"]).select("request_id", "path", "rank")
 
 
 def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
     """request_id, path: the file of that very path, else one that ends with it: the shortest, then the first by name."""
-    both = requests.select("request_id", "repo_id", "wanted").join(files.select("repo_id", "path"), "repo_id").where("endswith(path, wanted)")
+    asked, held = requests.select("request_id", "repo_id", "wanted"), files.select("repo_id", "path")
+    # with a slash the last segment is a whole name; else the ends of paths that are as long as some request
+    named = asked.where("contains(wanted, '/')").withColumn("name", paths.name(F.col("wanted")))
+    named = named.join(held.withColumn("name", paths.name(F.col("path"))).hint("merge"), ["repo_id", "name"]).where("endswith(path, wanted)")
+    bare = asked.where("NOT contains(wanted, '/')")
+    sizes = bare.select("repo_id", F.length("wanted").alias("n")).distinct()
+    ends = held.join(sizes.hint("merge"), "repo_id").select("repo_id", "path", F.right("path", F.col("n")).alias("wanted"), "n").where("length(path) >= n").drop("n")
+    both = named.select("request_id", "wanted", "path").unionByName(bare.join(ends.hint("merge"), ["repo_id", "wanted"]).select("request_id", "wanted", "path"))
     order = F.struct(F.col("path") != F.col("wanted"), F.length("path"), F.col("path"))
     return both.groupBy("request_id").agg(F.min_by("path", order).alias("path"))
 

@@ -56,8 +56,8 @@ def best(asked: DataFrame, manifest: DataFrame, keys: list[str], options: str =
     One row per candidate, an equi-join on (repo_id, path), the best by a partial aggregate; nothing is probed.
     """
     rows = asked.select(*keys, "repo_id", F.posexplode(options).alias("prio", "path"))
-    hits = rows.join(manifest.select("repo_id", "path").distinct(), ["repo_id", "path"]).groupBy(*keys).agg(F.min_by("path", "prio").alias("resolved_path"))
-    return asked.join(hits, keys, "left")
+    hits = rows.join(manifest.select("repo_id", "path").distinct().hint("merge"), ["repo_id", "path"]).groupBy(*keys).agg(F.min_by("path", "prio").alias("resolved_path"))
+    return asked.join(hits.hint("merge"), keys, "left")
 
 
 def resolve(imports: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def resolve(imports: DataFrame, manifest: DataFrame) -> DataFrame:
     asked = imports.withColumn("import_id", F.xxhash64("repo_id", "path", "module", "is_relative"))
     asked = asked.withColumn("candidates", F.coalesce(candidates(F.col("grammar"), F.col("path"), F.col("module")), F.array().cast("array<string>")))
     listed = asked.select("import_id", "repo_id", F.posexplode(F.filter("candidates", lambda c: c.isNotNull())).alias("prio", "path"))
-    hits = listed.join(manifest.select("repo_id", "path").distinct(), ["repo_id", "path"]).groupBy("import_id").agg(F.min_by("path", "prio").alias("resolved_path"))
-    return asked.drop("candidates").join(hits, "import_id", "left").drop("import_id")
+    hits = listed.join(manifest.select("repo_id", "path").distinct().hint("merge"), ["repo_id", "path"]).groupBy("import_id").agg(F.min_by("path", "prio").alias("resolved_path"))
+    return asked.drop("candidates").join(hits.hint("merge"), "import_id", "left").drop("import_id")
 
 
 def import_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _table(spark: SparkSession, table: dict[str, list[tuple]], schema: str) -> D
 def code_lines(files: DataFrame) -> DataFrame:
     """Lines of files with a grammar: grammar, indent (of the line), depth (open braces before it) and line."""
     known = files.withColumn("grammar", languages.grammar(F.col("path"))).where("grammar IS NOT NULL AND content IS NOT NULL")
-    rows = lines_table(known).join(known.select(*_KEY, "grammar"), _KEY)
+    rows = lines_table(known).join(known.select(*_KEY, "grammar").hint("merge"), _KEY)
     order = Window.partitionBy(*_KEY).orderBy("line_no")
     change = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
     rows = rows.withColumns({"indent": F.length(F.regexp_extract("line", r"^\s*", 0)), "blank": ~F.col("line").rlike(r"\S"), "change": change})
@@ -73,7 +73,7 @@ def definitions(lines: DataFrame) -> DataFrame:
     first = Window.partitionBy(*_KEY, "line_no").orderBy("prio")
     heads = found.withColumn("n", F.row_number().over(first)).where("n = 1").select(*_KEY, "grammar", "kind", "name", F.col("line_no").alias("start_line"), F.col("indent").alias("own_indent"), F.col("depth").alias("own_depth"))
 
-    later = heads.join(lines.select(*_KEY, "line_no", "indent", "blank", "depth", "change", "line"), _KEY).where("line_no >= start_line")
+    later = heads.join(lines.select(*_KEY, "line_no", "indent", "blank", "depth", "change", "line").hint("merge"), _KEY).where("line_no >= start_line")
     indented = F.col("grammar").isin(*INDENTED)
     closes = F.col("grammar").eqNullSafe("ruby") & F.col("line").rlike(r"^\s*end\b")
     # the first line after the body: for indentation the next line that isn't blank and not deeper; for braces the line that brings the balance back
@@ -81,9 +81,9 @@ def definitions(lines: DataFrame) -> DataFrame:
     closed = F.min(F.when(~indented & (F.col("depth") + F.col("change") <= F.col("own_depth")) & (F.col("line").contains("}") | F.col("line").rlike(r";\s*$")), F.col("line_no")))
     filled = F.max(F.when(~F.col("blank"), F.col("line_no")))
     spans = later.groupBy(*_KEY, "grammar", "kind", "name", "start_line", "own_indent").agg(stop.alias("stop"), closed.alias("closed"), filled.alias("last"))
-    body = later.join(spans.select(*_KEY, "start_line", "name", "stop"), [*_KEY, "start_line", "name"]).where("grammar IN ('python', 'ruby') AND NOT blank AND (stop IS NULL OR line_no < stop)")
+    body = later.join(spans.select(*_KEY, "start_line", "name", "stop").hint("merge"), [*_KEY, "start_line", "name"]).where("grammar IN ('python', 'ruby') AND NOT blank AND (stop IS NULL OR line_no < stop)")
     ends = body.groupBy(*_KEY, "start_line", "name").agg(F.max("line_no").alias("body_end"))
-    spans = spans.join(ends, [*_KEY, "start_line", "name"], "left")
+    spans = spans.join(ends.hint("merge"), [*_KEY, "start_line", "name"], "left")
     end = F.when(indented, F.col("body_end")).otherwise(F.coalesce("closed", "last"))
     return spans.select(*_KEY, "grammar", "kind", "name", "start_line", F.greatest(end, F.col("start_line")).cast("int").alias("end_line"))
 
@@ -95,7 +95,7 @@ def routes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     listed = F.regexp_extract_all(F.regexp_extract("rest", r"methods\s*=\s*[\[\(]([^\]\)]*)", 1), F.lit(r"[\"'](\w+)[\"']"), F.lit(1))
     verbs = F.when(F.col("verb") != "", F.array("verb")).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
     functions = symbols.where("kind IN ('function', 'method')").select(*_KEY, "start_line", "end_line")
-    below = d.join(functions, _KEY).where("start_line > at").groupBy(*_KEY, "grammar", "at", "route", "verb", "rest").agg(F.min_by("end_line", "start_line").alias("end_line"))
+    below = d.join(functions.hint("merge"), _KEY).where("start_line > at").groupBy(*_KEY, "grammar", "at", "route", "verb", "rest").agg(F.min_by("end_line", "start_line").alias("end_line"))
     python = below.select(*_KEY, "grammar", F.lit("route").alias("kind"), F.explode(verbs).alias("v"), "route", F.col("at").alias("start_line"), "end_line")
     call = rf"^\s*(?:app|router)\.({_VERBS})\(\s*[\"'`]([^\"'`]+)[\"'`]"
     js = lines.where(F.col("grammar").isin("javascript", "typescript", "tsx") & F.col("line").rlike(call)).select(*_KEY, "grammar", F.lit("route").alias("kind"), F.regexp_extract("line", call, 1).alias("v"), F.regexp_extract("line", call, 2).alias("route"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
@@ -112,12 +112,12 @@ def symbols(files: DataFrame) -> DataFrame:
     found = definitions(lines)
     classes = found.where("kind = 'class'").select(*_KEY, F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
     inside = (F.col("f.repo_id") == F.col("c.repo_id")) & (F.col("f.path") == F.col("c.path")) & (F.col("c_start") < F.col("start_line")) & (F.col("end_line") <= F.col("c_end"))
-    owned = found.where("kind = 'function'").alias("f").join(classes.alias("c"), inside, "left_semi").select(*_KEY, "start_line", F.lit(True).alias("owned"))
-    found = found.join(owned, [*_KEY, "start_line"], "left").withColumn("kind", F.when(F.col("owned") & (F.col("kind") == "function"), "method").otherwise(F.col("kind"))).drop("owned")
+    owned = found.where("kind = 'function'").alias("f").join(classes.alias("c").hint("merge"), inside, "left_semi").select(*_KEY, "start_line", F.lit(True).alias("owned"))
+    found = found.join(owned.hint("merge"), [*_KEY, "start_line"], "left").withColumn("kind", F.when(F.col("owned") & (F.col("kind") == "function"), "method").otherwise(F.col("kind"))).drop("owned")
     at = routes(lines, found)
     spans = at.where("grammar = 'python'").select(*_KEY, F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
     handler = (F.col("f.repo_id") == F.col("r.repo_id")) & (F.col("f.path") == F.col("r.path")) & (F.col("start_line") > F.col("r_start")) & (F.col("end_line") == F.col("r_end")) & F.col("kind").isin("function", "method")
-    plain = found.alias("f").join(spans.alias("r"), handler, "left_anti")
+    plain = found.alias("f").join(spans.alias("r").hint("merge"), handler, "left_anti")
     return plain.select(*_KEY, "grammar", "kind", "name", "start_line", "end_line").unionByName(at)
 
 

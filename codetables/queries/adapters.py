@@ -98,7 +98,7 @@ USAGE = """usage AS (
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """change_id, repo_id, path, patch: each file's lines marked as added, removed or kept, a header every 20 lines."""
     f = files(spark, sf_dir)
-    rows = lines(spark, sf_dir).join(f.select("repo_id", "path", "doc_id"), ["repo_id", "path"])
+    rows = lines(spark, sf_dir).join(f.select("repo_id", "path", "doc_id").hint("merge"), ["repo_id", "path"])
     mark = _pick("(doc_id + line_no) % 5", "+", "-", " ", "+", " ")
     header = F.concat(F.lit("@@ -"), F.col("line_no").cast("string"), F.lit(",20 +"), F.col("line_no").cast("string"), F.lit(",20 @@\n"))
     marked = F.concat(F.when(F.expr("(line_no - 1) % 20 = 0"), header).otherwise(""), mark, F.col("line"))
