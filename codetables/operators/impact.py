@@ -17,7 +17,7 @@ def changed_symbols(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     An equi-join on the file with the overlap as its condition, so no Cartesian product.
     """
     r = ranges.select("change_id", "path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    hit = r.join(symbols, "path").where("start_line <= hi AND end_line >= lo")
+    hit = r.hint("merge").join(symbols, "path").where("start_line <= hi AND end_line >= lo")
     lines = F.sequence(F.greatest("lo", "start_line"), F.least("hi", "end_line"))
     return hit.groupBy("change_id", "path", "kind", "name", "start_line", "end_line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias("changed_lines"))
 
