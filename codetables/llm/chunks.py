@@ -18,7 +18,7 @@ import numpy as np
 
 from codetables.llm.common import quiet_tokenizers
 
-_L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
+_L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?#$%&*"
 _SIMPLE = rf"[{_L}]+(?=[ \n\t\r{_P}]|$)"
 #: Pieces for a vocabulary that drops white space, and for one that keeps it.
 WORDS = re.compile(rf"{_SIMPLE}|[{_P}]+(?=[ \n\t\r]|$)|[^ \n\t\r]+")
@@ -26,6 +26,8 @@ PIECES = re.compile(rf"\n(?=[^ \n\t\r])|[ \n\t\r]*{_SIMPLE}|[{_P}]+(?=[ \n\t\r]|
 PLAIN = re.compile(rf" ?[{_L}]+")
 #: Separators that Unicode or a regex library counts as white space, besides the four above.
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
+#: Characters whose small letter depends on more than themselves, or that may combine with their neighbours, are among these.
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Pieces that a worker remembers at least, and at most twice: about 120 MB.
 CACHE = 300_000
 
@@ -77,15 +79,23 @@ class ChunkEncoder:
         if others:
             self.recent.update(zip(others, self._library(others), strict=True))
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None for one that the library must see whole."""
+        if self.drops_space:
+            text = text if BEYOND.search(text) else text.lower()
+        elif ODD_SPACE.search(text):
+            return None
+        return None if any(x in text for x in self.added) else self.pieces(text)
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [None if not self.drops_space and ODD_SPACE.search(t) or any(x in t for x in self.added) else self.pieces(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         if len(self.recent) > self.limit:  # what is asked for again comes back from ``before``
             self.before, self.recent = self.recent, {}
         recent, before = self.recent, self.before
         new = set().union(*(c for c in cut if c is not None)).difference(recent)
-        known = new.intersection(before)
+        known = [x for x in new if x in before]  # set.intersection would run over all of ``before``
         recent.update(zip(known, map(before.__getitem__, known), strict=True))
-        self._learn(new - known)
+        self._learn(new.difference(known))
         get = recent.__getitem__
         return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 

@@ -68,6 +68,8 @@ def test_token_files(spark, docs, none):
 
 def test_chunked_encoding_equals_library():
     texts = [t or "" for _, t in ROWS] + ["".join(RNG.choice("ab, \n.'é日-1\xa0\t") for _ in range(40)) for _ in range(500)]
+    texts += ["".join(RNG.choice("aHIÉİẞ#%&$*, Σσſ\u0301\u0331\u0307KÅ.'S") for _ in range(40)) for _ in range(500)]
+    texts += ["".join(RNG.choice("aHIÉİĲŉ#%&$*, ßſÿŸ.'S!\n") for _ in range(40)) for _ in range(500)]
     for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         e, encode = chunks.ChunkEncoder(public_tokenizers.path(name), drops, cache=300), library(name)
         assert e.direct
