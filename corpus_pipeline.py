@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, language, exact and near duplicates, packing; each stage is one operator of codetables.llm."""
+"""The corpus pipeline: toxicity, language, exact and near duplicates, packing; each stage is one operator of codetables.llm.
+
+All stages take whole texts of any length, keep every column whatever its name, treat rows with null or repeated ids like
+others, and return an empty table of the same columns for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,37 @@ from codetables.llm.common import documents, shared_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: a document that scores 0.5 or more goes."""
+    """Operator 10: a document that scores 0.5 or more goes.
+
+    A null text scores as an empty one does; repeated rows and equal texts share their fate.  Rows of ``labels`` with a
+    null id or mark teach nothing.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.accept(docs, toxicity.train(docs, labels))
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: a document without letters, or in no clear language, goes."""
+    """Operator 7: a document without letters, or in no clear language, goes.
+
+    So null and empty texts go; repeated rows and equal texts share their fate.  Rows with a null language teach nothing.
+    """
     return langid.accept(docs, langid.train(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of texts that are equal but for white space, the longest stays."""
+    """Operator 4: of texts that are equal but for white space, the longest stays.
+
+    Of equally long ones the smallest id stays, a null id last, and of rows equal in id and text one.  Null, empty and
+    blank texts are equal, so one of them stays.
+    """
     return exact_dedup.dedup(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of documents that 5-word Jaccard links of 0.8 or more connect, the one of smallest id stays."""
+    """Operator 3: of documents that 5-word Jaccard links of 0.8 or more connect, the one of smallest id stays.
+
+    A null id comes last; of rows equal in id and text one stays.  Null, empty and blank texts link with nothing and stay.
+    """
     marks = jaccard_join.mark(docs, n=5, num=80, den=100)
     keep = marks.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
     raw = F.xxhash64(F.col("text").cast("string"))
@@ -36,7 +54,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: pieces of documents in sequences of 4096 ids along the Hilbert curve."""
+    """Operator 2: pieces of documents in sequences of 4096 ids along the Hilbert curve.
+
+    A null or empty text is its end id alone; null and repeated ids and equal rows each keep their own pieces.
+    """
     return packing.packed(docs)
 
 
@@ -48,7 +69,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No stage but the third is SQL; tests hold the stages against brute force.
+#: No stage but the third is SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
