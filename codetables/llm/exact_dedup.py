@@ -67,8 +67,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     marks = mark(df, id_col, text_col)
     repeats = marks.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     keep = repeats.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
-    raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = df.join(keep.hint("shuffle_hash"), df[id_col].eqNullSafe(F.col("_keep_id")) & (raw == F.col("_keep_raw")), "left_semi")
+    raw = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    kept = df.join(keep.hint("shuffle_hash"), df[id_col].eqNullSafe(keep["_keep_id"]) & (raw == keep["_keep_raw"]), "left_semi")
     return kept if repeats.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
