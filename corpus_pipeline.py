@@ -43,12 +43,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of documents that 5-word Jaccard links of 0.8 or more connect, the one of smallest id stays.
 
-    A null id comes last; of rows equal in id and text one stays.  Null, empty and blank texts link with nothing and stay.
+    A null id comes last.  Null, empty and blank texts link with nothing and stay; of rows equal in id and text one stays, these included.
     """
     marks = jaccard_join.mark(docs, n=5, num=80, den=100)
     keep = marks.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw").alias("_keep_raw"))
-    raw = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_keep_id")) & (raw == F.col("_keep_raw")), "left_semi")
+    raw = F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_keep_id"]) & (raw == keep["_keep_raw"]), "left_semi")
     repeats = marks.where("kept").groupBy("doc_id", "raw").count().where("count > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
