@@ -88,7 +88,10 @@ class ChunkEncoder:
         return None if any(x in text for x in self.added) else self.pieces(text)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
+        return self.encode_cut(texts, [self._cut(t) for t in texts])
+
+    def encode_cut(self, texts: Iterable[str], cut: list[list[str] | None]) -> list[bytes]:
+        """``encode`` with the pieces of each text, or None for a text to be encoded whole."""
         if len(self.recent) > self.limit:  # what is asked for again comes back from ``before``
             self.before, self.recent = self.recent, {}
         recent, before = self.recent, self.before
