@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetables.llm import bpe_fst, embedding_pq, exact_dedup, jaccard_join, langid, packing, sharding, token_files, toxicity, warc_derive
+from codetables.llm import (
+    bpe_fst, cross_align, embedding_pq, exact_dedup, fingerprints, jaccard_join, langid, packing, prefix_trie, sharding, token_files, toxicity, warc_derive,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_shards": sharding.query,
     "op9_bpe_transducer": bpe_fst.query,
     "op10_subword_toxicity": toxicity.query,
+    "op11_cross_alignment": cross_align.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_parsing_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op5_product_quantisation": embedding_pq.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op5_product_quantisation": embedding_pq.SQL, "op12_prefix_trie": prefix_trie.SQL}
