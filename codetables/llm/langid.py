@@ -119,14 +119,14 @@ def fit(languages: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> Model:
     return Model(names, slots.astype(np.uint8) if len(names) <= 8 else slots, filled**HASHES)
 
 
-def train(df: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(df: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of a bounded sample: of each language the first ids by a hash, one row to an id; any number of languages.
 
-    Rows whose crc32(id) modulo fold[0] is fold[1], rows without id, language or text, and texts of more than TRAIN_BYTES are not
+    Rows whose crc32(id) modulo fold[0] is fold[1], rows without id, language or text, and texts of more than ``max_bytes`` are not
     used.  What comes to the driver is the counts of n-grams per language, made by one task for each.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= max_bytes)
     if fold:
         rows = rows.where(crc_mod("doc_id", fold[0]) != fold[1])
     # the ids whose hash is low enough that about twice as many as are wanted stay, so that no task sorts a whole language

@@ -165,10 +165,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     return Model((params[0] @ difference).astype(np.float32), float(params[2][1] - params[2][0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, text, toxic of at most ``per_class`` rows of each class, the first by a hash of the id.
 
-    Rows whose crc32(id) modulo ``fold`` is 0 are left out.  Rows with a null id or label, or a text of more than TRAIN_BYTES, are no
+    Rows whose crc32(id) modulo ``fold`` is 0 are left out.  Rows with a null id or label, or a text of more than ``max_bytes``, are no
     examples; an id that is labelled twice counts with its higher label, one of several texts with the first of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -177,12 +177,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of two numbers at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
     return texts.join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row to an id, however often it is repeated
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS) -> Model:
-    rows = sorted(training_rows(docs, labels, fold, per_class).collect(), key=lambda r: (r.doc_id, r.text))  # the bounded sample
+def train(docs: DataFrame, labels: DataFrame, fold: int | None = 5, per_class: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of ``training_rows``: at most 2 * per_class texts of max_bytes come to the driver (131 MB as set here)."""
+    rows = sorted(training_rows(docs, labels, fold, per_class, max_bytes).collect(), key=lambda r: (r.doc_id, r.text))  # the bounded sample
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
