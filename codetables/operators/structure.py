@@ -1,143 +1,150 @@
-"""Symbols, routes and imports from source text: a pattern table joined to the lines, spans by window functions.
+"""Symbols, routes and imports from the statements of source files, by tables of patterns and windows over one sort per file.
 
-No parser: a definition is a line that matches a pattern of its grammar; its end follows from indentation
-or from the balance of braces.  Text inside strings and comments can mislead the patterns; a file whose
-braces don't balance is reported.
+No parser: a definition is a statement whose code matches a pattern of its grammar; its span ends where the block it opens does.
+Strings and comments are masked before, so a definition, brace or import in them counts for nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codetables.functions import languages
-from codetables.operators.chunks import lines_table
+from codetables.operators.scan import statements
 
 _ID = r"[A-Za-z_$][\w$]*"
-_JS = [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})", 1), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_ID})", 1), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{_ID})\s*(?::[^=]+)?=>", 1), ("method", rf"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function)\b)({_ID})\s*\([^)]*\)\s*(?::[^{{]+)?\{{", 1)]
-_JVM_TYPE = rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed|open|data|case|inner|enum|override|internal)\s+)*(?:class|interface|enum|record|object|trait)\s+({_ID})"
-#: grammar -> (kind, pattern, group of the name)
-DEFINITIONS: dict[str, list[tuple[str, str, int]]] = {
-    "python": [("function", r"^\s*(?:async\s+)?def\s+(\w+)", 1), ("class", r"^\s*class\s+(\w+)", 1)],
+_NO_CALL = r"(?!(?:if|for|while|switch|catch|return|function|new|else|throw|case|assert|do|synchronized)\b)"
+_JS = [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_ID})"), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([^)]*\)|{_ID})\s*(?::[^=]+)?=>"), ("method", rf"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*{_NO_CALL}[*#]?({_ID})\s*(?:<[^>]*>)?\([^;]*?\)\s*(?::[^{{]+)?\{{")]
+_JVM_TYPE = rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|sealed|open|data|case|inner|enum|override|internal)\s+)*(?:class|interface|enum|record|object|trait)\s+({_ID})"
+_JAVA_HEAD = rf"^\s+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|default|native|synchronized)\s+)*(?:<[^()]*>\s*)?"
+_JAVA_TYPE = r"(?!(?:return|new|throw|else|package|import|case|assert)\b)[\w$.]+(?:<[^()]*>)?(?:\[\])*\s+"
+_CPP_TAIL = r"\s*\([^;{}]*\)\s*(?:const|noexcept|override|final|&+|\s)*(?:->[^{;]*)?(?::[^;{]*)?(?:\{|$)"
+#: grammar -> (kind, pattern of the code, whose first group is the name); the first that matches counts
+DEFINITIONS: dict[str, list[tuple[str, str]]] = {
+    "python": [("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"^\s*class\s+(\w+)")],
     "javascript": _JS, "typescript": _JS, "tsx": _JS,
-    "go": [("function", r"^func\s+(\w+)", 1), ("method", r"^func\s+\([^)]*\)\s*(\w+)", 1), ("class", r"^type\s+(\w+)", 1)],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(\w+)", 1), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|type)\s+(\w+)", 1), ("class", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)", 1)],
-    "java": [("class", _JVM_TYPE, 1), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:[\w<>\[\],.]+\s+)?(?!(?:if|for|while|switch|catch|return|new)\b)({_ID})\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{{", 1)],
-    "c": [("function", r"^[A-Za-z_][\w\s*]*?[\s*](\w+)\s*\([^;]*\)\s*\{?\s*$", 1)],
-    "cpp": [("function", r"^\s*[A-Za-z_][\w\s*&:<>,]*?[\s*&]((?:\w+::)*~?\w+)\s*\([^;]*\)\s*(?:const)?\s*\{\s*$", 1), ("class", r"^\s*(?:class|struct|union|enum(?:\s+class)?)\s+(\w+)[^;]*$", 1)],
-    "ruby": [("method", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)", 1), ("class", r"^\s*(?:class|module)\s+([\w:]+)", 1)],
-    "php": [("function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)", 1), ("class", r"^\s*(?:abstract\s+|final\s+)*(?:class|interface|trait|enum)\s+(\w+)", 1)],
-    "kotlin": [("function", r"^\s*(?:(?:public|private|protected|internal|override|open|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", 1), ("class", _JVM_TYPE, 1)],
-    "scala": [("function", r"^\s*(?:(?:private|protected|override|final|implicit)\s+)*def\s+(\w+)", 1), ("class", _JVM_TYPE, 1)],
-    "bash": [("function", r"^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?", 1)],
-    "r": [("function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(", 1)],
-}
-#: Grammars whose blocks end by indentation (or an ``end`` line), not by braces.
-INDENTED = ("python", "ruby")
-#: grammar -> (pattern, group of the module, relative: always, never, or a pattern on the module)
-_JS_IMPORTS = [(r"^\s*(?:import|export)\b[^\"';]*?from\s*[\"']([^\"']+)[\"']", 1, r"^[./]"), (r"^\s*import\s*[\"']([^\"']+)[\"']", 1, r"^[./]"), (r"\brequire\(\s*[\"']([^\"']+)[\"']\s*\)", 1, r"^[./]")]
-IMPORTS: dict[str, list[tuple[str, int, str]]] = {
-    "python": [(r"^\s*import\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)", 1, "never"), (r"^\s*from\s+(\.*[A-Za-z_][\w.]*)\s+import\b", 1, r"^\."), (r"^\s*from\s+(\.+)\s+import\s+\(?\s*\w+", 1, "always")],
-    "javascript": _JS_IMPORTS, "typescript": _JS_IMPORTS, "tsx": _JS_IMPORTS,
-    "c": [(r"^\s*#\s*include\s+(?:\"([^\"]+)\"|(<[^>]+>))", 1, "always")], "cpp": [(r"^\s*#\s*include\s+(?:\"([^\"]+)\"|(<[^>]+>))", 1, "always")],
-    "go": [(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", 1, "never")],
-    "rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;{]+?)(?:::)?\s*(?:\{[^;]*)?;", 1, r"^(?:crate|super|self)\b")],
-    "java": [(r"^\s*import\s+(?:static\s+)?([\w.*]+)", 1, "never")], "scala": [(r"^\s*import\s+([\w.]+?)(?:\.?\{.*)?\s*$", 1, "never")],
-    "kotlin": [(r"^\s*import\s+([\w.*]+)", 1, "never")], "php": [(r"^\s*use\s+([\w\\]+)", 1, "never")],
-    "ruby": [(r"^\s*require(?:_relative)?\s+[\"']([^\"']+)[\"']", 1, "always")],
+    "go": [("function", r"^func\s+(\w+)"), ("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("class", r"^type\s+(\w+)")],
+    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\S+\s+)*fn\s+(\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|type)\s+(\w+)"), ("class", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)")],
+    "java": [("class", _JVM_TYPE), ("method", rf"{_JAVA_HEAD}(?:{_JAVA_TYPE})?{_NO_CALL}({_ID})\s*\([^;]*?\)\s*(?:throws\s+[\w., ]+)?\{{"), ("method", rf"{_JAVA_HEAD}{_JAVA_TYPE}{_NO_CALL}({_ID})\s*\([^;=]*\)\s*(?:throws\s+[\w., ]+)?;")],
+    "c": [("function", rf"^(?!else\b|return\b)[A-Za-z_][\w\s*]*?[\s*]{_NO_CALL}(\w+)\s*\([^;{{}}]*\)\s*(?:\{{|$)")],
+    "cpp": [("class", r"^\s*(?:template\s*<[^{;]*>\s*)?(?:class|struct|union|enum(?:\s+class)?)\s+(\w+)\s*(?:final\s*)?(?::[^;{]*)?(?:\{|$)"), ("function", rf"^\s*(?!else\b|return\b|throw\b|new\b|delete\b)(?:template\s*<[^{{;]*>\s*)?[A-Za-z_][\w\s*&:<>,]*?[\s*&]{_NO_CALL}((?:\w+::)*~?\w+){_CPP_TAIL}"), ("function", rf"^\s*((?:\w+::)+~?\w+){_CPP_TAIL}")],
+    "ruby": [("method", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)"), ("class", r"^\s*(?:class|module)\s+([\w:]+)")],
+    "php": [("function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)"), ("class", r"^\s*(?:abstract\s+|final\s+)*(?:class|interface|trait|enum)\s+(\w+)")],
+    "kotlin": [("function", r"^\s*(?:(?:public|private|protected|internal|override|open|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)"), ("class", _JVM_TYPE)],
+    "scala": [("function", r"^\s*(?:(?:private|protected|override|final|implicit)\s+)*def\s+(\w+)"), ("class", _JVM_TYPE)],
+    "bash": [("function", r"^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*(?:\{|$)"), ("function", r"^\s*function\s+([\w-]+)\s*(?:\{|$)")],
+    "r": [("function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(")],
 }
+_SCRIPTS = ("javascript", "typescript", "tsx")
 _VERBS = "get|post|put|delete|patch|head|options"
 _KEY = ["repo_id", "path"]
+_SYMBOL = [*_KEY, "grammar", "kind", "name", "start_line", "end_line"]
+
+
+def _group(text: str, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(text, pattern, group)
+
+
+def _defined() -> Column:
+    """(kind, name) of the statement's definition, null without one."""
+    by_grammar: dict[int, tuple[list, list[str]]] = {}
+    for grammar, rows in DEFINITIONS.items():
+        by_grammar.setdefault(id(rows), (rows, []))[1].append(grammar)
+
+    def one(kind: str, pattern: str) -> Column:
+        return F.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.ltrim(_group("code", pattern), F.lit("*")).alias("name")))
+
+    none = F.lit(None).cast("struct<kind:string,name:string>")
+    return reduce(lambda rest, x: F.when(F.col("grammar").isin(*x[1]), F.coalesce(*(one(*row) for row in x[0]))).otherwise(rest), by_grammar.values(), none)
+
+
+def _hit(kind: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit("").alias("name"))
 
 
-def _table(spark: SparkSession, table: dict[str, list[tuple]], schema: str) -> DataFrame:
-    """The pattern table: some sixty rows, broadcast."""
-    return F.broadcast(spark.createDataFrame([(g, n, *row) for g, rows in table.items() for n, row in enumerate(rows)], schema))
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """Lines of files with a grammar: grammar, indent (of the line), depth (open braces before it) and line."""
-    known = files.withColumn("grammar", languages.grammar(F.col("path"))).where("grammar IS NOT NULL AND content IS NOT NULL")
-    rows = lines_table(known).join(known.select(*_KEY, "grammar").hint("merge"), _KEY)
-    order = Window.partitionBy(*_KEY).orderBy("line_no")
-    change = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
-    rows = rows.withColumns({"indent": F.length(F.regexp_extract("line", r"^\s*", 0)), "blank": ~F.col("line").rlike(r"\S"), "change": change})
-    return rows.withColumn("depth", F.coalesce(F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-
-def definitions(lines: DataFrame) -> DataFrame:
-    """repo_id, path, grammar, kind, name, start_line, end_line of every definition, spans 1-based and inclusive."""
-    table = _table(lines.sparkSession, DEFINITIONS, "grammar string, prio int, kind string, pattern string, name_group int")
-    found = lines.join(table, "grammar").where(F.expr("regexp_like(line, pattern)"))
-    found = found.withColumn("name", F.expr("ltrim('*', regexp_extract(line, pattern, name_group))")).where("name <> ''")
-    first = Window.partitionBy(*_KEY, "line_no").orderBy("prio")
-    heads = found.withColumn("n", F.row_number().over(first)).where("n = 1").select(*_KEY, "grammar", "kind", "name", F.col("line_no").alias("start_line"), F.col("indent").alias("own_indent"), F.col("depth").alias("own_depth"))
-
-    later = heads.join(lines.select(*_KEY, "line_no", "indent", "blank", "depth", "change", "line").hint("merge"), _KEY).where("line_no >= start_line")
-    indented = F.col("grammar").isin(*INDENTED)
-    closes = F.col("grammar").eqNullSafe("ruby") & F.col("line").rlike(r"^\s*end\b")
-    # the first line after the body: for indentation the next line that isn't blank and not deeper; for braces the line that brings the balance back
-    stop = F.min(F.when(indented & (F.col("line_no") > F.col("start_line")) & ~F.col("blank") & (F.col("indent") <= F.col("own_indent")) & ~closes, F.col("line_no")))
-    closed = F.min(F.when(~indented & (F.col("depth") + F.col("change") <= F.col("own_depth")) & (F.col("line").contains("}") | F.col("line").rlike(r";\s*$")), F.col("line_no")))
-    filled = F.max(F.when(~F.col("blank"), F.col("line_no")))
-    spans = later.groupBy(*_KEY, "grammar", "kind", "name", "start_line", "own_indent").agg(stop.alias("stop"), closed.alias("closed"), filled.alias("last"))
-    body = later.join(spans.select(*_KEY, "start_line", "name", "stop").hint("merge"), [*_KEY, "start_line", "name"]).where("grammar IN ('python', 'ruby') AND NOT blank AND (stop IS NULL OR line_no < stop)")
-    ends = body.groupBy(*_KEY, "start_line", "name").agg(F.max("line_no").alias("body_end"))
-    spans = spans.join(ends.hint("merge"), [*_KEY, "start_line", "name"], "left")
-    end = F.when(indented, F.col("body_end")).otherwise(F.coalesce("closed", "last"))
-    return spans.select(*_KEY, "grammar", "kind", "name", "start_line", F.greatest(end, F.col("start_line")).cast("int").alias("end_line"))
-
-
-def routes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Route symbols ``VERB path``: decorators over the function below them, and Express-style calls."""
-    deco = rf"^\s*@(?:app|router|api|bp)\.(?:({_VERBS})|route)\(\s*[\"']([^\"']+)[\"'](.*)$"
-    d = lines.where((F.col("grammar") == "python") & F.col("line").rlike(deco)).select(*_KEY, "grammar", F.col("line_no").alias("at"), F.regexp_extract("line", deco, 1).alias("verb"), F.regexp_extract("line", deco, 2).alias("route"), F.regexp_extract("line", deco, 3).alias("rest"))
-    listed = F.regexp_extract_all(F.regexp_extract("rest", r"methods\s*=\s*[\[\(]([^\]\)]*)", 1), F.lit(r"[\"'](\w+)[\"']"), F.lit(1))
-    verbs = F.when(F.col("verb") != "", F.array("verb")).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
-    functions = symbols.where("kind IN ('function', 'method')").select(*_KEY, "start_line", "end_line")
-    below = d.join(functions.hint("merge"), _KEY).where("start_line > at").groupBy(*_KEY, "grammar", "at", "route", "verb", "rest").agg(F.min_by("end_line", "start_line").alias("end_line"))
-    python = below.select(*_KEY, "grammar", F.lit("route").alias("kind"), F.explode(verbs).alias("v"), "route", F.col("at").alias("start_line"), "end_line")
-    call = rf"^\s*(?:app|router)\.({_VERBS})\(\s*[\"'`]([^\"'`]+)[\"'`]"
-    js = lines.where(F.col("grammar").isin("javascript", "typescript", "tsx") & F.col("line").rlike(call)).select(*_KEY, "grammar", F.lit("route").alias("kind"), F.regexp_extract("line", call, 1).alias("v"), F.regexp_extract("line", call, 2).alias("route"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
-    both = python.unionByName(js)
-    return both.select(*_KEY, "grammar", "kind", F.concat(F.upper("v"), F.lit(" "), F.col("route")).alias("name"), "start_line", "end_line")
+def symbols_of(code: DataFrame) -> DataFrame:
+    """``symbols`` of a table of statements."""
+    deco = r"^\s*@([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*\("
+    call = rf"(?i)(?:^|[^\w.$])(?:app|router)\.({_VERBS})\(\s*[\"']([^\"']+)[\"']"
+    # a row per hit; the generator also keeps the patterns from being tried again for each use of their result
+    hits = F.array(_defined(), F.when((F.col("grammar") == "python") & F.col("code").rlike(r"^\s*@"), _hit("decorator")), F.when(F.col("grammar").isin(*_SCRIPTS) & F.col("code").rlike(call), _hit("call")))
+    rows = code.where("code IS NOT NULL").select(*_KEY, "grammar", "line_no", "end_line", "code", "raw", F.inline(F.array_compact(hits)))
+    rows = rows.where("kind IN ('decorator', 'call') OR name <> ''")
+
+    # decorators belong to the next definition below them; one sort down the file and one up
+    down = Window.partitionBy(*_KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*_KEY).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
+    is_deco, is_call = F.col("kind") == "decorator", F.col("kind") == "call"
+    holds = (F.col("kind") == "class") & ((F.col("grammar") != "rust") | F.col("code").rlike(r"^\s*(?:unsafe\s+)?impl\b"))
+    rows = rows.withColumns({"reach": F.max(F.when(holds, F.col("end_line"))).over(down), "of": F.last(F.when(~is_deco & ~is_call, F.struct("line_no", "end_line")), ignorenulls=True).over(up)})
+    rows = rows.withColumns({"object": F.when(is_deco, _group("code", deco)), "verb": F.when(is_deco, _group("code", deco, 2))})
+    group = Window.partitionBy(*_KEY, "of.line_no")
+    is_verb, router = F.col("verb").rlike(rf"^(?:{_VERBS})$"), F.col("object").isin("app", "router", "api", "bp")
+    rows = rows.withColumns({"first": F.min("line_no").over(group), "handled": F.max(F.coalesce(is_verb | ((F.col("verb") == "route") & router), F.lit(False))).over(group)})
+
+    kind = F.when((F.col("kind") == "function") & (F.col("reach") >= F.col("end_line")), "method").otherwise(F.col("kind"))
+    plain = F.when(~(F.col("handled") & (F.col("kind") == "function")), F.array(F.struct(kind.alias("kind"), "name", F.col("line_no").alias("start_line"), "end_line")))
+
+    def routes(verbs: Column, path: Column, start: str, end: str) -> Column:
+        return F.transform(verbs, lambda v: F.struct(F.lit("route").alias("kind"), F.concat(v, F.lit(" "), path).alias("name"), F.col(start).alias("start_line"), F.col(end).alias("end_line")))
+
+    listed = F.regexp_extract_all(F.col("raw"), F.lit(r"[\"'](GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)[\"']"), F.lit(1))
+    verbs = F.when(is_verb, F.array(F.upper("verb"))).when(F.col("verb") == "route", F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET"))))
+    decorated = F.when(F.col("of").isNotNull() & router & F.col("code").rlike(r"\(.*?[\"']"), routes(verbs, F.regexp_extract("raw", r"\(.*?[\"']([^\"']*)[\"']", 1), "first", "of.end_line"))
+    express = routes(F.array(F.upper(_group("raw", call))), _group("raw", call, 2), "line_no", "end_line")
+    return rows.select(*_KEY, "grammar", F.inline(F.when(is_deco, decorated).when(is_call, express).otherwise(plain))).select(*_SYMBOL)
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """repo_id, path, grammar, kind, name, start_line, end_line of functions, classes, methods and routes.
 
-    A function inside a class is a method; the function below a route decorator is the route, not a function too.
+    files: repo_id, path, content.  Spans are of lines, from 1, inclusive.  A function inside a class (in Rust an impl) is a method; a function below a route
+    decorator is the route, which spans its decorators too, and no function.  Files without a grammar or content have no rows.
     """
-    lines = code_lines(files)
-    found = definitions(lines)
-    classes = found.where("kind = 'class'").select(*_KEY, F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    inside = (F.col("f.repo_id") == F.col("c.repo_id")) & (F.col("f.path") == F.col("c.path")) & (F.col("c_start") < F.col("start_line")) & (F.col("end_line") <= F.col("c_end"))
-    owned = found.where("kind = 'function'").alias("f").join(classes.alias("c").hint("merge"), inside, "left_semi").select(*_KEY, "start_line", F.lit(True).alias("owned"))
-    found = found.join(owned.hint("merge"), [*_KEY, "start_line"], "left").withColumn("kind", F.when(F.col("owned") & (F.col("kind") == "function"), "method").otherwise(F.col("kind"))).drop("owned")
-    at = routes(lines, found)
-    spans = at.where("grammar = 'python'").select(*_KEY, F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
-    handler = (F.col("f.repo_id") == F.col("r.repo_id")) & (F.col("f.path") == F.col("r.path")) & (F.col("start_line") > F.col("r_start")) & (F.col("end_line") == F.col("r_end")) & F.col("kind").isin("function", "method")
-    plain = found.alias("f").join(spans.alias("r").hint("merge"), handler, "left_anti")
-    return plain.select(*_KEY, "grammar", "kind", "name", "start_line", "end_line").unionByName(at)
+    return symbols_of(statements(files))
+
+
+def imports_of(code: DataFrame) -> DataFrame:
+    """``imports`` of a table of statements."""
+    g = F.col("grammar")
+
+    def when(pattern: str, modules: Column) -> Column:
+        return F.when(F.col("code").rlike(pattern), modules)
+
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(F.col("raw"), F.lit(pattern), F.lit(1))
+
+    def first_of(pattern: str) -> Column:
+        return F.array(F.trim(_group("raw", pattern)))
+
+    here, named = r"^\s*from\s+(\.+)\s+import\s+\(?\s*(\w+)", r"^\s*from\s+(\.*[A-Za-z_][\w.]*)\s+import\b"
+    module, source = r"^\s*import\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)", r"^\s*(?:import|export)\b[^\"';]*?from\s*[\"']([^\"']+)[\"']"
+    bare, required = r"^\s*import\s*[\"']([^\"']+)[\"']", r"\brequire\(\s*[\"']([^\"']+)[\"']"
+    python = F.coalesce(when(here, F.array(F.concat(_group("raw", here), _group("raw", here, 2)))), when(named, first_of(named)), when(module, first_of(module)))
+    script = F.coalesce(when(source, first_of(source)), when(bare, first_of(bare)), when(required, all_of(required)))
+    quoted, angled = r"^\s*\#\s*include\s+\"([^\"]+)\"", r"^\s*\#\s*include\s+(<[^>]+>)"
+    use, java, kotlin = r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;{]+?)(?:::)?\s*(?:\{[^;]*)?;", r"^\s*import\s+(?:static\s+)?([\w.*]+)", r"^\s*import\s+([\w.*]+)"
+    scala, php, ruby = r"^\s*import\s+([\w.]+?)(?:\.?\{.*)?\s*$", r"^\s*use\s+([\w\\]+)", r"^\s*require(?:_relative)?\s*\(?\s*[\"']([^\"']+)[\"']"
+    found = (
+        F.when(g == "python", python).when(g.isin(*_SCRIPTS), script).when(g.isin("c", "cpp"), F.coalesce(when(quoted, first_of(quoted)), when(angled, first_of(angled))))
+        .when(g == "go", when(r"^\s*import\b", all_of(r"\"([^\"]+)\""))).when(g == "rust", when(use, first_of(use))).when(g == "java", when(java, first_of(java))).when(g == "kotlin", when(kotlin, first_of(kotlin)))
+        .when(g == "scala", when(scala, first_of(scala))).when(g == "php", when(php, first_of(php))).when(g == "ruby", when(ruby, first_of(ruby)))
+    )
+    m = F.col("module")
+    relative = F.when(g.isin("c", "cpp", "ruby"), True).when(g == "python", m.startswith(".")).when(g.isin(*_SCRIPTS), m.rlike(r"^[./]")).when(g == "rust", m.rlike(r"^(?:crate|super|self)\b")).otherwise(False)
+    rows = code.where("code IS NOT NULL").select(*_KEY, "grammar", F.explode(found).alias("module")).where("module <> ''")
+    return rows.select(*_KEY, "grammar", "module", relative.alias("is_relative")).dropDuplicates([*_KEY, "module", "is_relative"])
 
 
 def imports(files: DataFrame) -> DataFrame:
     """repo_id, path, grammar, module, is_relative: each import of a file once."""
-    lines = code_lines(files)
-    table = _table(files.sparkSession, IMPORTS, "grammar string, prio int, pattern string, module_group int, relative string")
-    found = lines.join(table, "grammar").where(F.expr("regexp_like(line, pattern)"))
-    group = F.expr("regexp_extract(line, pattern, module_group)")
-    angle = F.regexp_extract("line", r"(<[^>]+>)", 1)
-    first_name = F.regexp_extract("line", r"import\s+\(?\s*(\w+)", 1)
-    module = F.when(F.col("grammar").isin("c", "cpp") & (group == ""), angle).when((F.col("grammar") == "python") & group.rlike(r"^\.+$"), F.concat(group, first_name)).otherwise(F.trim(group))
-    relative: Column = F.when(F.col("relative") == "always", True).when(F.col("relative") == "never", False).otherwise(F.expr("regexp_like(module, relative)"))
-    return found.withColumn("module", module).where("module <> ''").select(*_KEY, "grammar", "module", relative.alias("is_relative")).dropDuplicates([*_KEY, "module", "is_relative"])
+    return imports_of(statements(files))
 
 
-def unbalanced(files: DataFrame) -> DataFrame:
-    """repo_id, path, parse_error of brace-grammar files whose braces don't balance: failure is data."""
-    lines = code_lines(files).where(~F.col("grammar").isin(*INDENTED))
-    return lines.groupBy(*_KEY).agg(F.sum("change").alias("left")).where("left <> 0").select(*_KEY, F.lit("unbalanced").alias("parse_error"))
+def parse_errors(code: DataFrame) -> DataFrame:
+    """repo_id, path, parse_error of files that leave a string, comment or bracket open: failure is data."""
+    return code.where("parse_error IS NOT NULL").select(*_KEY, "parse_error")
 
 
-__all__ = ["code_lines", "definitions", "imports", "routes", "symbols", "unbalanced"]
+__all__ = ["DEFINITIONS", "imports", "imports_of", "parse_errors", "statements", "symbols", "symbols_of"]

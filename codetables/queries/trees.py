@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetables.functions import languages, paths
@@ -149,12 +151,21 @@ def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.best(asked, p.select(host.alias("repo_id"), path.alias("path")), ["page_id", "link"]).select("page_id", "link", "resolved_path")
 
 
+def _made(spark: SparkSession, sf_dir: str, suffix: Column, line: Callable[[Column, Column], Column]) -> DataFrame:
+    """Source files whose text is made of the documents' lines, by (line, its number as text); files without a line have none."""
+    made = F.transform(tx.lines(F.col("content")), lambda x, i: line(x, (i + 1).cast("string")))
+    f = a.files(spark, sf_dir).where(F.size(tx.lines(F.col("content"))) > 0)
+    return f.select("repo_id", F.concat(F.regexp_replace("path", r"\.[^.]*$", ""), suffix).alias("path"), F.array_join(made, "\n").alias("content"))
+
+
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files made of the documents' lines: a function begins on every fifth line, its body are the next four."""
-    w = F.regexp_replace(F.substring(F.lower("line"), 1, 12), "[^a-z]", "")
-    line = F.when(F.expr("(line_no - 1) % 5 = 0"), F.concat(F.lit("def f_"), w, F.lit("_"), F.col("line_no").cast("string"), F.lit("():"))).otherwise(F.concat(F.lit("    pass  # "), w))
-    rows = a.lines(spark, sf_dir).withColumn("code", line)
-    return rows.groupBy("repo_id", F.concat(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit(".py")).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n").alias("content"))
+
+    def line(x: Column, n: Column) -> Column:
+        w = F.regexp_replace(F.substring(F.lower(x), 1, 12), "[^a-z]", "")
+        return F.when((n.cast("int") - 1) % 5 == 0, F.concat(F.lit("def f_"), w, F.lit("_"), n, F.lit("():"))).otherwise(F.concat(F.lit("    pass  # "), w))
+
+    return _made(spark, sf_dir, F.lit(".py"), line)
 
 
 @register(f"""WITH {a.FILES}, {a.LINES}, n AS (SELECT *, max(line_no) OVER (PARTITION BY repo_id, path) AS total FROM lines)
@@ -173,3 +184,36 @@ def files_below_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || '.py' AS path, name FROM s WHERE name ILIKE '%THE%'""")
 def symbols_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.name_contains(scope.of_kind(structure.symbols(_code(spark, sf_dir)), "function"), "THE").select("repo_id", "path", "name")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources made of the documents' lines: a block of ten lines for each, a class whose method has its head on several lines.
+
+    Python files carry a line's words in a docstring beside a definition that is none, TypeScript files in a comment and a template beside braces that are none.
+    """
+    is_python = F.expr("doc_id % 2 = 0")
+
+    def line(x: Column, n: Column) -> Column:
+        words = F.trim(F.regexp_replace(F.substring(x, 1, 40), "[^A-Za-z ]", ""))
+        python = F.concat(F.lit("class K_"), n, F.lit(":\n    \"\"\""), words, F.lit("\ndef hidden(): {\n    \"\"\"\n    def m_"), n, F.lit("(\n        self,\n        x=\")\",  # ("), words, F.lit("\n    ):\n        return \"}\"\n"))
+        script = F.concat(F.lit("class K_"), n, F.lit(" {\n  // } "), words, F.lit("\n  m_"), n, F.lit("(a: string,\n    b = \"{\") {\n    return `} {\n "), words, F.lit("`;\n  }\n  /* { */\n}\n"))
+        return F.when(is_python, python).otherwise(script)
+
+    return _made(spark, sf_dir, F.when(is_python, ".py").otherwise(".ts"), line)
+
+
+@register(f"""WITH {a.FILES}, {a.LINES}, b AS (SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path, line_no, (line_no - 1) * 10 AS o, doc_id % 2 = 0 AS py FROM lines)
+SELECT repo_id, path, 'class' AS kind, 'K_' || line_no AS name, CAST(o + 1 AS INTEGER) AS start_line, CAST(o + 9 AS INTEGER) AS end_line FROM b
+UNION ALL SELECT repo_id, path, 'method', 'm_' || line_no, CAST(CASE WHEN py THEN o + 5 ELSE o + 3 END AS INTEGER), CAST(CASE WHEN py THEN o + 9 ELSE o + 7 END AS INTEGER) FROM b""")
+def nested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and methods behind heads of several lines, strings and comments, in two grammars."""
+    return structure.symbols(_nested(spark, sf_dir)).select("repo_id", "path", "kind", "name", "start_line", "end_line")
+
+
+@register(f"""WITH {a.FILES} SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || '.java' AS path, CASE doc_id % 4 WHEN 0 THEN 'line 1: {{ without an end' WHEN 1 THEN 'line 4: unexpected )' ELSE 'line 3: comment without an end' END AS parse_error
+FROM files WHERE doc_id % 4 < 3""")
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that end in an open block or comment, or close a bracket too many; every fourth is in order."""
+    body = F.expr("CASE doc_id % 4 WHEN 0 THEN 'class A {{\n  void f() {{\n  // }}\n}}\n' WHEN 1 THEN 'class A {{\n  void f() {{\n  }}\n)\n}}\n' WHEN 2 THEN 'class A {{\n}}\n/* }}\n' ELSE 'class A {{ char c = \"{{\"; }}\n' END".replace("{{", "{").replace("}}", "}").replace("\n", "\\n"))
+    f = a.files(spark, sf_dir).select("repo_id", F.concat(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit(".java")).alias("path"), body.alias("content"))
+    return structure.parse_errors(structure.statements(f))
