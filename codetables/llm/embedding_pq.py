@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetables.llm.common import Scratch, written
+from codetables.llm.common import Scratch, join_groups, written
 from codetables.llm.components import components
 
 #: Vectors that fit the index at most, in the order of a hash of their ids.
@@ -80,11 +80,16 @@ class Index:
         return np.sqrt(out)
 
 
-def unit(rows: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, np.float64) for r in rows])
+def normed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; each is divided by its largest component first, so no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unit(rows: list[bytes]) -> np.ndarray:
+    return normed(np.stack([np.frombuffer(r, np.float64) for r in rows]))
+
+
 def spanning(linked: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, label) of all nodes that a link touches: label is the smallest node of the component within the block."""
     big = np.iinfo(np.int64).max
@@ -108,17 +113,18 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector
     ids left out; other columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = "label IS NOT NULL AND v IS NOT NULL AND forall(v, e -> e IS NOT NULL AND e = e AND abs(e) < double('inf')) AND exists(v, e -> e <> 0)"
     rows = rows.withColumn("valid", F.coalesce(F.expr(fine), F.lit(False)))
     classes = rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("label", F.concat_ws(":", F.size("v"), "label")), "vector-classes")
+    classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("label", F.concat_ws(":", F.size("v"), "label")), "vector-classes")
 
     bounded = classes.orderBy(F.xxhash64("vec_id", "node"), "node").limit(SAMPLE).select("v").collect()
     by_dim: dict[int, list] = {}
     for r in bounded:
         by_dim.setdefault(len(r.v), []).append(r.v)
-    models = {d: Index.fit(np.array(x) / np.linalg.norm(np.array(x), axis=1, keepdims=True)) for d, x in by_dim.items()}
+    models = {d: Index.fit(normed(np.array(x))) for d, x in by_dim.items()}
     shared = spark.sparkContext.broadcast(models)  # LISTS centroids and CODEWORDS codewords for each dimension in the sample
     far = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
@@ -135,31 +141,33 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 v = np.array([lists[i] for i in at], np.float64)
-                which, rho, codes, off = model_of(d).encode(v / np.linalg.norm(v, axis=1, keepdims=True))
+                which, rho, codes, off = model_of(d).encode(normed(v))
                 few = batch.select(["node", "label", "weight"]).take(pa.array(at))
                 yield pa.record_batch([*few.columns, pa.array(which.astype(np.int32)), pa.array(rho), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array([x.tobytes() for x in v], pa.binary())], [*few.schema.names, "list", "rho", "codes", "off", "vector"])
 
-    index = written(classes.select("node", "label", "weight", "v").mapInArrow(assign, "node long, label string, weight long, list int, rho double, codes binary, off double, vector binary"), "pq-index")
+    index = scratch.written(classes.select("node", "label", "weight", "v").mapInArrow(assign, "node long, label string, weight long, list int, rho double, codes binary, off double, vector binary"), "pq-index")
     # lists of a label, their radius and size; joined by key, as labels may be many
-    cells = written(index.groupBy("label", "list").agg(F.max("rho").alias("radius"), F.count(F.lit(1)).alias("n")), "pq-cells")
+    cells = scratch.written(index.groupBy("label", "list").agg(F.max("rho").alias("radius"), F.count(F.lit(1)).alias("n")), "pq-cells")
     radius = {(r.d, r.list): r.radius for r in cells.groupBy(F.split("label", ":", 2)[0].cast("int").alias("d"), "list").agg(F.max("radius").alias("radius")).collect()}  # LISTS per dimension
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, labels, vectors = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
-            for i, v in enumerate(vectors):
-                x = unit([v])
-                model = model_of(x.shape[1])
-                reach = np.array([radius.get((x.shape[1], c), -far) for c in range(len(model.coarse))]) + far
-                out += [(node[i], labels[i], c) for c in np.flatnonzero(np.sqrt(distances2(x, model.coarse))[0] <= reach + 1e-7).tolist()]
-            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32())], ["node", "label", "list"])
+            vectors = batch.column(2).to_pylist()
+            dims = np.array([len(v) // 8 for v in vectors], np.int64)
+            for d in np.unique(dims).tolist():
+                model, at = model_of(d), np.flatnonzero(dims == d)
+                reach = np.array([radius.get((d, c), -far) for c in range(len(model.coarse))]) + far
+                for k in range(0, len(at), 1024):
+                    part = at[k : k + 1024]
+                    row, which = np.nonzero(np.sqrt(distances2(unit([vectors[i] for i in part]), model.coarse)) <= reach + 1e-7)
+                    rows = batch.select([0, 1]).take(pa.array(part[row]))
+                    yield pa.record_batch([*rows.columns, pa.array(which.astype(np.int32))], ["node", "label", "list"])
 
     probes = index.select("node", "label", "vector").mapInArrow(probe, "node long, label string, list int")
-    probes = written(probes.join(cells.select("label", "list").hint("merge"), ["label", "list"]), "pq-probes")
+    probes = scratch.written(probes.join(cells.select("label", "list").hint("merge"), ["label", "list"]), "pq-probes")
     asked = probes.groupBy("label", "list").agg(F.count(F.lit(1)).alias("asked"))
     blocks = cells.join(asked.hint("merge"), ["label", "list"]).select("label", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("nq"))
-    blocks = written(blocks, "pq-blocks")
+    blocks = scratch.written(blocks, "pq-blocks")
 
     mine = F.xxhash64("node")
     unit_cols = ["label", "list", "bx", "bq"]
@@ -191,17 +199,21 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector
             out = {"node": np.concatenate((node[a][hit], members)), "n": np.concatenate((n[hit], np.zeros(len(members), np.int64))), "label": np.concatenate((node[a][hit], label))}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    found = written(stored.unionByName(queries).groupBy(*unit_cols).applyInArrow(compare, "node long, n long, label long"), "pq-found")
-    named = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), Scratch(spark))
+    found = scratch.written(stored.unionByName(queries).groupBy(*unit_cols).applyInArrow(compare, "node long, n long, label long"), "pq-found")
+    named = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), scratch)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     whole = classes.select("node", "vec_id", "weight").join(named.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = whole.groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    whole = whole.join(least.hint("merge"), "label").join(counts.hint("merge"), "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    whole = written(classes.select("node", F.expr("substring(label, instr(label, ':') + 1)").alias("label"), "v").join(whole.hint("merge"), "node").withColumn("valid", F.lit(True)), "vector-results")
-
-    one = rows.join(whole.hint("merge"), ["label", "v", "valid"], "left")
-    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return one.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.col("vec_id").isNull()).alias("kept"))
+    whole = scratch.written(whole, "pq-labels")
+    least = scratch.written(whole.groupBy("label").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "pq-least")
+    whole = join_groups(whole, least, ["label"], "members").join(counts.hint("merge"), "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    whole = scratch.written(classes.select("node", F.expr("substring(label, instr(label, ':') + 1)").alias("label"), "v", "weight").join(whole.hint("merge"), "node"), "vector-results")
+
+    # copies of one vector get its result in many tasks
+    alike = join_groups(rows.where("valid").select("vec_id", "label", "v"), whole, ["label", "v"], "weight").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()).alias("kept"))
+    alone = rows.where("NOT valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = written(alike.unionByName(alone), "vector-links")
+    scratch.clear()
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
