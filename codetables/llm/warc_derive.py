@@ -20,9 +20,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codetables.llm import files
-from codetables.llm.common import batches_of, parallelism, written
+from codetables.llm.common import batches_of, parallelism, shared_folder, written
 
 VERSION = b"WARC/1.1"
 #: Elements whose content isn't text, and those that begin a new line.
@@ -34,12 +35,13 @@ RAW = ("script", "style", "noscript", "title", "textarea")
 #: Elements that a head can hold: any other begins the body, as text does, where </head> is left out.
 IN_HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template")
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?[a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S)
+_MARK = re.compile(r"<(?:!--|[!?]|(/?[a-zA-Z][^\s/>]{0,63}))")
+_STOP = re.compile(r"[>\"']")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _IN_SCRIPT = re.compile(r"<!--|-->|<script(?=[\s/>])|</script(?=[\s/>])[^>]*>?", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_ANCHOR, _HREF, _BARE = re.compile(r"<a\s", re.I), re.compile(r"href\s*=\s*", re.I), re.compile(r"[^\s>]+")
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -95,19 +97,111 @@ def _script_end(page: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def _raw_end(page: str, name: str, at: int) -> tuple[int, int] | None:
-    if name == "script":
-        return _script_end(page, at)
-    m = _END[name].search(page, at)
-    return m.span() if m else None
+class _Page:
+    """The marks of one page from left to right; what is known not to come any more is not searched again, so the whole takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.open_ended, self.known = page, set(), set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of a string at or after ``at``, -1 for none; asked for in any order."""
+        last = self.known.get(what, (0, -2))
+        if last[1] == -2 or not last[0] <= at <= (len(self.page) if last[1] < 0 else last[1]):
+            self.known[what] = last = (at, self.page.find(what, at))
+        return last[1]
+
+    def stop(self, at: int) -> int:
+        """The next >, " or ' at or after ``at``, the page's length for none."""
+        last = self.known.get("stop", (0, -1))
+        if not last[0] <= at <= last[1]:
+            m = _STOP.search(self.page, at)
+            self.known["stop"] = last = (at, m.start() if m else len(self.page))
+        return last[1]
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > that ends a tag, outside quotes; -1 where none does.
+
+        Places from which no > is reached are remembered: a later tag that comes to one of them has none either.
+        """
+        seen = []
+        while (k := self.stop(at)) < len(self.page) and k not in self.open_ended:
+            if self.page[k] == ">":
+                return k + 1
+            seen.append(k)
+            at = self.find(self.page[k], k + 1) + 1
+            if not at:
+                break
+        self.open_ended.update(seen)
+        return -1
+
+    def marks(self, at: int) -> Iterator[tuple[int, int, str]]:
+        """(begin, end, lower-case name or '') of comments, declarations and tags; a place to go on from may be sent."""
+        while m := _MARK.search(self.page, at):
+            begin, name = m.start(), (m[1] or "").lower()
+            if name:
+                end = self.tag_end(m.end())
+            elif m[0] == "<!--":
+                end = self.find("-->", m.end())
+                end = end + 3 if end >= 0 else len(self.page)
+            else:
+                end = self.find(">", m.end()) + 1 or -1
+            at = begin + 1 if end < 0 else (yield begin, end, name) or end
+
+    def raw_end(self, name: str, at: int) -> tuple[int, int] | None:
+        if name == "script":
+            return _script_end(self.page, at)
+        m = None if name in self.gone else _END[name].search(self.page, at)
+        if not m:
+            self.gone.add(name)
+        return m.span() if m else None
+
+
+def title_of(page: str) -> str | None:
+    m = _TITLE.search(page)
+    begin = page.find(">", m.end()) if m else -1
+    end = _TITLE_END.search(page, begin) if begin >= 0 else None
+    return html.unescape(page[begin + 1 : end.start()]).strip() if end else None
+
+
+def language_of(page: str) -> str | None:
+    """The last lang of the first <html> that has one."""
+    at = 0
+    while m := _HTML.search(page, at):
+        at = page.find(">", m.end())
+        at = at if at >= 0 else len(page)
+        if found := _LANG.findall(page, m.end(), at):
+            return found[-1]
+    return None
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of all anchors; a quote without an end belongs to a bare target."""
+    p, out, at = _Page(page), [], 0
+    while m := _ANCHOR.search(page, at):
+        at = p.find(">", m.end())
+        at = at if at >= 0 else len(page)
+        h = _HREF.search(page, m.end(), at)
+        if not h:
+            continue
+        quote = page[h.end() : h.end() + 1]
+        end = p.find(quote, h.end() + 1) if quote and quote in "\"'" else -1
+        if end >= 0:
+            out.append(page[h.end() + 1 : end])
+            at = end + 1
+        elif bare := _BARE.match(page, h.end()):
+            out.append(bare[0])
+            at = bare.end()
+    return [html.unescape(x) for x in out]
 
 
 def plain_text(page: str) -> str:
     """Text of a page: hidden elements dropped, a line per block element, references resolved, spaces joined."""
-    out, at, head, hidden = [], 0, False, None
-    while m := _TAG.search(page, at):
-        name = (m[1] or "").lower()
-        text, at = page[at : m.start()], m.end()
+    out, at, head, hidden, depth = [], 0, False, None, 0
+    p = _Page(page)
+    marks, jump = p.marks(0), None
+    while (mark := next(marks, None) if jump is None else _sent(marks, jump)) is not None:
+        begin, end, name = mark
+        text, at, jump = page[at:begin], end, None
         if head and (hidden in (None, "noscript") and name == "body" or name == "/head"):
             head, hidden = False, None
         elif head and hidden is None and (text.strip(" \t\n\f\r") or name in ("/body", "/html", "/br") or name[:1] not in ("", "/") and name not in IN_HEAD):
@@ -116,22 +210,26 @@ def plain_text(page: str) -> str:
         elif not head and hidden is None:
             out.append(text)
         shown = not head and hidden is None
-        opens = not m[0].endswith("/>")
+        opens = page[end - 2 : end] != "/>"
         if name in RAW and opens:
-            end = _raw_end(page, name, at)
-            if end or name in ("script", "style"):
-                begin, (stop, at) = at, end or (len(page), len(page))
+            stop = p.raw_end(name, at)
+            if stop or name in ("script", "style"):
+                begin, (stop, at) = at, stop or (len(page), len(page))
+                jump = at
                 if shown and name not in HIDDEN:
                     out.append(page[begin:stop])
             elif name == "noscript":
-                hidden = hidden or name
+                hidden, depth = hidden or name, depth or 1
         elif hidden is not None:
-            if name == "/" + hidden:
-                hidden = None
+            if name == hidden and opens:
+                depth += 1
+            elif name == "/" + hidden:
+                depth -= 1
+                hidden = hidden if depth else None
         elif name == "head" and opens:
             head = True
         elif name in HIDDEN and opens:
-            hidden = name
+            hidden, depth = name, 1
         elif shown and name.lstrip("/") in BLOCKS:
             out.append("\n")
     if hidden is None and (not head or page[at:].strip(" \t\n\f\r")):
@@ -140,8 +238,19 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def _sent(marks: Iterator, at: int):
+    try:
+        return marks.send(at)
+    except StopIteration:
+        return None
+
+
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """source_id, record BINARY: a WARC response record per page.  A null url or page counts as empty."""
+    """source_id, record BINARY: a WARC response record per page.
+
+    A null url or page counts as empty; pages of any length are kept whole; repeated rows give records of equal ids, null ids their own;
+    other columns are ignored, whatever their names; an empty table gives no rows.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -252,8 +361,7 @@ def derivatives(data: bytes) -> list[tuple]:
         page = (plain or b"").decode("utf-8", "replace")
     payload = of.get("warc-payload-digest") or digest(body)
     source, target, date = of.get("warc-record-id", ""), of.get("warc-target-uri", ""), of.get("warc-date", "")
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    facts = {"warc-headers": dict(headers), "warc-fields": headers, "http-status": head.partition(b"\r\n")[0].decode("utf-8", "replace"), "http-headers": dict(http), "http-fields": http, "not-decoded": left, "payload-length": len(body), "payload-digest": payload, "title": html.unescape(title[1]).strip() if title else None, "lang": lang[1] if lang else None, "links": [html.unescape(next(filter(None, m), "")) for m in _LINK.findall(page)]}
+    facts = {"warc-headers": dict(headers), "warc-fields": headers, "http-status": head.partition(b"\r\n")[0].decode("utf-8", "replace"), "http-headers": dict(http), "http-fields": http, "not-decoded": left, "payload-length": len(body), "payload-digest": payload, "title": title_of(page), "lang": language_of(page), "links": links_of(page)}
     rows = []
     for name, content_type, content in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "surrogatepass"))):
         own = record_id(name, source, payload)
@@ -266,7 +374,8 @@ def derive(records: DataFrame) -> DataFrame:
     """Two rows of DERIVED per row of source_id, record; no shuffle.
 
     An empty payload gives an empty conversion; repeated records give repeated rows of equal ids; records
-    that aren't responses are left out.
+    that aren't responses, and null ones, are left out.  Pages of any length are read whole, in time linear in their length.  Other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,47 +392,59 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def write_files(records: DataFrame, folder: str) -> DataFrame:
-    """Write records as .warc.gz files, a gzip member each; file, record_id, offset and length of each, as in a CDX."""
+    """Write records as .warc.gz files, a gzip member each; file, offset and length of each as in a CDX, with all other columns of ``records``."""
+    rest = [f for f in records.schema.fields if f.name not in ("record", "file", "offset", "length")]
+    names = [f.name for f in rest]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at = None, None, 0
         for batch in rows:
             if batch.num_rows and out is None:
                 name, out = files.new_file(folder, "derived", ".warc.gz")
-            found = []
-            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            offsets, lengths = [], []
+            for data in batch.column(0).to_pylist():
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 packed = z.compress(data) + z.flush()
                 out.write(packed)
-                found.append((name, own, at, len(packed)))
+                offsets.append(at)
+                lengths.append(len(packed))
                 at += len(packed)
-            if found:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "record_id", "offset", "length"])
+            yield pa.record_batch([*batch.columns[1:], pa.array([name] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], [*names, "file", "offset", "length"])
         if out is not None:
             out.close()
 
-    return written(records.select("record_id", "record").mapInArrow(run, "file string, record_id string, offset long, length long"), "warc-index")
+    schema = StructType([*rest, *StructType.fromDDL("file string, offset long, length long").fields])
+    return written(records.select("record", *names).mapInArrow(run, schema), "warc-index")
+
+
+#: Bytes of a file that one task reads, and records that it hands on at once.
+SPAN, MANY = 64 << 20, 100
 
 
-def read_files(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """file, record BINARY of all records that an index of write_files names."""
+def read_files(folder: str, index: DataFrame) -> DataFrame:
+    """The rows of an index of write_files, with record BINARY in place of offset and length: each record by one ranged read, in order."""
+    names = [c for c in index.columns if c not in ("file", "offset", "length")]
+    types = [f for f in index.schema.fields if f.name in names]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = files.store(folder)
+        name, f = None, None
         for batch in rows:
-            for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
-                    packed = f.read()
-                out = []
-                while packed:
-                    z = zlib.decompressobj(31)
-                    out.append(z.decompress(packed) + z.flush())
-                    packed = z.unused_data
-                yield pa.record_batch([pa.array([name] * len(out)), pa.array(out, pa.binary())], ["file", "record"])
+            for begin in range(0, batch.num_rows, MANY):
+                part, out = batch.slice(begin, MANY), []
+                for other, offset, length in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    if other != name:
+                        name, f = other, fs.open_input_file(f"{path}/{other}")
+                    f.seek(offset)
+                    out.append(zlib.decompress(f.read(length), 31))
+                yield pa.record_batch([part.column(0), *part.columns[3:], pa.array(out, pa.binary())], ["file", *names, "record"])
 
-    return index.select("file").distinct().repartition(parallelism(spark), "file").mapInArrow(run, "file string, record binary")
+    span = F.floor(F.col("offset") / SPAN)
+    dealt = index.select("file", "offset", "length", *names).repartition(parallelism(index.sparkSession), "file", span).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, StructType([*StructType.fromDDL("file string").fields, *types, *StructType.fromDDL("record binary").fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return out.select(F.col("source_id").alias("page_id"), *_NAMES[1:-1], F.decode("record", "UTF-8").alias("record"))
+    folder = shared_folder(spark, "warc")
+    index = write_files(derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))), folder)
+    return read_files(folder, index).select(F.col("source_id").alias("page_id"), *_NAMES[1:-1], F.decode("record", "UTF-8").alias("record"))

@@ -258,7 +258,7 @@ def test_warc(spark, tmp_path):
     assert facts["title"] == "A & B" and facts["links"] == ["/x?a=1&b=2"] and facts["lang"] == "de" and facts["http-headers"]["Content-Type"].startswith("text/html")
     folder = f"file://{tmp_path}/warc"
     index = warc_derive.write_files(out, folder)
-    again = warc_derive.read_files(spark, folder, index)
+    again = warc_derive.read_files(folder, index)
     assert sorted(bytes(r.record) for r in again.collect()) == sorted(bytes(r.record) for r in rows)
     assert warc_derive.derive(source.where("false")).count() == 0
 
