@@ -60,13 +60,29 @@ def best(asked: DataFrame, manifest: DataFrame, keys: list[str], options: str =
     return asked.join(hits.hint("merge"), keys, "left")
 
 
+#: What names an import.
+IMPORT = ["repo_id", "path", "module", "is_relative"]
+
+
+def asked_paths(imports: DataFrame) -> DataFrame:
+    """The columns of IMPORT, prio, candidate: a row per path that an import may mean.
+
+    Read by candidate this is the reverse index: which imports a path's coming or going can concern.
+    """
+    options = candidates(F.col("grammar"), F.col("path"), F.col("module"))
+    rows = imports.select(*IMPORT, F.posexplode(F.array_compact(options)).alias("prio", "candidate"))
+    return rows.groupBy(*IMPORT, "candidate").agg(F.min("prio").alias("prio"))
+
+
+def first_present(asked: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The columns of IMPORT, resolved_path: of each import's asked paths the first that its repository holds; imports without one have no row."""
+    there = manifest.select("repo_id", F.col("path").alias("candidate")).distinct().hint("merge")
+    return asked.join(there, ["repo_id", "candidate"], "left_semi").groupBy(*IMPORT).agg(F.min_by("candidate", "prio").alias("resolved_path"))
+
+
 def resolve(imports: DataFrame, manifest: DataFrame) -> DataFrame:
     """imports (repo_id, path, grammar, module, is_relative) with resolved_path, null where nothing in the repository fits."""
-    asked = imports.withColumn("import_id", F.xxhash64("repo_id", "path", "module", "is_relative"))
-    asked = asked.withColumn("candidates", F.coalesce(candidates(F.col("grammar"), F.col("path"), F.col("module")), F.array().cast("array<string>")))
-    listed = asked.select("import_id", "repo_id", F.posexplode(F.filter("candidates", lambda c: c.isNotNull())).alias("prio", "path"))
-    hits = listed.join(manifest.select("repo_id", "path").distinct().hint("merge"), ["repo_id", "path"]).groupBy("import_id").agg(F.min_by("path", "prio").alias("resolved_path"))
-    return asked.drop("candidates").join(hits.hint("merge"), "import_id", "left").drop("import_id")
+    return imports.join(first_present(asked_paths(imports), manifest).hint("merge"), IMPORT, "left")
 
 
 def import_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:

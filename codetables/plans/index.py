@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetables.operators import chunks, resolve, structure
+from codetables.sources import tables
 from codetables.sources import tree as trees
 
 
-def index_repos(tree: DataFrame) -> dict[str, DataFrame]:
-    """Tables of all repositories in ``tree`` (repo_id, path, content): nothing runs until they are used."""
+def index_repos(tree: DataFrame, store: bool = False) -> dict[str, DataFrame]:
+    """Tables of all repositories in ``tree`` (repo_id, path, content).
+
+    Nothing runs until they are used; with ``store`` statements and symbols, which most tables need, are written once to the shared folder.
+    files has parse_error: where a file leaves a string, comment or bracket open, else null.
+    """
     found = trees.source_files(tree)
     files = trees.readable(found)
-    symbols = structure.symbols(files)
-    imports = resolve.resolve(structure.imports(files), tree)
+    code = tables.stored(structure.statements(files), "statements") if store else structure.statements(files)
+    symbols = tables.stored(structure.symbols_of(code), "symbols") if store else structure.symbols_of(code)
+    imports = resolve.resolve(structure.imports_of(code), tree)
+    files = files.join(structure.parse_errors(code).hint("merge"), ["repo_id", "path"], "left")
     edges = resolve.import_edges(imports, files).select("repo_id", F.lit("imports").alias("edge_type"), "source_path", "target_path")
     pieces = chunks.chunk_files(files, symbols.select("repo_id", "path", "kind", "name", "start_line", "end_line"))
     n = lambda df, name: df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,37 @@ RANGES = """marks AS (
 ), ranges AS (
   SELECT change_id, repo_id, path, CAST(hunk AS BIGINT) AS hunk, CAST(min(new_line) AS INTEGER) AS start_line, CAST(max(new_line) AS INTEGER) AS end_line FROM added GROUP BY change_id, repo_id, path, hunk, run
 )"""
+
+
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, path, content, doc_id of Python modules whose imports name other modules of their repository.
+
+    A document is the module ``<lang>/p<id % 5>/m<id>.py``; it imports the next one of its folder relatively, the next one of its repository from
+    the root, the next one of the folder beside it by two dots, and one module from elsewhere.
+    """
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    near = Window.partitionBy("source", "lang", F.expr("doc_id % 5")).orderBy("doc_id")
+    far = Window.partitionBy("source").orderBy("doc_id")
+    d = d.select("source", "lang", "doc_id", F.lead("doc_id").over(near).alias("near"), F.lead(F.struct("lang", "doc_id")).over(far).alias("far"))
+    number = lambda c: F.col(c).cast("string")
+    package = lambda c: (F.col(c) % 5).cast("string")
+    own = F.when(F.col("near").isNotNull(), F.concat(F.lit("from .m"), number("near"), F.lit(" import (\n    x,\n)\n"))).otherwise("from .gone import x\n")
+    root = F.when(F.col("far").isNotNull(), F.concat(F.lit("import "), F.col("far.lang"), F.lit(".p"), package("far.doc_id"), F.lit(".m"), number("far.doc_id"), F.lit("\n"))).otherwise("")
+    beside = F.when(F.col("far.lang") == F.col("lang"), F.concat(F.lit("from ..p"), package("far.doc_id"), F.lit(".m"), number("far.doc_id"), F.lit(" import y\n"))).otherwise("")
+    path = F.concat("lang", F.lit("/p"), package("doc_id"), F.lit("/m"), number("doc_id"), F.lit(".py"))
+    code = F.concat(F.lit('"""\nimport hidden\n"""\nimport os\n'), own, root, beside, F.lit("\n\ndef f():\n    pass\n"))
+    return d.select(F.col("source").alias("repo_id"), path.alias("path"), code.alias("content"), "doc_id")
+
+
+PROJECT = """d AS (
+  SELECT source, lang, doc_id, lead(doc_id) OVER (PARTITION BY source, lang, doc_id % 5 ORDER BY doc_id) AS near, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS far, lead(lang) OVER (PARTITION BY source ORDER BY doc_id) AS far_lang
+  FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
+), asked AS (
+  SELECT source AS repo_id, lang || '/p' || doc_id % 5 || '/m' || doc_id || '.py' AS path, doc_id, unnest([
+    {'m': 'os', 'r': false, 't': NULL, 'id': NULL},
+    CASE WHEN near IS NULL THEN {'m': '.gone', 'r': true, 't': NULL, 'id': NULL} ELSE {'m': '.m' || near, 'r': true, 't': lang || '/p' || near % 5 || '/m' || near || '.py', 'id': near} END,
+    CASE WHEN far IS NOT NULL THEN {'m': far_lang || '.p' || far % 5 || '.m' || far, 'r': false, 't': far_lang || '/p' || far % 5 || '/m' || far || '.py', 'id': far} END,
+    CASE WHEN far_lang = lang THEN {'m': '..p' || far % 5 || '.m' || far, 'r': true, 't': lang || '/p' || far % 5 || '/m' || far || '.py', 'id': far} END]) AS i FROM d
+), resolved AS (
+  SELECT DISTINCT repo_id, path, i.m AS module, i.r AS is_relative, i.t AS resolved_path, doc_id, i.id AS target_id FROM asked WHERE i IS NOT NULL
+)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codetables.functions import paths
 from codetables.functions import text as tx
 from codetables.operators import assembly, explore, observe, resolve, scope, structure
+from codetables.plans import reindex
 from codetables.queries import adapters as a
 from codetables.queries.graphs import _spans
 from codetables.queries.trees import _COUNT, _PARTS
@@ -98,29 +99,29 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.file_text(a.lines(spark, sf_dir).select("repo_id", "path", F.col("line_no").alias("start_line"), F.col("line").alias("content")))
 
 
-_MODULES = """asked AS (SELECT repo_id, path, '.doc_' || (doc_id + 30) AS module, true AS is_relative, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/doc_' || (doc_id + 30) || '.py' AS target FROM files WHERE doc_id % 6 = 0
-UNION ALL SELECT repo_id, path, 'tests.doc_' || (doc_id + 6), false, split_part(path, '/', 1) || '/tests/doc_' || (doc_id + 6) || '.py' FROM files WHERE doc_id % 6 = 0
-UNION ALL SELECT repo_id, path, 'os', false, NULL FROM files WHERE doc_id % 6 = 0),
-resolved AS (SELECT a.repo_id, a.path, module, is_relative, f.path AS resolved_path FROM asked a LEFT JOIN files f ON f.repo_id = a.repo_id AND f.path = target WHERE a.path IS NOT NULL AND a.repo_id IS NOT NULL)"""
-
-
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports of Python files made of the ids: a relative one, one below an ancestor of the file, one from elsewhere."""
-    f = a.files(spark, sf_dir)
-    number = lambda n: (F.col("doc_id") + n).cast("string")
-    code = F.concat(F.lit("from .doc_"), number(30), F.lit(" import x\nimport tests.doc_"), number(6), F.lit("\nimport os\n"))
-    python = f.where("doc_id % 6 = 0").select("repo_id", "path", code.alias("content"))
-    return resolve.resolve(structure.imports(python), f)
-
-
-@register(f"WITH {a.FILES}, {_MODULES} SELECT * FROM resolved")
+@register(f"WITH {a.PROJECT} SELECT repo_id, path, module, is_relative, resolved_path FROM resolved")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).select("repo_id", "path", "module", "is_relative", "resolved_path")
+    """Relative, rooted and foreign imports of modules made of the documents' ids, behind a docstring that holds one too."""
+    p = a.project(spark, sf_dir)
+    return resolve.resolve(structure.imports(p), p).select("repo_id", "path", "module", "is_relative", "resolved_path")
 
 
-@register(f"WITH {a.FILES}, {_MODULES} SELECT repo_id, path AS source_path, resolved_path AS target_path FROM resolved WHERE resolved_path IS NOT NULL")
+@register(f"WITH {a.PROJECT} SELECT repo_id, path AS source_path, resolved_path AS target_path FROM resolved WHERE resolved_path IS NOT NULL AND target_id % 3 <> 0")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.import_edges(_resolved(spark, sf_dir), a.files(spark, sf_dir)).select("repo_id", "source_path", "target_path")
+    """An edge per import that resolves to an indexed file; every third file isn't indexed."""
+    p = a.project(spark, sf_dir)
+    return resolve.import_edges(resolve.resolve(structure.imports(p), p), p.where("doc_id % 3 <> 0")).select("repo_id", "source_path", "target_path")
+
+
+@register(f"""WITH {a.PROJECT}, kept AS (SELECT * FROM resolved WHERE doc_id % 7 <> 0)
+SELECT repo_id, path, module, is_relative, CASE WHEN target_id % 7 <> 0 THEN resolved_path END AS resolved_path FROM kept WHERE doc_id % 7 <> 2 OR module = 'os'""")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports after a delta: of the modules every seventh comes, another goes, a third loses all imports but one; only what these concern is worked on again."""
+    p = a.project(spark, sf_dir)
+    before = p.where("doc_id % 7 <> 1").drop("doc_id")
+    after = p.where("doc_id % 7 <> 0").select("repo_id", "path", F.when(F.expr("doc_id % 7 = 2"), "import os\n").otherwise(F.col("content")).alias("content"))
+    index, _ = reindex.reindex(reindex.full_index(before), before, after)
+    return index["imports"].select("repo_id", "path", "module", "is_relative", "resolved_path")
 
 
 @register(f"WITH {a.FILES}, {a.LINES} SELECT repo_id, path, sha256(concat_ws(chr(1), repo_id, path, 'function', 's' || line_no, line_no, line_no + 14)) AS symbol_id FROM lines WHERE line_no % 10 = 1")

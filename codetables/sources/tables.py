@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ from codetables.operators import retrieval
 TABLES = ("files", "symbols", "imports", "edges", "chunks")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new folder below spark.checkpoint.dir and read it back: true sizes for the optimizer, and no recomputation after a lost executor."""
+    sc = df.sparkSession.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, root: str, table: str) -> None:
     """Rewrite the partitions of the repositories in ``df``; others stay."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("repo_id").parquet(f"{root}/{table}")
