@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetables.functions import paths
+from codetables.operators import substring
 
 
 def language_histogram(files: DataFrame) -> DataFrame:
@@ -50,12 +51,11 @@ def directory_listing(requests: DataFrame, files: DataFrame, n: int = 30) -> Dat
 def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
     """request_id, path: the file of that very path, else one that ends with it: the shortest, then the first by name."""
     asked, held = requests.select("request_id", "repo_id", "wanted"), files.select("repo_id", "path")
-    # with a slash the last segment is a whole name; else the ends of paths that are as long as some request
+    # with a slash the last segment is a whole name; else through the trigrams that name and path share
     named = asked.where("contains(wanted, '/')").withColumn("name", paths.name(F.col("wanted")))
     named = named.join(held.withColumn("name", paths.name(F.col("path"))).hint("merge"), ["repo_id", "name"]).where("endswith(path, wanted)")
     bare = asked.where("NOT contains(wanted, '/')")
-    sizes = bare.select("repo_id", F.length("wanted").alias("n")).distinct()
-    ends = held.join(sizes.hint("merge"), "repo_id").select("repo_id", "path", F.right("path", F.col("n")).alias("wanted"), "n").where("length(path) >= n").drop("n")
+    ends = substring.pairs(bare, held, "repo_id", "wanted", "path", "endswith(path, wanted)", like=False)
     both = named.select("request_id", "wanted", "path").unionByName(bare.join(ends.hint("merge"), ["repo_id", "wanted"]).select("request_id", "wanted", "path"))
     order = F.struct(F.col("path") != F.col("wanted"), F.length("path"), F.col("path"))
     return both.groupBy("request_id").agg(F.min_by("path", order).alias("path"))
@@ -84,7 +84,9 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, name: str,
 
 def symbol_lookup(requests: DataFrame, symbols: DataFrame, n: int = 5) -> DataFrame:
     """The first n symbols by kind and name that contain each requested text, whatever its case."""
-    hit = requests.join(symbols, "repo_id").where("name ILIKE concat('%', wanted, '%')")
+    asked = requests.withColumn("pattern", F.concat(F.lit("%"), "wanted", F.lit("%")))
+    found = substring.like_pairs(asked, symbols, "repo_id", text="name", fold=True)
+    hit = asked.join(found.hint("merge"), ["repo_id", "pattern"]).drop("pattern").join(symbols.hint("merge"), ["repo_id", "name"])
     order = Window.partitionBy("request_id").orderBy("kind", "name", "path", "start_line")
     return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

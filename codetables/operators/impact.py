@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetables.functions import paths
+from codetables.operators import substring
 
 #: LIKE patterns of related tests, from a path's directory and stem.
 TEST_PATTERNS = ("{dir}/test_%", "{dir}/%_test", "tests/{dir}/%", "%{stem}%test%")
@@ -34,8 +35,7 @@ def importers(changed: DataFrame, edges: DataFrame) -> DataFrame:
 def related_tests(relevant: DataFrame, files: DataFrame, patterns: tuple[str, ...] = TEST_PATTERNS) -> DataFrame:
     """change_id, path of files that a pattern of a relevant path names, within the repository.
 
-    relevant: change_id, repo_id, path.  Patterns that begin with a wildcard can't use an index: the join is
-    bounded by the repository, and by the files that hold what every pattern asks for.
+    relevant: change_id, repo_id, path.  Patterns meet paths through the trigrams that both hold.
     """
     where, stem = paths.directory(F.col("path")), paths.stem(F.col("path"))
     made = F.array(*(F.regexp_replace(F.regexp_replace(F.lit(p), F.lit(r"\{dir\}"), F.regexp_replace(where, r"([\\$])", r"\\$1")), F.lit(r"\{stem\}"), F.regexp_replace(stem, r"([\\$])", r"\\$1")) for p in patterns))
@@ -43,8 +43,8 @@ def related_tests(relevant: DataFrame, files: DataFrame, patterns: tuple[str, ..
     named = files.select("repo_id", "path")
     if all("test" in p for p in patterns):
         named = named.where(F.col("path").contains("test"))
-    found = asked.hint("merge").join(named, "repo_id").where(F.expr("path LIKE pattern"))
-    return found.select("change_id", "path").distinct()
+    found = substring.like_pairs(asked, named, "repo_id")
+    return asked.join(found.hint("merge"), ["repo_id", "pattern"]).select("change_id", "path").distinct()
 
 
 def report(changes: DataFrame, files: DataFrame, symbols: DataFrame, affected: DataFrame, tests: DataFrame) -> DataFrame:
