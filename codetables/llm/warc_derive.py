@@ -27,15 +27,17 @@ from codetables.llm.common import batches_of, parallelism, shared_folder, writte
 
 VERSION = b"WARC/1.1"
 #: Elements whose content isn't text, and those that begin a new line.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
+HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "head"))
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "th", "thead", "tr", "ul")
 
 #: Elements whose content is no markup until their own end tag; of the last two it is text.
-RAW = ("script", "style", "noscript", "title", "textarea")
+RAW = frozenset(("script", "style", "noscript", "title", "textarea"))
 #: Elements that a head can hold: any other begins the body, as text does, where </head> is left out.
-IN_HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template")
+IN_HEAD = frozenset(("html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"))
 
-_MARK = re.compile(r"<(?:!--|[!?]|(/?[a-zA-Z][^\s/>]{0,63}))")
+_BREAKS = frozenset(x + name for name in BLOCKS for x in ("", "/"))
+#: A tag without < or > inside (read at once, up to the next < at most), or the beginning of another mark.
+_MARK = re.compile(r"<(?:(/?[a-zA-Z][^\s/><\"']{0,63})(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+(>)|!--|[!?]|(/?[a-zA-Z][^\s/>]{0,63}))")
 _STOP = re.compile(r"[>\"']")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _IN_SCRIPT = re.compile(r"<!--|-->|<script(?=[\s/>])|</script(?=[\s/>])[^>]*>?", re.I)
@@ -134,18 +136,23 @@ class _Page:
         self.open_ended.update(seen)
         return -1
 
-    def marks(self, at: int) -> Iterator[tuple[int, int, str]]:
-        """(begin, end, lower-case name or '') of comments, declarations and tags; a place to go on from may be sent."""
+    def mark(self, at: int) -> tuple[int, int, str] | None:
+        """(begin, end, lower-case name or '') of the next comment, declaration or tag at or after ``at``."""
         while m := _MARK.search(self.page, at):
-            begin, name = m.start(), (m[1] or "").lower()
+            if m[2]:
+                return m.start(), m.end(), m[1].lower()
+            begin, name = m.start(), (m[3] or "").lower()
             if name:
                 end = self.tag_end(m.end())
-            elif m[0] == "<!--":
+            elif self.page.startswith("<!--", begin):
                 end = self.find("-->", m.end())
                 end = end + 3 if end >= 0 else len(self.page)
             else:
                 end = self.find(">", m.end()) + 1 or -1
-            at = begin + 1 if end < 0 else (yield begin, end, name) or end
+            if end >= 0:
+                return begin, end, name
+            at = begin + 1
+        return None
 
     def raw_end(self, name: str, at: int) -> tuple[int, int] | None:
         if name == "script":
@@ -198,10 +205,9 @@ def plain_text(page: str) -> str:
     """Text of a page: hidden elements dropped, a line per block element, references resolved, spaces joined."""
     out, at, head, hidden, depth = [], 0, False, None, 0
     p = _Page(page)
-    marks, jump = p.marks(0), None
-    while (mark := next(marks, None) if jump is None else _sent(marks, jump)) is not None:
+    while mark := p.mark(at):
         begin, end, name = mark
-        text, at, jump = page[at:begin], end, None
+        text, at = page[at:begin], end
         if head and (hidden in (None, "noscript") and name == "body" or name == "/head"):
             head, hidden = False, None
         elif head and hidden is None and (text.strip(" \t\n\f\r") or name in ("/body", "/html", "/br") or name[:1] not in ("", "/") and name not in IN_HEAD):
@@ -215,7 +221,6 @@ def plain_text(page: str) -> str:
             stop = p.raw_end(name, at)
             if stop or name in ("script", "style"):
                 begin, (stop, at) = at, stop or (len(page), len(page))
-                jump = at
                 if shown and name not in HIDDEN:
                     out.append(page[begin:stop])
             elif name == "noscript":
@@ -230,19 +235,12 @@ def plain_text(page: str) -> str:
             head = True
         elif name in HIDDEN and opens:
             hidden, depth = name, 1
-        elif shown and name.lstrip("/") in BLOCKS:
+        elif shown and name in _BREAKS:
             out.append("\n")
     if hidden is None and (not head or page[at:].strip(" \t\n\f\r")):
         out.append(page[at:])
-    lines = (_SPACE.sub(" ", x).strip() for x in html.unescape("".join(out)).split("\n"))
-    return "\n".join(x for x in lines if x)
-
-
-def _sent(marks: Iterator, at: int):
-    try:
-        return marks.send(at)
-    except StopIteration:
-        return None
+    lines = _SPACE.sub(" ", html.unescape("".join(out))).split("\n")
+    return "\n".join(y for x in lines if (y := x.strip()))
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
