@@ -45,6 +45,22 @@ def knn_same_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+_SCOPE = """owned AS (SELECT u AS user_id, r AS repo_id FROM range(4) t(u), range(11) s(r) WHERE (u + r) % 3 > 0 OR r = 5), asked AS (SELECT u AS user_id, r AS repo_id FROM range(4) t(u), range(11) s(r) WHERE u IN (1, 2) AND r % 4 = u),
+scope AS (SELECT user_id, repo_id FROM owned WHERE (user_id, repo_id) IN (SELECT user_id, repo_id FROM asked) OR user_id NOT IN (SELECT user_id FROM asked))"""
+
+
+@register(f"""WITH {_NEAR}, {_SCOPE}, r AS (SELECT query_id, chunk_id, distance, {_TOP} AS rank FROM pairs JOIN scope ON user_id = query_id // 100 % 5 AND repo_id = chunk_id % 11)
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 7""")
+def search_within_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest chunks in the repositories that each query's user may search; one of five users owns none, two ask for some."""
+    pairs = spark.range(4).select(F.col("id").alias("user_id")).crossJoin(spark.range(11).select(F.col("id").alias("repo_id")))  # 44 rows
+    owned = pairs.where("(user_id + repo_id) % 3 > 0 OR repo_id = 5")
+    asked = pairs.where("user_id IN (1, 2) AND repo_id % 4 = user_id")
+    queries = a.asked(spark, sf_dir).withColumn("user_id", F.floor(F.col("query_id") / 100) % 5)
+    hits = retrieval.search_in_scope(queries, a.chunks(spark, sf_dir).withColumn("repo_id", F.col("chunk_id") % 11), asked, owned, 7)
+    return hits.select("query_id", "chunk_id", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = a.chunks(spark, sf_dir)
     hits = retrieval.knn_join(a.asked(spark, sf_dir), c, 10, exclude_self=True).join(c.select("chunk_id", F.col("language").cast("string").alias("path")), "chunk_id")
