@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,6 @@ from codetables.functions import text as tx
 #: Spans of more lines than MAX_LINES are cut to windows of WINDOW lines, STRIDE apart; chunks kept per file.
 MAX_LINES, WINDOW, STRIDE = 120, 100, 80
 _FILE = ["repo_id", "path"]
-_SPAN = "array<struct<start_line:int,end_line:int>>"
 
 
 def lines_table(files: DataFrame, text_col: str = "content") -> DataFrame:
@@ -28,7 +30,7 @@ def top_level(symbols: DataFrame, keys: list[str] | None = None) -> DataFrame:
     spans = symbols.select(*keys, "start_line", "end_line").distinct()
     before = Window.partitionBy(*keys).orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
     outer = spans.withColumn("reach", F.max("end_line").over(before)).where("reach IS NULL OR reach < end_line").drop("reach")
-    return symbols.dropDuplicates([*keys, "kind", "name", "start_line", "end_line"]).join(outer, [*keys, "start_line", "end_line"], "left_semi")
+    return symbols.dropDuplicates([*keys, "kind", "name", "start_line", "end_line"]).join(outer.hint("merge"), [*keys, "start_line", "end_line"], "left_semi")
 
 
 def windows(start: Column, end: Column) -> Column:
@@ -69,21 +71,32 @@ def paragraph_blocks(lines: DataFrame) -> DataFrame:
 def packed(blocks: DataFrame, most: int = MAX_LINES) -> DataFrame:
     """Neighbouring blocks of a file joined as long as the span from first to last stays within ``most`` lines.
 
-    A fold over one file's blocks, whose number its lines bound.
+    A fold over the blocks as they stream by in the order of files and lines; it carries one span, so a file may have any number of blocks.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))))
+    rows = blocks.select(*(F.col(c).cast("string").alias(c) for c in _FILE), *(F.col(c).cast("int").alias(c) for c in ("start_line", "end_line")))
+    ordered = rows.repartition(*_FILE).sortWithinPartitions(*_FILE, "start_line", "end_line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        for batch in batches:
+            out = []
+            for repo, path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now and now[0] == repo and now[1] == path and end - now[2] + 1 <= most:
+                    now = (repo, path, now[2], end)
+                else:
+                    if now:
+                        out.append(now)
+                    now = (repo, path, start, end)
+            yield _spans(out)
+        if now:
+            yield _spans([now])
 
-    def add(spans: Column, block: Column) -> Column:
-        last = F.element_at(spans, -1)
-        joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["start_line"].alias("start_line"), block["end_line"].alias("end_line"))))
-        fits = (F.size(spans) > 0) & (block["end_line"] - F.try_element_at(spans, F.lit(-1))["start_line"] + 1 <= most)
-        return F.when(fits, joined).otherwise(F.concat(spans, F.array(block)))
+    return ordered.mapInArrow(run, "repo_id string, path string, start_line int, end_line int")
 
-    def safe_add(spans: Column, block: Column) -> Column:
-        return F.when(F.size(spans) == 0, F.array(block)).otherwise(add(spans, block))
 
-    spans = F.aggregate("blocks", F.array().cast(_SPAN), safe_add)
-    return blocks.groupBy(*_FILE).agg(ordered.alias("blocks")).select(*_FILE, F.inline(spans))
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*_FILE, "start_line", "end_line"])
 
 
 def cut_content(spans: DataFrame, files: DataFrame, text_col: str = "content") -> DataFrame:
@@ -92,7 +105,7 @@ def cut_content(spans: DataFrame, files: DataFrame, text_col: str = "content") -
     start_line and end_line stay exact: content is those lines of the file, joined by line feeds.
     """
     all_lines = files.select(*_FILE, tx.lines(F.col(text_col)).alias("all_lines"))
-    s = spans.join(all_lines, _FILE).where(F.size("all_lines") > 0)
+    s = spans.join(all_lines.hint("merge"), _FILE).where(F.size("all_lines") > 0)
     lo, hi = F.greatest(F.col("start_line"), F.lit(1)), F.least(F.col("end_line"), F.size("all_lines"))
     s = s.withColumns({"start_line": lo.cast("int"), "end_line": hi.cast("int")}).where("start_line <= end_line")
     s = s.withColumn("part", F.slice("all_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)).drop("all_lines")
@@ -118,14 +131,14 @@ def chunk_files(files: DataFrame, symbols: DataFrame, per_file: int | None = Non
     """
     lines = lines_table(files)
     named = cut_content(_cut(top_level(symbols)), files).select(*_FILE, "kind", "name", "start_line", "end_line", "content")
-    bare = files.join(named.select(*_FILE).distinct(), _FILE, "left_anti")
+    bare = files.join(named.select(*_FILE).distinct().hint("merge"), _FILE, "left_anti")
     none = [F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name")]
-    sections = heading_sections(lines.join(bare.where("language = 'Markdown'").select(*_FILE), _FILE, "left_semi"), include_preamble)
-    plain = bare.select(*_FILE).join(sections.select(*_FILE).distinct(), _FILE, "left_anti")
-    blocks = packed(paragraph_blocks(lines.join(plain, _FILE, "left_semi")))
+    sections = heading_sections(lines_table(files.where("language = 'Markdown'")).join(bare.select(*_FILE).hint("merge"), _FILE, "left_semi"), include_preamble)
+    plain = bare.select(*_FILE).join(sections.select(*_FILE).distinct().hint("merge"), _FILE, "left_anti")
+    blocks = packed(paragraph_blocks(lines.join(plain.hint("merge"), _FILE, "left_semi")))
     free = cut_content(_cut(sections.unionByName(blocks).select("*", *none)), files).select(*_FILE, "kind", "name", "start_line", "end_line", "content")
     order = Window.partitionBy(*_FILE).orderBy("start_line", "end_line", "kind", "name")
     found = named.unionByName(free).withColumn("truncated", F.lit(False))
     if per_file is not None:
         found = found.withColumn("n", F.row_number().over(order)).withColumn("truncated", F.max("n").over(Window.partitionBy(*_FILE)) > per_file).where(F.col("n") <= per_file).drop("n")
-    return found.join(files.select(*_FILE, "language"), _FILE)
+    return found.join(files.select(*_FILE, "language").hint("merge"), _FILE)

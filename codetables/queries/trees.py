@@ -217,3 +217,23 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("CASE doc_id % 4 WHEN 0 THEN 'class A {{\n  void f() {{\n  // }}\n}}\n' WHEN 1 THEN 'class A {{\n  void f() {{\n  }}\n)\n}}\n' WHEN 2 THEN 'class A {{\n}}\n/* }}\n' ELSE 'class A {{ char c = \"{{\"; }}\n' END".replace("{{", "{").replace("}}", "}").replace("\n", "\\n"))
     f = a.files(spark, sf_dir).select("repo_id", F.concat(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit(".java")).alias("path"), body.alias("content"))
     return structure.parse_errors(structure.statements(f))
+
+
+@register(f"""WITH {a.FILES}, {a.LINES}, r AS (SELECT *, line_no - row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS run FROM lines WHERE regexp_matches(line, '\\S')),
+b AS (SELECT repo_id, path, min(line_no) AS s, max(line_no) AS e FROM r GROUP BY repo_id, path, run),
+l AS (SELECT repo_id, path, list([{{'s': s, 'e': e}}] ORDER BY s) AS blocks FROM b GROUP BY repo_id, path),
+p AS (SELECT repo_id, path, unnest(list_reduce(blocks, lambda acc, x: CASE WHEN x[1].e - acc[-1].s + 1 <= 6 THEN acc[:-2] || [{{'s': acc[-1].s, 'e': x[1].e}}] ELSE acc || x END)) AS span FROM l)
+SELECT repo_id, path, CAST(span.s AS INTEGER) AS start_line, CAST(span.e AS INTEGER) AS end_line FROM p""")
+def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents packed to spans of at most six lines."""
+    return chunks.packed(chunks.paragraph_blocks(a.lines(spark, sf_dir)), 6)
+
+
+@register(f"""WITH {a.FILES}, {a.LINES}, b AS (SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path, (line_no - 1) * 10 AS o, line_no, line FROM lines)
+SELECT repo_id, path, 'class' AS kind, 'K_' || line_no AS name, CAST(o + 1 AS INTEGER) AS start_line, CAST(o + 9 AS INTEGER) AS end_line, 9 AS n_lines FROM b""")
+def symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of sources with symbols: their top-level classes, methods inside them not again."""
+    f = trees.source_files(_nested(spark, sf_dir).withColumn("path", F.regexp_replace("path", "node_modules", "modules")))
+    found = chunks.chunk_files(f, structure.symbols(f).select("repo_id", "path", "kind", "name", "start_line", "end_line"))
+    n = F.size(F.split("content", "\n"))
+    return found.select("repo_id", F.regexp_replace("path", "/modules/", "/node_modules/").alias("path"), "kind", "name", "start_line", "end_line", n.alias("n_lines"))
