@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the hunk header of the unified diff format.
 _HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 _KEY = ["change_id", "path"]
 #: A pull request's file list as JSON.
@@ -44,6 +45,16 @@ def numbered(hunks: DataFrame) -> DataFrame:
     return real.withColumn("new_line", (F.col("new_start") + F.coalesce(F.sum(kept).over(order), F.lit(0))).cast("int"))
 
 
+def ranges_per_file(files: DataFrame) -> DataFrame:
+    """change_id, path, ranges: the changed ranges of all hunks of a file in order, not merged over hunks.
+
+    files: change_id, path, patch and ``pos``, the place in the change's list: a path that is listed again counts with its last entry alone.
+    """
+    last = files.groupBy(*_KEY).agg(F.max_by("patch", "pos").alias("patch"))
+    spans = changed_ranges(last).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("hunk", "start_line", "end_line"))).alias("spans"))
+    return spans.select(*_KEY, F.transform("spans", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"))).alias("ranges"))
+
+
 def changed_ranges(files: DataFrame) -> DataFrame:
     """change_id, path, hunk, start_line, end_line: runs of added lines; a hunk that only deletes has none."""
     added = numbered(hunk_lines(patch_lines(files))).where(F.col("line").startswith("+"))

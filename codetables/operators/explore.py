@@ -116,6 +116,17 @@ def upsert_missing(target: DataFrame, incoming: DataFrame, key: str) -> DataFram
     return target.unionByName(new)
 
 
+def append_rows(dimension: DataFrame, incoming: DataFrame, key: list[str], created: str = "created_at") -> DataFrame:
+    """dimension and the incoming rows of new keys, each key once (its smallest row), with the time they came; a null key is one like others.
+
+    incoming has the dimension's columns but ``created``.
+    """
+    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key]
+    new = incoming.alias("i").join(dimension.select(*key).distinct().hint("merge").alias("d"), same, "left_anti")
+    once = new.groupBy(*key).agg(F.min(F.struct(*incoming.columns)).alias("r")).select("r.*")
+    return dimension.unionByName(once.withColumn(created, F.current_timestamp()))
+
+
 def patch_non_null(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """base with the patch's values where these aren't null."""
     columns = [c for c in patch.columns if c != key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetables.functions import text as tx
+
 
 def in_repositories(df: DataFrame, repo_id: str | None = None, repo_ids: list[str] | None = None) -> DataFrame:
     """One repository, or several; the single one wins when both are given.  The partition column prunes files."""
@@ -26,6 +28,16 @@ def below_prefix(df: DataFrame, prefix: str | None) -> DataFrame:
     return df if prefix is None else df.where(F.col("path").like(prefix + "%"))
 
 
+#: The form of an id.
+UUID = r"^[0-9a-fA-F]{8}-?(?:[0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
+
+
+def requested_ids(requests: DataFrame, raw: str = "repo_ids", form: str = UUID) -> tuple[DataFrame, DataFrame]:
+    """(request_id, repo_id of the ids that requests list; request_id, rejected: what isn't an id).  Blank parts are dropped, repeated ones kept once."""
+    parts = requests.select("request_id", F.explode(tx.id_list(F.col(raw))).alias("repo_id")).distinct()
+    return parts.where(F.col("repo_id").rlike(form)), parts.where(~F.col("repo_id").rlike(form)).withColumnRenamed("repo_id", "rejected")
+
+
 def of_kind(symbols: DataFrame, kind: str | None) -> DataFrame:
     return symbols if kind is None else symbols.where(F.col("kind") == kind)
 

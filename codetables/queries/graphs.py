@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetables.operators import diffs, explore, impact, scope
+from codetables.operators import diffs, explore, impact, retrieval, scope
 from codetables.plans import changes
 from codetables.queries import adapters as a
 from codetables.streaming import live
@@ -177,3 +177,37 @@ def import_edges_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = f.select("repo_id", F.col("path").alias("target_path"), ((F.col("doc_id") + 1) % 97).alias("k"))
     edges = f.select("repo_id", F.col("path").alias("source_path"), (F.col("doc_id") % 97).alias("k"), F.when(F.expr("doc_id % 2 = 0"), "import").otherwise("belongs_to").alias("edge_type"), F.when(F.expr("doc_id % 3 = 0"), "file").otherwise("symbol").alias("source_kind")).join(g, ["repo_id", "k"])
     return scope.edges_of(edges, "import", "file").groupBy("repo_id", "target_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("WITH n AS (SELECT user_id AS query_id, count(*) AS hits FROM events GROUP BY 1) SELECT query_id, hits, round(hits / (SELECT sum(hits) FROM n), 9) AS share FROM n")
+def hits_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.hits_per_query(a.table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id")))
+    return hits.select("query_id", "hits", F.round("share", 9).alias("share"))
+
+
+@register("""WITH known AS (SELECT c_custkey AS project_id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0)
+SELECT * FROM known UNION ALL SELECT o_custkey, min(o_orderpriority) FROM orders WHERE o_custkey NOT IN (SELECT project_id FROM known) GROUP BY 1""")
+def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows of a dimension, each key once; what is there stays."""
+    known = a.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
+    out = explore.append_rows(known, a.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("name")), ["project_id"])
+    return out.where("created_at IS NOT NULL").select("project_id", "name")
+
+
+@register(f"WITH {a.FILES}, {a.LINES}, {a.RANGES} SELECT change_id, path, string_agg(start_line || '-' || end_line, ',' ORDER BY hunk, start_line) AS ranges FROM ranges GROUP BY change_id, path")
+def file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed ranges per file; every file is listed before with another patch, which doesn't count."""
+    p = a.patches(spark, sf_dir)
+    before = p.withColumns({"patch": F.lit("@@ -1 +1 @@\n+other"), "pos": F.lit(0)})
+    found = diffs.ranges_per_file(p.withColumn("pos", F.lit(1)).unionByName(before))
+    return found.select("change_id", "path", F.array_join(F.transform("ranges", lambda r: F.concat(r["start_line"].cast("string"), F.lit("-"), r["end_line"].cast("string"))), ",").alias("ranges"))
+
+
+@register("""WITH n AS (SELECT DISTINCT o_orderkey AS request_id, trim(unnest(string_split(md5(o_orderkey::VARCHAR) || ', ,' || o_orderpriority || ',' || md5(o_custkey::VARCHAR), ','))) AS id FROM orders)
+SELECT request_id, id, regexp_full_match(id, '[0-9a-f]{32}') AS valid FROM n WHERE id <> ''""")
+def requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that requests list, and what they list that is none."""
+    md5 = lambda c: F.md5(F.col(c).cast("string"))
+    asked = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(md5("o_orderkey"), F.lit(", ,"), F.col("o_orderpriority"), F.lit(","), md5("o_custkey")).alias("repo_ids"))
+    valid, rejected = scope.requested_ids(asked)
+    return valid.select("request_id", F.col("repo_id").alias("id"), F.lit(True).alias("valid")).unionByName(rejected.select("request_id", F.col("rejected").alias("id"), F.lit(False).alias("valid")))

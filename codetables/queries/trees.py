@@ -219,14 +219,15 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.parse_errors(structure.statements(f))
 
 
-@register(f"""WITH {a.FILES}, {a.LINES}, r AS (SELECT *, line_no - row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS run FROM lines WHERE regexp_matches(line, '\\S')),
+@register(f"""WITH {a.FILES}, {a.LINES}, r AS (SELECT *, line_no - row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) AS run FROM lines WHERE regexp_matches(line, '\\S') AND line_no % 3 <> 0),
 b AS (SELECT repo_id, path, min(line_no) AS s, max(line_no) AS e FROM r GROUP BY repo_id, path, run),
 l AS (SELECT repo_id, path, list([{{'s': s, 'e': e}}] ORDER BY s) AS blocks FROM b GROUP BY repo_id, path),
 p AS (SELECT repo_id, path, unnest(list_reduce(blocks, lambda acc, x: CASE WHEN x[1].e - acc[-1].s + 1 <= 6 THEN acc[:-2] || [{{'s': acc[-1].s, 'e': x[1].e}}] ELSE acc || x END)) AS span FROM l)
 SELECT repo_id, path, CAST(span.s AS INTEGER) AS start_line, CAST(span.e AS INTEGER) AS end_line FROM p""")
 def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of all documents packed to spans of at most six lines."""
-    return chunks.packed(chunks.paragraph_blocks(a.lines(spark, sf_dir)), 6)
+    """Paragraphs of all documents, every third line taken as blank, packed to spans of at most six lines."""
+    rows = a.lines(spark, sf_dir).withColumn("line", F.when(F.expr("line_no % 3 = 0"), "").otherwise(F.col("line")))
+    return chunks.packed(chunks.paragraph_blocks(rows), 6)
 
 
 @register(f"""WITH {a.FILES}, {a.LINES}, b AS (SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path, (line_no - 1) * 10 AS o, line_no, line FROM lines)
