@@ -83,21 +83,27 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _packed(part: np.ndarray, node: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(part, bytes) per part: the nodes in order, how many entries each has, and the columns of the entries."""
+    """(part, bytes) per part: the nodes in order, in one byte how many entries each has (a node with more than 255 comes again), and the columns of the entries."""
+    if not len(part):
+        return
     order = np.lexsort((node, part))
     part, node, columns = part[order], node[order], [c[order] for c in columns]
+    new = np.append(True, (part[1:] != part[:-1]) | (node[1:] != node[:-1]))
+    begin = np.flatnonzero(new)
+    place = np.arange(len(part)) - np.repeat(begin, np.diff(begin, append=len(part)))
+    new |= place % 255 == 0
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
     for b, e in zip(cuts, cuts[1:], strict=False):
-        first = np.flatnonzero(np.append(True, node[b + 1 : e] != node[b : e - 1]))
-        times = np.diff(np.append(first, e - b)).astype("<u4")
+        first = np.flatnonzero(new[b:e])
+        times = np.diff(np.append(first, e - b)).astype(np.uint8)
         yield int(part[b]), b"".join((np.array([len(first)], "<u4").tobytes(), node[b:e][first].astype("<i8").tobytes(), times.tobytes(), *(c[b:e].tobytes() for c in columns)))
 
 
 def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     """The nodes of the entries and their columns."""
     (n,) = np.frombuffer(data, "<u4", 1)
-    times = np.frombuffer(data, "<u4", n, 4 + 8 * n)
-    out, at, total = [np.repeat(np.frombuffer(data, "<i8", n, 4), times)], 4 + 12 * n, int(times.sum())
+    times = np.frombuffer(data, np.uint8, n, 4 + 8 * n)
+    out, at, total = [np.repeat(np.frombuffer(data, "<i8", n, 4), times)], 4 + 9 * n, int(times.sum())
     for kind in kinds:
         out.append(np.frombuffer(data, kind, total, at))
         at += total * np.dtype(kind).itemsize
