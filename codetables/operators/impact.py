@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetables.functions import paths
-from codetables.operators import substring
+from codetables.operators import intervals, substring
 
 #: LIKE patterns of related tests, from a path's directory and stem.
 TEST_PATTERNS = ("{dir}/test_%", "{dir}/%_test", "tests/{dir}/%", "%{stem}%test%")
@@ -15,10 +15,10 @@ TEST_PATTERNS = ("{dir}/test_%", "{dir}/%_test", "tests/{dir}/%", "%{stem}%test%
 def changed_symbols(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     """change_id, path, kind, name, start_line, end_line, changed_lines: symbols whose span meets a changed range.
 
-    An equi-join on the file with the overlap as its condition, so no Cartesian product.
+    The overlaps are found by bins of lines, so a file of many spans and many ranges is no product of the two.
     """
     r = ranges.select("change_id", "path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    hit = r.hint("merge").join(symbols, "path").where("start_line <= hi AND end_line >= lo")
+    hit = intervals.overlapping(r, symbols.select("path", "kind", "name", "start_line", "end_line"), ["path"])
     lines = F.sequence(F.greatest("lo", "start_line"), F.least("hi", "end_line"))
     return hit.groupBy("change_id", "path", "kind", "name", "start_line", "end_line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias("changed_lines"))
 
