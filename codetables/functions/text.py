@@ -25,7 +25,7 @@ def decoded(content: Column) -> Column:
 def clip(text: Column, n: int) -> Column:
     """At most n characters, and how many more there were."""
     text = F.coalesce(text, F.lit(""))
-    more = F.concat(F.substring(text, 1, n), F.lit("\n... ["), (F.length(text) - n).cast("string"), F.lit(" more characters]"))
+    more = F.concat(F.substring(text, 1, n), F.lit("\n["), (F.length(text) - n).cast("string"), F.lit(" characters left out]"))
     return F.when(F.length(text) <= n, text).otherwise(more)
 
 

@@ -30,13 +30,26 @@ def evidence_pack(queries: DataFrame, hits: DataFrame, each: int = 1500) -> Data
     label = tx.citation(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("kind"), F.col("name"))
     blocks = hits.select("query_id", F.struct("rank", F.concat(label, F.lit("\n"), tx.clip(F.col("content"), each)).alias("block")).alias("b"))
     joined = blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n\n---\n\n").alias("evidence"))
-    return queries.join(joined, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("No matching code found.")))
+    return queries.join(joined, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("Nothing in the index matches.")))
+
+
+def uncovered(chunks: DataFrame) -> DataFrame:
+    """repo_id, path, start_line, content of chunks without the lines that an earlier chunk of the file holds; what is left of none goes.
+
+    Earlier is what begins before, of equal beginnings the longer; one sweep over the chunks of a file in that order.
+    """
+    lines = F.split("content", "\n")
+    rows = chunks.select("repo_id", "path", F.col("start_line").cast("int").alias("start_line"), lines.alias("lines")).withColumn("end_line", F.col("start_line") + F.size("lines") - 1)
+    before = Window.partitionBy("repo_id", "path").orderBy("start_line", F.desc("end_line"), "lines").rowsBetween(Window.unboundedPreceding, -1)
+    drop = F.greatest(F.coalesce(F.max("end_line").over(before) - F.col("start_line") + 1, F.lit(0)), F.lit(0))
+    left = rows.withColumn("drop", drop).where(F.col("drop") < F.size("lines"))
+    return left.select("repo_id", "path", (F.col("start_line") + F.col("drop")).alias("start_line"), F.array_join(F.slice("lines", F.col("drop") + 1, F.size("lines")), "\n").alias("content"))
 
 
 def file_text(chunks: DataFrame) -> DataFrame:
-    """repo_id, path, content from chunks in line order."""
+    """repo_id, path, content from chunks in line order; lines that several chunks hold come once."""
     ordered = F.array_sort(F.collect_list(F.struct("start_line", "content")))
-    return chunks.groupBy("repo_id", "path").agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n").alias("content"))
+    return uncovered(chunks).groupBy("repo_id", "path").agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n").alias("content"))
 
 
 def file_cards(requests: DataFrame, files: DataFrame, n: int = 6000) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from codetables.functions import paths
 from codetables.functions import text as tx
-from codetables.operators import assembly, explore, observe, resolve, scope, structure
+from codetables.operators import assembly, chunks, explore, observe, resolve, scope, structure
 from codetables.plans import reindex
 from codetables.queries import adapters as a
 from codetables.queries.graphs import _spans
-from codetables.queries.trees import _COUNT, _PARTS
+from codetables.queries.trees import _COUNT, _PARTS, _nested
 from codetables.sources import tree as trees
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -42,7 +42,7 @@ def dependency_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {a.FILES}, r AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN path || 'x' ELSE path END AS wanted FROM files)
 SELECT doc_id AS request_id, CASE WHEN doc_id % 3 = 0 OR content IS NULL OR path IS NULL OR repo_id IS NULL THEN 'No file ' || coalesce(wanted, '')
-ELSE '# ' || path || chr(10) || CASE WHEN length(content) <= 600 THEN content ELSE substr(content, 1, 600) || chr(10) || '... [' || (length(content) - 600) || ' more characters]' END END AS card FROM r""")
+ELSE '# ' || path || chr(10) || CASE WHEN length(content) <= 600 THEN content ELSE substr(content, 1, 600) || chr(10) || '[' || (length(content) - 600) || ' characters left out]' END END AS card FROM r""")
 def file_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card per requested file; a third of the requests name files that don't exist."""
     f = a.files(spark, sf_dir)
@@ -99,6 +99,30 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.file_text(a.lines(spark, sf_dir).select("repo_id", "path", F.col("line_no").alias("start_line"), F.col("line").alias("content")))
 
 
+@register(f"WITH {a.FILES}, {a.LINES} SELECT repo_id, path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM lines GROUP BY repo_id, path")
+def overlapping_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts put together again from chunks of five lines, three lines apart, and one of all but the last line."""
+    f = a.files(spark, sf_dir).select("repo_id", "path", tx.lines(F.col("content")).alias("lines")).where(F.size("lines") > 0)
+    windows = f.select("repo_id", "path", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"), F.lit(3))).alias("start_line")).withColumn("content", F.array_join(F.slice("lines", F.col("start_line"), F.lit(5)), "\n"))
+    most = f.where(F.size("lines") > 1).select("repo_id", "path", F.lit(1).alias("start_line"), F.array_join(F.slice("lines", F.lit(1), F.size("lines") - 1), "\n").alias("content"))
+    return assembly.file_text(windows.select(*most.columns).unionByName(most))
+
+
+@register(f"""WITH {a.FILES}, {a.LINES}, b AS (SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') || '.py' AS path, line_no, (line_no - 1) * 10 AS o FROM lines WHERE doc_id % 2 = 0 AND line_no < 10)
+SELECT repo_id || ' ' || line_no AS request_id, string_agg('class K_' || line_no || ' — ' || path || ':' || (o + 1) || '-' || (o + 9) || chr(10) || 'class K_' || line_no || ':' || chr(10) || '   ', chr(10) || chr(10) ORDER BY path) AS card
+FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, line_no ORDER BY path) AS n FROM b) WHERE n <= 5 GROUP BY 1""")
+def symbol_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the classes that bear a name in each repository, five at most; of a class's text the first 14 characters."""
+    f = trees.source_files(_nested(spark, sf_dir).withColumn("path", F.regexp_replace("path", "node_modules", "modules"))).where("path LIKE '%.py'")
+    symbols = structure.symbols(f).where("kind = 'class' AND length(name) = 3")
+    pieces = chunks.chunk_files(f, symbols.select("repo_id", "path", "kind", "name", "start_line", "end_line"))
+    asked = f.select("repo_id").distinct().select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: k.cast("string"))).alias("k"))
+    asked = asked.select(F.concat("repo_id", F.lit(" "), "k").alias("request_id"), "repo_id", F.concat(F.lit("K_"), "k").alias("wanted"))
+    found = explore.symbol_lookup(asked, symbols).withColumn("path", F.regexp_replace("path", "/modules/", "/node_modules/"))
+    bodies = pieces.select("repo_id", F.regexp_replace("path", "/modules/", "/node_modules/").alias("path"), "name", "start_line", F.substring("content", 1, 14).alias("content"))
+    return assembly.symbol_cards(found, bodies, 100)
+
+
 @register(f"WITH {a.PROJECT} SELECT repo_id, path, module, is_relative, resolved_path FROM resolved")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative, rooted and foreign imports of modules made of the documents' ids, behind a docstring that holds one too."""

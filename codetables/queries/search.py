@@ -121,7 +121,7 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH h AS (SELECT conv_id, turn, 'c' || conv_id || ':' || (CAST(turn AS INTEGER) + 1) || '-' || (CAST(turn AS INTEGER) + 1) || ' [turn ' || role || ']' || chr(10)
-  || CASE WHEN length(coalesce(text, '')) <= 200 THEN coalesce(text, '') ELSE substr(text, 1, 200) || chr(10) || '... [' || (length(text) - 200) || ' more characters]' END AS block FROM conversations)
+  || CASE WHEN length(coalesce(text, '')) <= 200 THEN coalesce(text, '') ELSE substr(text, 1, 200) || chr(10) || '[' || (length(text) - 200) || ' characters left out]' END AS block FROM conversations)
 SELECT conv_id AS query_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, block) AS evidence FROM h GROUP BY conv_id""")
 def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = a.table(spark, sf_dir, "conversations")
@@ -137,7 +137,7 @@ def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", tx.clean_answer(dirty).alias("answer"))
 
 
-@register("""SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') ELSE substr(text, 1, 500) || chr(10) || '... [' || (length(text) - 500) || ' more characters]' END AS clipped,
+@register("""SELECT doc_id, CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') ELSE substr(text, 1, 500) || chr(10) || '[' || (length(text) - 500) || ' characters left out]' END AS clipped,
 regexp_replace(coalesce(text, ''), '(the|la|die)', '<mark>\\1</mark>', 'gi') AS marked FROM documents""")
 def clipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
