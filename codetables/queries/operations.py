@@ -85,6 +85,25 @@ def admission_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.batch(_requests(spark, sf_dir), most=5, window=3600)
 
 
+#: Requests and seconds of two endpoints; the others have two in ten minutes.
+_LIMITS = {"click": (3, 86_400), "view": (5, 259_200)}
+
+
+@register(f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_type AS endpoint, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n,
+    CASE event_type {' '.join(f"WHEN '{k}' THEN {n}" for k, (n, _) in _LIMITS.items())} ELSE 2 END AS most, 1000000::BIGINT * CASE event_type {' '.join(f"WHEN '{k}' THEN {w}" for k, (_, w) in _LIMITS.items())} ELSE 600 END AS w FROM events
+), r AS (
+  SELECT user_id, endpoint, n, event_id, true AS allowed, [t] AS admitted, most FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.endpoint, e.n, e.event_id, len(list_filter(r.admitted, lambda x: x > e.t - e.w)) < e.most,
+    CASE WHEN len(list_filter(r.admitted, lambda x: x > e.t - e.w)) < e.most THEN list_filter(r.admitted, lambda x: x > e.t - e.w) || [e.t] ELSE list_filter(r.admitted, lambda x: x > e.t - e.w) END, e.most
+  FROM r JOIN e ON e.user_id = r.user_id AND e.endpoint = r.endpoint AND e.n = r.n + 1
+) SELECT user_id, endpoint, event_id AS request_id, allowed, CAST(most - len(admitted) AS INTEGER) AS remaining FROM r""")
+def admission_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission with limits of their own for two endpoints."""
+    return admission.batch(_requests(spark, sf_dir), most=2, window=600, limits=_LIMITS).select("user_id", "endpoint", "request_id", "allowed", "remaining")
+
+
 @register()
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions made on a stream that ends when the table is read."""

@@ -53,7 +53,7 @@ scope AS (SELECT user_id, repo_id FROM owned WHERE (user_id, repo_id) IN (SELECT
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 7""")
 def search_within_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest chunks in the repositories that each query's user may search; one of five users owns none, two ask for some."""
-    pairs = spark.range(4).select(F.col("id").alias("user_id")).crossJoin(spark.range(11).select(F.col("id").alias("repo_id")))  # 44 rows
+    pairs = spark.range(44).select(F.floor(F.col("id") / 11).alias("user_id"), (F.col("id") % 11).alias("repo_id"))
     owned = pairs.where("(user_id + repo_id) % 3 > 0 OR repo_id = 5")
     asked = pairs.where("user_id IN (1, 2) AND repo_id % 4 = user_id")
     queries = a.asked(spark, sf_dir).withColumn("user_id", F.floor(F.col("query_id") / 100) % 5)

@@ -39,9 +39,10 @@ def _micros(ts: pd.Series) -> list[int]:
     return (ts.astype("datetime64[us]").astype("int64")).tolist()
 
 
-def batch(requests: DataFrame, most: int = 10, window: int = 60) -> DataFrame:
+def batch(requests: DataFrame, most: int = 10, window: int = 60, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """requests (user_id, endpoint, ts, request_id) with allowed and remaining, in order of ts and request_id.
 
+    An endpoint that ``limits`` names (LIMITS has the usual ones) has its own number of requests and seconds, others have ``most`` and ``window``.
     Sorted by user, endpoint and time, requests are folded as they stream through a task, which holds one
     batch and the admitted times of the last window, however many requests a user makes.
     """
@@ -58,7 +59,7 @@ def batch(requests: DataFrame, most: int = 10, window: int = 60) -> DataFrame:
                     end += 1
                 if now != key:
                     key, admitted = now, []
-                ok, left = admit(times[begin:end], admitted, most, window)
+                ok, left = admit(times[begin:end], admitted, *(limits or {}).get(now[1], (most, window)))
                 allowed += ok
                 remaining += left
                 begin = end
@@ -68,7 +69,7 @@ def batch(requests: DataFrame, most: int = 10, window: int = 60) -> DataFrame:
     return rows.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "ts", "request_id").mapInArrow(fold, OUT)
 
 
-def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str = "1 minute") -> DataFrame:
+def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str = "1 minute", limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """The same on a stream: the state of a key is the admitted times of its last window, dropped when they expire.
 
     Requests later than ``lateness`` behind the newest are dropped by the watermark.
@@ -81,9 +82,10 @@ def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str
             return
         admitted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        rows["allowed"], rows["remaining"] = admit(_micros(rows["ts"]), admitted, most, window)
+        n, seconds = (limits or {}).get(key[1], (most, window))
+        rows["allowed"], rows["remaining"] = admit(_micros(rows["ts"]), admitted, n, seconds)
         state.update((admitted,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, _micros(rows["ts"])[-1] // 1000 + window * 1000))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, _micros(rows["ts"])[-1] // 1000 + seconds * 1000))
         yield rows[["user_id", "endpoint", "ts", "request_id", "allowed", "remaining"]]
 
     rows = requests.select("user_id", "endpoint", F.col("ts").cast("timestamp").alias("ts"), "request_id").withWatermark("ts", lateness)

@@ -71,6 +71,17 @@ def test_a_repeated_path_keeps_its_last_entry(spark):
 
 
 def test_limits_are_those_of_their_endpoints(spark):
-    assert admission.LIMITS
-    for most, seconds in admission.LIMITS.values():
-        assert most > 0 and seconds > 0
+    """Every usual endpoint, and one without a limit of its own, against a plain fold; the stream decides alike."""
+    rows = [(1, e, 1_700_000_000 + 7 * k, k) for e in [*admission.LIMITS, "other"] for k in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, endpoint string, s long, request_id long").selectExpr("user_id", "endpoint", "timestamp_seconds(s) AS ts", "request_id")
+    expected = set()
+    for e in [*admission.LIMITS, "other"]:
+        most, window = admission.LIMITS.get(e, (3, 30))
+        held: list[int] = []
+        for _, _, t, k in (r for r in rows if r[1] == e):
+            held = [x for x in held if x > t - window]
+            ok = len(held) < most
+            held += [t] if ok else []
+            expected.add((e, k, ok, most - len(held)))
+    got = admission.batch(df, 3, 30, admission.LIMITS).collect()
+    assert {(r.endpoint, r.request_id, r.allowed, r.remaining) for r in got} == expected
