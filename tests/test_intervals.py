@@ -24,3 +24,13 @@ def test_one_file_of_many_spans(spark):
     symbols = spark.range(n).selectExpr("'p' AS path", "'function' AS kind", "concat('f', id) AS name", "CAST(id * 10 AS INT) AS start_line", "CAST(id * 10 + 8 AS INT) AS end_line")
     hit = impact.changed_symbols(ranges, symbols)
     assert hit.selectExpr("count(*)", "sum(size(changed_lines))").first()[:] == (n, 2 * n)
+
+
+def test_lines_are_looked_up_in_bins_that_intervals_fill(spark, monkeypatch):
+    asked, bins = [], intervals.bins_of_line
+    monkeypatch.setattr(intervals, "bins_of_line", lambda line, levels=intervals.LEVELS: asked.append(levels) or bins(line, levels))
+    left = spark.createDataFrame([("p", 10, 12), ("p", 90, 90), ("p", 5, 4)], "path string, lo int, hi int")
+    right = spark.createDataFrame([("p", k * 5 + 1, k * 5 + 15) for k in range(30)], "path string, start_line int, end_line int")
+    got = {(r.lo, r.start_line) for r in intervals.overlapping(left, right, ["path"]).collect()}
+    assert got == {(lo, s) for lo, hi in ((10, 12), (90, 90)) for s in range(1, 150, 5) if s <= hi and s + 14 >= lo}
+    assert max(asked) <= 4  # not 32
