@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codetables.operators import assembly, chunks, diffs, explore, impact, observe, retrieval
 from codetables.plans import index
+from codetables.queries import adapters
 from codetables.sources import records, tables, tree
 from codetables.streaming import admission
 
@@ -139,3 +140,22 @@ def test_records(spark, tmp_path):
 def test_paging(spark):
     df = spark.range(10).select(F.col("id").alias("path"))
     assert [r.path for r in explore.page(df, ["path"], 3, 2).collect()] == [3, 4]
+
+
+def test_importers_by_group_equal_listed_edges(spark):
+    sources = spark.createDataFrame([("r", k % 5, f"s{k}") for k in range(40)], "repo_id string, k int, source_path string")
+    targets = spark.createDataFrame([("r", k % 5, f"t{k}") for k in range(30)], "repo_id string, k int, target_path string")
+    changed = spark.createDataFrame([("c1", "t3"), ("c1", "t8"), ("c1", "t8"), ("c2", "t4"), ("c2", "gone")], "change_id string, path string")
+    listed = impact.importers(changed, sources.join(targets, ["repo_id", "k"]))
+    by_group = impact.importers_by_group(changed, sources, targets)
+    assert sorted(map(tuple, by_group.collect())) == sorted(map(tuple, listed.collect())) and by_group.count() == 16
+
+
+def test_patches_and_ranges_sort_no_texts(spark):
+    line = "x" * 5000
+    files = spark.createDataFrame([("c", "p", "@@ -1,2 +7,3 @@ def f\n" + "\n".join(m + line for m in "+- ++\\+"))], "change_id string, path string, patch string")
+    assert [(r.start_line, r.end_line) for r in diffs.changed_ranges(files).orderBy("start_line").collect()] == [(7, 7), (9, 11)]
+    slim = diffs.changed_ranges(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(line" in slim  # only the mark of a line goes on
+    p = adapters.patches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in p and "Join" not in p

@@ -51,3 +51,10 @@ def test_lookups_equal_brute_force(spark):
         hits = sorted((kind, name, path, line) for q, path, kind, name, line in symbols if q == repo and like(name, f"%{wanted}%", True))
         expected |= {(k, *h, n) for n, h in enumerate(hits[:5], 1)}
     assert {(x.request_id, x.kind, x.name, x.path, x.start_line, x["rank"]) for x in found} == expected
+
+
+def test_long_runs_have_long_grams(spark):
+    texts = spark.createDataFrame([("r", f"a/test_{k}") for k in range(100000, 100200)], "repo_id string, path string")
+    asked = spark.createDataFrame([("r", "%100123%"), ("r", "%_test%0199"), ("r", "%zzz%")], "repo_id string, pattern string")
+    assert "100123" in {r.gram for r in substring.postings(texts, "repo_id", "path").collect()}
+    assert {(r.pattern, r.path) for r in substring.like_pairs(asked, texts, "repo_id").collect()} == {("%100123%", "a/test_100123"), ("%_test%0199", "a/test_100199")}
