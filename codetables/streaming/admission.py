@@ -69,24 +69,45 @@ def batch(requests: DataFrame, most: int = 10, window: int = 60, limits: dict[st
     return rows.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "ts", "request_id").mapInArrow(fold, OUT)
 
 
-def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str = "1 minute", limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """The same on a stream: the state of a key is the admitted times of its last window, dropped when they expire.
+def stream(requests: DataFrame, most: int = 10, window: int = 60, lateness: str = "1 minute", limits: dict[str, tuple[int, int]] | None = None, buckets: int = 1024) -> DataFrame:
+    """The same on a stream: the state holds the admitted times of each key's last window, dropped when they expire.
 
+    Keys are dealt to ``buckets``, each one group of state, so a micro-batch costs by its requests and not by a call per key; more keys need more buckets.
     Requests later than ``lateness`` behind the newest are dropped by the watermark.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    def limit(endpoint: str) -> tuple[int, int]:
+        return (limits or {}).get(endpoint, (most, window))
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        timed_out, mark = state.hasTimedOut, state.getCurrentWatermarkMs()
+        held = {(u, e): list(times) for u, e, times in zip(*state.get, strict=True)} if state.exists else {}
+        if not timed_out:
+            rows = pd.concat(list(frames)).sort_values(["user_id", "endpoint", "ts", "request_id"])
+            users, endpoints = ([None if pd.isna(x) else x for x in rows[c].tolist()] for c in ("user_id", "endpoint"))
+            users, times = [u if u is None else int(u) for u in users], _micros(rows["ts"])
+            allowed, remaining, begin = [], [], 0
+            while begin < len(times):
+                now, end = (users[begin], endpoints[begin]), begin + 1
+                while end < len(times) and (users[end], endpoints[end]) == now:
+                    end += 1
+                ok, left = admit(times[begin:end], held.setdefault(now, []), *limit(now[1]))
+                allowed += ok
+                remaining += left
+                begin = end
+            rows["allowed"], rows["remaining"] = allowed, remaining
+        # what no request at or after the watermark can see any more goes
+        ends = {k: times[-1] // 1000 + limit(k[1])[1] * 1000 + 1 for k, times in held.items() if times}
+        held = {k: held[k] for k, end in ends.items() if end > mark}
+        if held:
+            state.update(([k[0] for k in held], [k[1] for k in held], list(held.values())))
+            state.setTimeoutTimestamp(max(mark + 1, min(ends[k] for k in held)))
+        elif state.exists:
             state.remove()
-            return
-        admitted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        n, seconds = (limits or {}).get(key[1], (most, window))
-        rows["allowed"], rows["remaining"] = admit(_micros(rows["ts"]), admitted, n, seconds)
-        state.update((admitted,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, _micros(rows["ts"])[-1] // 1000 + seconds * 1000))
-        yield rows[["user_id", "endpoint", "ts", "request_id", "allowed", "remaining"]]
+        if not timed_out:
+            yield rows[["user_id", "endpoint", "ts", "request_id", "allowed", "remaining"]]
 
     rows = requests.select("user_id", "endpoint", F.col("ts").cast("timestamp").alias("ts"), "request_id").withWatermark("ts", lateness)
-    return rows.groupBy("user_id", "endpoint").applyInPandasWithState(step, OUT, "admitted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    groups = rows.withColumn("bucket", F.pmod(F.hash("user_id", "endpoint"), F.lit(buckets))).groupBy("bucket")
+    return groups.applyInPandasWithState(step, OUT, "users array<long>, endpoints array<string>, admitted array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)

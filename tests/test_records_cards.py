@@ -5,7 +5,7 @@ from codetables.operators import assembly, diffs, explore, observe, scope
 from codetables.plans import observe as plan
 from codetables.plans import search
 from codetables.sources import records, tables
-from codetables.streaming import admission
+from codetables.streaming import admission, live
 
 
 def test_usage_read_and_appended(spark, tmp_path):
@@ -85,3 +85,15 @@ def test_limits_are_those_of_their_endpoints(spark):
             expected.add((e, k, ok, most - len(held)))
     got = admission.batch(df, 3, 30, admission.LIMITS).collect()
     assert {(r.endpoint, r.request_id, r.allowed, r.remaining) for r in got} == expected
+
+
+def test_stream_of_keys_that_share_a_group(spark, tmp_path):
+    """Two micro-batches, all keys in one group of state: the decisions of the batch, and what has expired is forgotten."""
+    rows = [(u, e, 1_700_000_000 + 86_400 * part + 7 * k + u, 1000 * part + 100 * u + k) for part in range(2) for u in range(3) for e in ("chat", "x") for k in range(20)]
+    df = spark.createDataFrame(rows, "user_id long, endpoint string, t long, request_id long").selectExpr("user_id", "endpoint", "timestamp_seconds(t) AS ts", "request_id")
+    for part in range(2):
+        df.where(f"request_id DIV 1000 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.drain(admission.stream(source, 3, 30, "36500 days", {"chat": (4, 60)}, buckets=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.schema(admission.OUT).parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, admission.batch(df, 3, 30, {"chat": (4, 60)}).collect()))
