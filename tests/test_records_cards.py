@@ -1,5 +1,6 @@
 """Usage files, vector writes, encoders, cards, change contexts and statistics that no query reaches."""
 
+from codetables import catalog
 from codetables.functions import vectors
 from codetables.operators import assembly, diffs, explore, observe, scope
 from codetables.plans import observe as plan
@@ -97,3 +98,11 @@ def test_stream_of_keys_that_share_a_group(spark, tmp_path):
     live.drain(admission.stream(source, 3, 30, "36500 days", {"chat": (4, 60)}, buckets=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = spark.read.schema(admission.OUT).parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, admission.batch(df, 3, 30, {"chat": (4, 60)}).collect()))
+
+
+def test_evidence_makes_vectors_once(spark, monkeypatch):
+    """The stated query set is asked, and however many blocks of queries there are, one written table of vectors is searched."""
+    written, stored = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: written.append((name, df.columns)) or stored(df, name))
+    got = catalog.QUERIES["conversation_evidence"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.conv_id for r in got] == [0] and written == [("vectors", ["chunk_id", "vector"])]
