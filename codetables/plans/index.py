@@ -13,7 +13,7 @@ from codetables.sources import tree as trees
 def index_repos(tree: DataFrame, store: bool = False) -> dict[str, DataFrame]:
     """Tables of all repositories in ``tree`` (repo_id, path, content).
 
-    Nothing runs until they are used; with ``store`` statements and symbols, which most tables need, are written once to the shared folder.
+    Of these only the chunks' files and sections are written at once; with ``store`` statements and symbols, which most tables need, are written once too.
     files has parse_error: where a file leaves a string, comment or bracket open, else null.
     """
     found = trees.source_files(tree)
