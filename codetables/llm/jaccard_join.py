@@ -21,7 +21,7 @@ are not compared in blocks.  Documents of equal sets are one node.  The result i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -253,7 +253,7 @@ def _filter(wanted: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """node, elements BINARY of the members, made again from the text of one document each.
+    """node, elements BINARY of the members, made again from the text of one document each; dealt by node, so a join by node shuffles no set again.
 
     Texts are chosen by a filter of bounded size, without a shuffle: it may let more pass, which the callers' joins leave out.
     """
@@ -273,7 +273,7 @@ def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, scratch:
 
     # an id of several rows brings all their sets
     found = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text").mapInArrow(run, "node long, elements binary")
-    return scratch.written(found.dropDuplicates(["node"]), "sets")
+    return found.dropDuplicates(["node"])
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -454,15 +454,20 @@ def _near_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     return join_groups(both, one, ["v"], "n").groupBy("u").agg(F.min("least").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label"))
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
-    """a, b: links that connect all that is connected, of the members of regions."""
+def _links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect all that is connected, of the members of regions.
+
+    Most members are in small regions only, whose sets are used once; those of large regions, which each round reads, are a table of their own.
+    """
     small = (F.col("members") <= block) & (F.col("weight") <= WEIGHT)
-    links = scratch.written(_leaf_links(members.where(small), sets, num, den), "leaf-links")
+    links = scratch.written(_leaf_links(members.where(small), sets_of(members.where(small)), num, den), "leaf-links")
     hot = members.where(~small)
     whole = None  # regions that pivots don't divide
     for salt in range(ROUNDS + 1):
         if hot.isEmpty():
             break
+        if salt == 0:
+            sets = scratch.written(sets_of(hot).join(hot.select("node").distinct().hint("merge"), "node", "left_semi"), "sets")
         labelled = hot.join(_near_labels(links, scratch).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = scratch.written(_chunked(labelled, block), "hot")
         if salt == ROUNDS:
@@ -502,7 +507,7 @@ def mark(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str =
     votes = scratch.written(_votes(shared, num, den, parts), "votes")
     pivots = scratch.written(votes.groupBy("gram").agg(F.min("node").alias("region"), F.count(F.lit(1)).alias("voters")).where("voters > 1"), "pivots")
     members = _sized(join_groups(votes, pivots, ["gram"], "voters").select("region", "node", "n_shingles"), scratch, "regions")
-    links = _links(members, _sets(docs, rows, members, n, scratch), num, den, block, scratch)
+    links = _links(members, lambda some: _sets(docs, rows, some, n, scratch), num, den, block, scratch)
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("first")
     of_node = rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), first)
