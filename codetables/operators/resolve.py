@@ -65,13 +65,13 @@ IMPORT = ["repo_id", "path", "module", "is_relative"]
 
 
 def asked_paths(imports: DataFrame) -> DataFrame:
-    """The columns of IMPORT, prio, candidate: a row per path that an import may mean.
+    """The columns of IMPORT, candidate, prio: a row per path that an import (a row of ``imports``) may mean.
 
     Read by candidate this is the reverse index: which imports a path's coming or going can concern.
     """
     options = candidates(F.col("grammar"), F.col("path"), F.col("module"))
-    rows = imports.select(*IMPORT, F.posexplode(F.array_compact(options)).alias("prio", "candidate"))
-    return rows.groupBy(*IMPORT, "candidate").agg(F.min("prio").alias("prio"))
+    rows = imports.select(*IMPORT, F.posexplode(F.array_distinct(F.array_compact(options))).alias("prio", "candidate"))
+    return rows.select(*IMPORT, "candidate", "prio")
 
 
 def first_present(asked: DataFrame, manifest: DataFrame) -> DataFrame:

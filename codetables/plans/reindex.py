@@ -24,18 +24,19 @@ def _edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     return resolve.import_edges(imports, files)
 
 
-def _scanned(tree: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the files in ``tree`` that don't depend on other files."""
+def _scanned(tree: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
+    """Tables of the files in ``tree`` that don't depend on other files, each written once under its name and ``prefix``."""
     files = trees.readable(trees.source_files(tree))
     code = tables.stored(structure.statements(files), "statements")
-    imports = structure.imports_of(code)
+    imports = tables.stored(structure.imports_of(code), f"{prefix}imports")
     found = files.join(structure.parse_errors(code).hint("merge"), _FILE, "left").select(*_FILE, "language", "line_count", "parse_error")
-    return {"files": found, "symbols": structure.symbols_of(code), "imports": imports, "asked": resolve.asked_paths(imports)}
+    out = {"files": found, "symbols": structure.symbols_of(code), "asked": resolve.asked_paths(imports)}
+    return {"imports": imports} | {k: tables.stored(v, prefix + k) for k, v in out.items()}
 
 
 def full_index(tree: DataFrame) -> dict[str, DataFrame]:
     """The tables of TABLES for all repositories of ``tree`` (repo_id, path, content), each written once."""
-    out = {k: tables.stored(v, k) for k, v in _scanned(tree).items()}
+    out = _scanned(tree)
     hits = resolve.first_present(out["asked"], tree)
     out["imports"] = tables.stored(out["imports"].join(hits.hint("merge"), resolve.IMPORT, "left"), "imports")
     out["edges"] = tables.stored(_edges(out["imports"], out["files"]), "edges")
@@ -51,11 +52,13 @@ def reindex(index: dict[str, DataFrame], before: DataFrame, after: DataFrame) ->
     delta = tables.stored(live.snapshot_diff(before, after), "delta")
     touched = delta.select(*_FILE)
     fresh = delta.where("change <> 'removed'").select(*_FILE)
-    new = {k: tables.stored(v, f"new-{k}") for k, v in _scanned(after.join(fresh.hint("merge"), _FILE, "left_semi")).items()}
+    new = _scanned(after.join(fresh.hint("merge"), _FILE, "left_semi"), "new-")
     kept = {k: index[k].join(touched.hint("merge"), _FILE, "left_anti") for k in ("files", "symbols", "imports", "asked")}
 
     moved = delta.where("change <> 'changed'").select("repo_id", F.col("path").alias("candidate"))
-    concerned = kept["asked"].join(moved.hint("merge"), ["repo_id", "candidate"], "left_semi").select(*resolve.IMPORT).distinct()
+    # of all asked paths few are met; that their imports are of kept files is looked up for these
+    concerned = index["asked"].join(moved.hint("merge"), ["repo_id", "candidate"], "left_semi").select(*resolve.IMPORT).distinct()
+    concerned = concerned.join(touched.hint("merge"), _FILE, "left_anti")
     concerned = tables.stored(concerned.unionByName(new["imports"].select(*resolve.IMPORT)).distinct(), "concerned")
     asked = kept["asked"].unionByName(new["asked"])
     asked = tables.stored(asked, "asked")
